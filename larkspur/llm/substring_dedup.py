@@ -116,7 +116,7 @@ def _scanned(window: int, mer: int):
 
 def _packed(window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("minimiser", pa.int64()), ("digest", pa.binary()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+        schema = pa.schema([("minimiser", pa.int64()), ("digest", pa.binary()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
@@ -124,7 +124,7 @@ def _packed(window: int):
                     words = text.encode().split()
                     for r in runs:
                         packed = b" ".join(words[r["start"] : r["start"] + r["windows"] + window - 1])
-                        rows.append((r["minimiser"], hashlib.blake2b(packed, digest_size=16).digest(), packed, doc_id, r["start"]))
+                        rows.append((r["minimiser"], hashlib.blake2b(packed, digest_size=16).digest(), packed, doc_id, r["start"], r["windows"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -141,13 +141,14 @@ def windows_of(packed: bytes, window: int) -> list[bytes]:
 def _sorted_bucket(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, firsts = [], []
+            digests, owns, firsts = [], [], []
             for strings in batch.column("strings"):
                 strings = strings.as_py()
                 if len(strings) == 1:
                     s = strings[0]
                     digests.append(s["digest"])
-                    firsts.append([s["doc_id"]] * (s["packed"].count(b" ") + 2 - window))
+                    owns.append(s["doc_id"])
+                    firsts.append(None)
                     continue
                 rows = sorted((w, s["doc_id"], k, i) for k, s in enumerate(strings) for i, w in enumerate(windows_of(s["packed"], window)))
                 least: list[dict[int, int]] = [{} for _ in strings]
@@ -158,8 +159,9 @@ def _sorted_bucket(window: int):
                     least[k][i] = doc_id
                 for k, s in enumerate(strings):
                     digests.append(s["digest"])
+                    owns.append(s["doc_id"])
                     firsts.append([least[k][i] for i in range(len(least[k]))])
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["digest", "firsts"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(owns, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["digest", "own", "firsts"])
 
     return count
 
@@ -188,7 +190,9 @@ def _cleaned(window: int):
                 words = text.encode().split()
                 change = np.zeros(len(words) + 1, np.int64)
                 for h in hits:
-                    for i, first in enumerate(h["firsts"]):
+                    firsts = h["firsts"] or []
+                    for i in range(h["windows"]):
+                        first = firsts[i] if i < len(firsts) and firsts[i] is not None else h["own"]
                         if first < doc_id:
                             change[h["start"] + i] += 1
                             change[h["start"] + i + window] -= 1
@@ -218,19 +222,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> tup
     by_doc = runs.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("runs"))
     texts = keep(rows.where("text IS NOT NULL").join(by_doc, "doc_id"), "texts")
     forget(runs, shared)
-    travel = keep(texts.mapInArrow(_packed(window), "minimiser long, digest binary, packed binary, doc_id long, start int"), "super-k-mers")
+    travel = keep(texts.mapInArrow(_packed(window), "minimiser long, digest binary, packed binary, doc_id long, start int, windows int"), "super-k-mers")
     strings = keep(travel.groupBy("minimiser", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("packed").alias("packed")), "strings")
     crowded = keep(strings.groupBy("minimiser").count().where(F.col("count") > CROWDED).select("minimiser", F.lit(True).alias("crowded")), "crowded")
     dealt = strings.join(crowded, "minimiser", "left")
     buckets = dealt.where("crowded IS NULL").groupBy("minimiser").agg(F.collect_list(F.struct("digest", "doc_id", "packed")).alias("strings"))
-    sorted_firsts = buckets.select("strings").mapInArrow(_sorted_bucket(window), "digest binary, firsts array<long>")
+    sorted_firsts = buckets.select("strings").mapInArrow(_sorted_bucket(window), "digest binary, own long, firsts array<long>")
     apart = keep(dealt.where("crowded").select("digest", "doc_id", "packed").mapInArrow(_apart(window), "window binary, digest binary, place int, doc_id long"), "windows")
-    least = keep(apart.groupBy("window").agg(F.min("doc_id").alias("first")), "least")
-    grouped = apart.select("window", "digest", "place").join(least, "window").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("place", "first"))).alias("all"))
-    both = keep(sorted_firsts.unionByName(grouped.select("digest", F.col("all.first").alias("firsts"))), "firsts-of-strings")
+    least = keep(apart.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("strings")).where("strings > 1").drop("strings"), "least")
+    # A window of one string alone stands first where the string does.
+    grouped = apart.select("window", "digest", "place").join(least, "window").groupBy("digest").agg(F.collect_list(F.struct("place", "first")).alias("all"))
+    grouped = grouped.select("digest", F.transform(F.sequence(F.lit(0), F.array_max("all.place")), lambda i: F.element_at(F.map_from_entries("all"), i)).alias("firsts"))
+    grouped = dealt.where("crowded").select("digest", F.col("doc_id").alias("own")).join(grouped, "digest", "left")
+    both = keep(sorted_firsts.unionByName(grouped), "firsts-of-strings")
     forget(strings, crowded, apart, least)
-    hits = travel.select("digest", "doc_id", "start").join(both, "digest").where(F.array_min("firsts") < F.col("doc_id"))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "firsts")).alias("hits"))
+    hits = travel.select("digest", "doc_id", "start", "windows").join(both, "digest").where(F.least("own", F.array_min("firsts")) < F.col("doc_id"))
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "own", "firsts")).alias("hits"))
     cleaned = keep(texts.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_cleaned(window), "doc_id long, n_removed long, kept_sha256 string, kept string"), "cleaned")
     forget(texts, travel, both)
     changed = cleaned.groupBy("doc_id").agg(F.first("n_removed").alias("some"), F.first("kept_sha256").alias("some_sha"))
