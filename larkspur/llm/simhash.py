@@ -39,7 +39,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 class Tree:
-    """A BK-tree over 64-bit integers."""
+    """A BK-tree over unsigned 64-bit integers."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
@@ -90,7 +90,7 @@ def _shard_edges(radius: int):
         for batch in batches:
             out_a, out_b = [], []
             for members in batch.column("members"):
-                rows = [(m["fp"], m["id"], m["chunk"]) for m in members.as_py()]
+                rows = [(m["fp"] & 0xFFFF_FFFF_FFFF_FFFF, m["id"], m["chunk"]) for m in members.as_py()]
                 first = min(c for _, _, c in rows)
                 apart = any(c != first for _, _, c in rows)
                 tree, ids, forest = Tree(), [], Forest()
