@@ -14,7 +14,7 @@ import numpy as np
 
 #: Letters that stay one code point under NFC and lower case, then signs that the tokenizer parts from letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_LIMIT = 1_200_000
+_LIMIT = 500_000
 
 
 class WordIds(dict):

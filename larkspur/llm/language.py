@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import documents
+from larkspur.llm.shared import documents, small_batches
 
 WIDTH = 4096
 #: About so many labelled documents of each language train the model.
@@ -121,7 +121,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                 rows = np.minimum(gram_counts(part.column("text").to_pylist()), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), part.column("lang")], ["counts", "lang"])
 
-    rows = sample.mapInArrow(counted, "counts binary, lang string").collect()
+    rows = small_batches(sample).mapInArrow(counted, "counts binary, lang string").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.counts)))
     return fit([(np.frombuffer(r.counts, "<u2"), r.lang) for r in rows])
 
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
-    return docs.mapInArrow(predicted, schema)
+    return small_batches(docs).mapInArrow(predicted, schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import word_ids
-from larkspur.llm.shared import documents, keep, runs
+from larkspur.llm.shared import documents, keep, runs, small_batches
 
 SHARD = 16_384
 
@@ -193,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     A null or empty text is its end id alone; extra columns are ignored; repeated rows are packed each; an empty table
     gives no rows. Documents longer than capacity are cut into pieces of capacity, the last maybe shorter.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = keep(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     done = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     left, level = pieces.where(F.col("length") < capacity), 1

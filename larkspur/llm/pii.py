@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import documents
+from larkspur.llm.shared import documents, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -362,7 +362,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             columns = [pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x[i]] for x in spans], arrow) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "base", "added"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(cleaned, schema)
+    return small_batches(docs).mapInArrow(cleaned, schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

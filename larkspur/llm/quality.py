@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.language import held_out
-from larkspur.llm.shared import documents, keep
+from larkspur.llm.shared import documents, keep, small_batches
 
 #: About so many labelled rows train the model.
 SAMPLE = 8_000
@@ -121,7 +121,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measured, "doc_id long, stats array<double>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measured, "doc_id long, stats array<double>")
 
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees:

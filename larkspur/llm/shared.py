@@ -41,6 +41,12 @@ def forget(*kept: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches to Python of at most 500 rows from now on: whole texts are long, and a batch is held in memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each key, from batches in which equal keys stand together."""
     held: list[pa.RecordBatch] = []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import Forest, components, documents, forget, keep
+from larkspur.llm.shared import Forest, components, documents, forget, keep, small_batches
 
 RADIUS, SHINGLE, CHUNK = 3, 3, 256
 
@@ -120,7 +120,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
 def close_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:

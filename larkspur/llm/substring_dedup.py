@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import documents, forget, keep
+from larkspur.llm.shared import documents, forget, keep, small_batches
 
 WINDOW, MER, CROWDED = 50, 8, 64
 _SPACE = np.zeros(256, bool)
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> tup
     of those documents that share windows with others and are the first with their words. doc_id names a text; rows
     repeated whole are reported each. A null or empty text has no words; rows with a null doc_id keep all of theirs.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = keep(rows.mapInArrow(_scanned(window, mer), "doc_id long, n_words long, sha binary, starts array<int>, windows array<int>, minimisers array<long>"), "scan")
     known = scan.where(f"doc_id IS NOT NULL AND n_words >= {window}")
     firsts = keep(known.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "firsts")

@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import documents
+from larkspur.llm.shared import documents, small_batches
 
 _SPACE = r"\p{White_Space}"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_SPACE}])|{_SPACE}+")
 _TWO = regex.compile(rf"{_SPACE}{{2}}")
-_LIMIT = 1_200_000
+_LIMIT = 500_000
 
 
 class Counter:
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n = [count.text(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

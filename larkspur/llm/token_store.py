@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import word_ids
-from larkspur.llm.shared import documents, shared_folder
+from larkspur.llm.shared import documents, shared_folder, small_batches
 
 #: A cut falls after an id where the hash of the last SPAN ids has no bit of MASK; chunks hold LEAST to MOST ids.
 SPAN, MASK, LEAST, MOST = 8, 255, 64, 2048
@@ -213,7 +213,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     doc_id is taken as unique; rows with a null doc_id stand first. An empty table gives a store without documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(tokenizer, end_id), _ROWS)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(tokenizer, end_id), _ROWS)
     first = [F.first(c).alias(c) for c in ("payload", "width", "doc_id", "n_tokens", "chunks")]
     unique = rows.groupBy("key").agg(*first).withColumn("kind", F.when(F.col("payload").isNull(), "recipe").otherwise("chunk"))
     # A first empty file per kind keeps both folders there for an empty table.
