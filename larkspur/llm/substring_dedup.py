@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.shared import documents, forget, keep, small_batches
 
-WINDOW, MER, CROWDED = 50, 8, 64
+WINDOW, MER, CROWDED = 50, 8, 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -230,8 +230,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> tup
     sorted_firsts = buckets.select("strings").mapInArrow(_sorted_bucket(window), "digest binary, own long, firsts array<long>")
     apart = keep(dealt.where("crowded").select("digest", "doc_id", "packed").mapInArrow(_apart(window), "window binary, digest binary, place int, doc_id long"), "windows")
     least = keep(apart.groupBy("window").agg(F.min("doc_id").alias("first"), F.count("*").alias("strings")).where("strings > 1").drop("strings"), "least")
-    # A window of one string alone stands first where the string does.
-    grouped = apart.select("window", "digest", "place").join(least, "window").groupBy("digest").agg(F.collect_list(F.struct("place", "first")).alias("all"))
+    # A window that stands first in its own string needs no row here.
+    grouped = apart.join(least, "window").where(F.col("first") < F.col("doc_id")).groupBy("digest").agg(F.collect_list(F.struct("place", "first")).alias("all"))
     grouped = grouped.select("digest", F.transform(F.sequence(F.lit(0), F.array_max("all.place")), lambda i: F.element_at(F.map_from_entries("all"), i)).alias("firsts"))
     grouped = dealt.where("crowded").select("digest", F.col("doc_id").alias("own")).join(grouped, "digest", "left")
     both = keep(sorted_firsts.unionByName(grouped), "firsts-of-strings")
