@@ -147,7 +147,7 @@ class Index:
         on = np.isin(hashes, self.anchors)
         starts, hashes = starts[on], hashes[on]
         padded = np.concatenate((b, np.zeros(STEPS, np.uint8)))
-        candidates: set[tuple[int, int]] = set()
+        candidates: set[tuple[int, int, int]] = set()  # (text, item, where the item would start); the text is the anchor's own
         for k, (early, known, order, read) in enumerate(self.tables):
             left, code = self.walk(padded, starts, k, early)
             low, high = np.searchsorted(known, code), np.searchsorted(known, code, side="right")
@@ -158,16 +158,17 @@ class Index:
             for begin in range(0, len(at), 8192):
                 a, w = at[begin : begin + 8192], window[begin : begin + 8192]
                 near = (self.read(padded, a, k) != read[w]).sum(1) <= FAR * STEPS
-                candidates.update(zip(self.places[w[near], 0].tolist(), (a[near] - self.places[w[near], 1]).tolist()))
+                own = np.searchsorted(begins, a[near], side="right") - 1
+                candidates.update(zip(own.tolist(), self.places[w[near], 0].tolist(), (a[near] - self.places[w[near], 1]).tolist()))
         if self.short:
-            for at, h in zip(starts.tolist(), hashes.tolist()):
-                candidates.update((number, at - offset) for number, offset in self.short.get(h, ()))
+            own = np.searchsorted(begins, starts, side="right") - 1
+            for text, at, h in zip(own.tolist(), starts.tolist(), hashes.tolist()):
+                candidates.update((text, number, at - offset) for number, offset in self.short.get(h, ()))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         whole = b.tobytes()
         checked: dict[tuple[int, bytes], int] = {}
-        for number, start in sorted(candidates):
+        for text, number, start in sorted(candidates):
             item_id, item = self.items[number]
-            text = int(np.searchsorted(begins, max(start, 0), side="right")) - 1
             plain = item.decode()
             most = int(len(plain) * (1 - similarity) + 1e-9)
             low, high = begins[text] + 1, begins[text + 1] if text + 1 < len(begins) else len(b)

@@ -154,6 +154,17 @@ def test_edit_distance_and_recall():
     assert sum(k == i for k, i, _, _ in index.hits(edited)) >= 0.9 * len(items)
 
 
+def test_items_at_the_ends_of_texts():
+    items = [prose(40) for _ in range(40)]
+    index = decontamination.Index(list(enumerate(items)))
+    for cut in (1, 2, 3):
+        opens = [" ".join(t.split()[cut:]) + " " + prose(30) for t in items]
+        closes = [prose(30) + " " + " ".join(t.split()[:-cut]) for t in items]
+        for texts in (opens, closes):
+            together = {(k, i) for k, i, _, _ in index.hits(texts)}
+            assert together == {(k, i) for k, t in enumerate(texts) for _, i, _, _ in index.hits([t])} >= {(k, k) for k in range(40)}
+
+
 def test_simhash(docs, empty):
     got = {r.doc_id: r for r in simhash.groups(docs).collect()}
     forest = Forest()
