@@ -7,6 +7,11 @@ distance between the characters read. Bit-sampling LSH compares a few sampled st
 their own bits and samples, over the ANCHORS windows of an item, bring recall to its target. Of windows that agree on
 the samples with an item's, those whose whole walks differ in at most FAR of the steps are verified by the exact edit
 distance between the item and the best-fitting stretch.
+
+Walks lose texts with many edits and items with few long words, so every byte of an item is also the start of a gram.
+Where a text shares enough grams with an item at about one distance between their places, that stretch is verified
+too. Items under LONG bytes need as many as their edits must leave, so no ASCII one is lost; longer items have longer
+grams and need a few of those that random edits leave.
 """
 
 from __future__ import annotations
@@ -28,6 +33,11 @@ FAR = 0.5
 _END = 0xFF  # stands in no UTF-8 text
 _FOLD = np.array([0 if b == _END else b if b >= 128 or (b < 128 and chr(b).isalnum()) else 32 for b in range(256)], np.uint8)
 _PRIME = np.uint64(0x100000001B3)
+#: Bytes of a gram for items of at least so many bytes; items of LONG bytes and more need a gram for each so many bytes.
+LONG, EACH = 64, 10
+GRAMS = ((LONG, 7), (20, 4), (8, 3), (4, 2), (1, 1))
+#: Distances between places that count as one are this many bits apart; cells of the count; bytes of text counted at once.
+_WIDE, _CELLS, _STRETCH = 4, 1 << 20, 1 << 18
 _EARLY = 3  # samples after which windows that agree with no item are dropped
 
 
@@ -65,6 +75,140 @@ def edit_distance_within(item: str, text: str) -> int:
     return best
 
 
+def edit_distances_within(items: list[str], pairs: list[tuple[int, str]]) -> list[int]:
+    """edit_distance_within for many (item's number, text), in words of 64 bits side by side."""
+    out = [0] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
+    for begin in range(0, len(order), 2048):
+        part = sorted(order[begin : begin + 2048], key=lambda k: -len(items[pairs[k][0]]))
+        numbers = sorted({pairs[k][0] for k in part})
+        letters = {c: j for j, c in enumerate(sorted({c for n in numbers for c in items[n]}))}
+        row = {n: j for j, n in enumerate(numbers)}
+        size = np.array([len(items[pairs[k][0]]) for k in part], np.int64)
+        words = -(-size // 64)
+        lanes = [int((words > w).sum()) for w in range(int(words[0]) + 1)]  # those that have a word w stand first
+        masks = np.zeros((len(lanes) - 1, len(numbers), len(letters) + 1), np.uint64)
+        for n, j in row.items():
+            for at, c in enumerate(items[n]):
+                masks[at // 64, j, letters[c]] |= np.uint64(1 << at % 64)
+        masks = masks.reshape(len(masks), -1)
+        table = np.full(0x110000, len(letters), np.int32)
+        table[[ord(c) for c in letters]] = list(letters.values())
+        text = np.full((len(part), max(len(pairs[k][1]) for k in part)), len(letters), np.int32)
+        for j, k in enumerate(part):
+            own = np.frombuffer(pairs[k][1].encode("utf-32-le"), "<u4")
+            text[j, : len(own)] = table[own]
+        text += np.array([row[pairs[k][0]] for k in part], np.int32)[:, None] * (len(letters) + 1)
+        text = np.ascontiguousarray(text.T)
+        top, one, last = ((size - 1) % 64).astype(np.uint64), np.uint64(1), np.uint64(63)
+        plus, minus = [np.full(n, ~np.uint64(0)) for n in lanes[:-1]], [np.zeros(n, np.uint64) for n in lanes[:-1]]
+        rise, fall = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+        distance, best = size.copy(), size.copy()
+        for c in text:
+            for w, n in enumerate(lanes[:-1]):
+                p, m = plus[w], minus[w]
+                x = masks[w][c[:n]] | m
+                total = (x & p) + p
+                more = total < p
+                if w:
+                    total += carry[:n]
+                    more |= total < carry[:n]
+                d0 = (total ^ p) | x
+                hp, hn = m | ~(p | d0), p & d0
+                rise[lanes[w + 1] : n], fall[lanes[w + 1] : n] = hp[lanes[w + 1] :], hn[lanes[w + 1] :]
+                right, left = hp << one, hn << one
+                if w:
+                    right |= up[:n]
+                    left |= down[:n]
+                plus[w], minus[w] = left | ~(d0 | right), right & d0
+                if lanes[w + 1]:
+                    carry, up, down = more.astype(np.uint64), hp >> last, hn >> last
+            distance += (rise >> top & one).view(np.int64)
+            distance -= (fall >> top & one).view(np.int64)
+            np.minimum(best, distance, out=best)
+        for k, d in zip(part, best.tolist()):
+            out[k] = d
+    return out
+
+
+class Grams:
+    """Places of the grams of items of one tier: sorted codes, and the item, place and least count of each."""
+
+    def __init__(self, size: int, items: list[tuple[int, bytes]], similarity: float) -> None:
+        self.size, codes, numbers, places, self.least = size, [], [], [], {}
+        for number, item in items:
+            own = self.coded(np.frombuffer(item, np.uint8))
+            codes.append(own)
+            numbers.append(np.full(len(own), number))
+            places.append(np.arange(len(own)))
+            plain = item.decode()
+            widest, most = max(len(c.encode()) for c in plain), int(len(plain) * (1 - similarity) + 1e-9)
+            self.least[number] = len(item) // EACH if len(item) >= LONG else max(1, len(own) - most * (size - 1 + widest))
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.numbers, self.places = np.concatenate(numbers)[order], np.concatenate(places)[order]
+        self.needs = np.array([self.least[n] for n in self.numbers.tolist()])
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.slot(self.codes)] = True
+        self.reach = 2 * max(len(item) for _, item in items) + (1 << _WIDE)
+
+    def coded(self, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(max(0, len(b) - self.size + 1), np.uint64)
+        for k in range(self.size):
+            out = out << np.uint64(8) | b[k : k + len(out)]
+        return out
+
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def candidates(self, b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, likeliest, least and largest place where the item would start)."""
+        for begin in range(0, len(b), _STRETCH):
+            code = self.coded(b[begin : begin + _STRETCH + self.reach])
+            at = np.flatnonzero(self.seen[self.slot(code)])
+            code = code[at]
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            on = self.codes[k] == code
+            at, k = at[on] + begin, k[on]
+            many = self.many[k]
+            which = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = np.repeat(at, many)
+            number, start = self.numbers[which], at - self.places[which]
+            # Cells may be shared by chance; that only lets more through to the exact count.
+            cell = (number * 40503 + (start >> _WIDE)) & (_CELLS - 1)
+            count = np.bincount(cell, minlength=_CELLS)
+            on = np.flatnonzero(count[cell] + np.maximum(count[cell - 1], count[(cell + 1) & (_CELLS - 1)]) >= self.needs[which])
+            if not len(on):
+                continue
+            at, number, start = at[on], number[on], start[on]
+            text = np.searchsorted(begins, at, side="right") - 1
+            order = np.lexsort((start, number, text))
+            text, number, start = text[order], number[order], start[order]
+            edge = np.flatnonzero((np.diff(text) != 0) | (np.diff(number) != 0)) + 1
+            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(text)]):
+                least = self.least[int(number[low])]
+                if high - low < least:
+                    continue
+                own = start[low:high]
+                bucket, from_ = np.unique(own >> _WIDE, return_index=True)
+                # Neighbours share a count; those that follow each other are one candidate.
+                ends = np.append(from_[1:], len(own))
+                open_ = -1
+                for j in range(len(bucket)):
+                    pair = j + 1 < len(bucket) and bucket[j + 1] == bucket[j] + 1
+                    enough = ends[j + pair] - from_[j] >= least
+                    if enough and open_ < 0:
+                        open_ = j
+                    if open_ >= 0 and not (enough and pair and bucket[j] - bucket[open_] < 4):
+                        end = ends[j + (enough and pair)]
+                        part = own[from_[open_] : end]
+                        values, times = np.unique(part, return_counts=True)
+                        yield int(text[low]), int(number[low]), int(values[times.argmax()]), int(part[0]), int(part[-1])
+                        open_ = -1
+
+
 class Index:
     """LSH tables of items' windows; small enough to send: ANCHORS * REPEATS codes for each of at most ITEMS items."""
 
@@ -97,6 +241,7 @@ class Index:
                     anchors.append(int(hashes[k]))
                     short.setdefault(int(hashes[k]), []).append((number, int(starts[k])))
         self.short = short
+        self.grams: dict[float, list[Grams]] = {}
         self.anchors = np.unique(np.array(anchors, np.uint64))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.anchors >> np.uint64(44)).astype(np.int64)] = True
@@ -110,6 +255,13 @@ class Index:
                 order = np.argsort(codes, kind="stable")
                 self.tables.append((early, codes[order], order, self.read(text, starts, k)))
 
+    def tiers(self, similarity: float) -> list[Grams]:
+        if similarity not in self.grams:
+            tier = [next(size for least, size in GRAMS if len(item) >= least) for _, item in self.items]
+            own = [(size, [(k, item) for k, (_, item) in enumerate(self.items) if tier[k] == size]) for _, size in GRAMS]
+            self.grams[similarity] = [Grams(size, items, similarity) for size, items in own if items]
+        return self.grams[similarity]
+
     def read(self, text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
         """The characters that walk k reads from each start: (starts, STEPS)."""
         at, out = starts.copy(), np.empty((len(starts), STEPS), np.uint8)
@@ -147,7 +299,7 @@ class Index:
         on = np.isin(hashes, self.anchors)
         starts, hashes = starts[on], hashes[on]
         padded = np.concatenate((b, np.zeros(STEPS, np.uint8)))
-        candidates: set[tuple[int, int, int]] = set()  # (text, item, where the item would start); the text is the anchor's own
+        candidates: set[tuple[int, int, int, int, int]] = set()  # (text, item, where the item would start: likeliest, least, largest); the text is the anchor's own
         for k, (early, known, order, read) in enumerate(self.tables):
             left, code = self.walk(padded, starts, k, early)
             low, high = np.searchsorted(known, code), np.searchsorted(known, code, side="right")
@@ -159,27 +311,32 @@ class Index:
                 a, w = at[begin : begin + 8192], window[begin : begin + 8192]
                 near = (self.read(padded, a, k) != read[w]).sum(1) <= FAR * STEPS
                 own = np.searchsorted(begins, a[near], side="right") - 1
-                candidates.update(zip(own.tolist(), self.places[w[near], 0].tolist(), (a[near] - self.places[w[near], 1]).tolist()))
+                start = (a[near] - self.places[w[near], 1]).tolist()
+                candidates.update(zip(own.tolist(), self.places[w[near], 0].tolist(), start, start, start))
         if self.short:
             own = np.searchsorted(begins, starts, side="right") - 1
             for text, at, h in zip(own.tolist(), starts.tolist(), hashes.tolist()):
-                candidates.update((text, number, at - offset) for number, offset in self.short.get(h, ()))
+                candidates.update((text, number, *[at - offset] * 3) for number, offset in self.short.get(h, ()))
+        for grams in self.tiers(similarity):
+            candidates.update(grams.candidates(b, begins))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        whole = b.tobytes()
-        checked: dict[tuple[int, bytes], int] = {}
-        for text, number, start in sorted(candidates):
-            item_id, item = self.items[number]
-            plain = item.decode()
-            most = int(len(plain) * (1 - similarity) + 1e-9)
-            low, high = begins[text] + 1, begins[text + 1] if text + 1 < len(begins) else len(b)
-            region = whole[max(low, start - most) : min(high, start + len(item) + most)]
-            key = (number, region)
-            if key not in checked:
-                checked[key] = edit_distance_within(plain, region.decode(errors="ignore"))
-            distance = checked[key]
-            if distance <= most:
-                found = (distance, max(0, start - int(low)))
-                best[text, item_id] = min(best.get((text, item_id), found), found)
+        whole, plain = b.tobytes(), [item.decode() for _, item in self.items]
+        most = [int(len(item) * (1 - similarity) + 1e-9) for item in plain]
+        places: list[tuple[int, int, int, tuple[int, str]]] = []
+        for text, number, start, least, largest in sorted(candidates):
+            length, low = len(self.items[number][1]), int(begins[text]) + 1
+            high = int(begins[text + 1]) if text + 1 < len(begins) else len(b)
+            wide = most[number] * 4  # bytes that so many characters may take
+            region = whole[max(low, least - wide) : min(high, largest + length + wide)]
+            if region.isascii():
+                region = whole[max(low, least - most[number]) : min(high, largest + length + most[number])]
+            places.append((text, number, max(0, start - low), (number, region.decode(errors="ignore"))))
+        pairs = list(dict.fromkeys(x[-1] for x in places))
+        checked = dict(zip(pairs, edit_distances_within(plain, pairs)))
+        for text, number, start, pair in places:
+            if checked[pair] <= most[number]:
+                found, key = (checked[pair], start), (text, self.items[number][0])
+                best[key] = min(best.get(key, found), found)
         return [(text, item_id, *found) for (text, item_id), found in sorted(best.items())]
 
 

@@ -165,6 +165,40 @@ def test_items_at_the_ends_of_texts():
             assert together == {(k, i) for k, t in enumerate(texts) for _, i, _, _ in index.hits([t])} >= {(k, k) for k in range(40)}
 
 
+def edited(text, n):
+    t = list(text)
+    for _ in range(n):
+        k = R.randrange(len(t))
+        t[k : k + 1] = R.choice(([], ["q"], [t[k], "x"]))
+    return "".join(t)
+
+
+@pytest.mark.parametrize("length", [6, 14, 30, 60, 82, 130, 300])
+def test_recall_by_length_up_to_the_threshold(length):
+    items = [prose(100)[:length].strip() for _ in range(40)]
+    index = decontamination.Index(list(enumerate(items)))
+    for share in (0.1, 0.15, 0.2):
+        most = [int(len(t) * 0.2 + 1e-9) for t in items]
+        texts = [" ".join(f"{prose(20)} {edited(t, int(len(t) * share))} {prose(20)}".split()) for t in items]
+        held = {k for k, t in enumerate(items) if decontamination.edit_distance_within(t, texts[k]) <= most[k]}
+        found = {k: d for k, i, d, _ in index.hits(texts) if k == i}
+        assert len(held & found.keys()) >= 0.95 * len(held) > 0
+        assert all(d == decontamination.edit_distance_within(items[k], texts[k]) <= most[k] for k, d in found.items())
+
+
+def test_edits_in_the_only_anchors():
+    items = [f"{prose(3)} {'y' * 30}{k} {'z' * 30}" for k in range(20)]
+    texts = [prose(20) + " " + "q".join(t.split(" ")[:2]) + "q " + " ".join(t.split(" ")[2:]) + " " + prose(20) for t in items]
+    found = {(k, i) for k, i, _, _ in decontamination.Index(list(enumerate(items))).hits(texts)}
+    assert found >= {(k, k) for k in range(20)}
+
+
+def test_edit_distances_side_by_side():
+    items = ["".join(R.choice("abß ") for _ in range(n)) for n in (1, 5, 63, 64, 65, 128, 129, 200)]
+    pairs = [(k, prose(R.randint(0, 5)) + edited(items[k], len(items[k]) // 6) + prose(2)) for k in range(8) for _ in range(20)]
+    assert decontamination.edit_distances_within(items, pairs) == [decontamination.edit_distance_within(items[k], t) for k, t in pairs]
+
+
 def test_simhash(docs, empty):
     got = {r.doc_id: r for r in simhash.groups(docs).collect()}
     forest = Forest()
