@@ -2,7 +2,8 @@
 
 A document's vector holds hashed n-grams of the bytes of its lower-cased letters (word ends included), log-damped,
 weighted by inverse document frequency and normalised. Spherical k-means gives each language a few centroids; the
-highest cosine decides. A document is rejected if its text has no letter or every centroid is farther than the limit.
+highest cosine decides. A document is rejected if its text has no letter or is farther from the nearest centroid than the
+limit of its language, which comes from documents that did not make the centroids they are compared with.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ WIDTH = 4096
 #: About so many labelled documents of each language train the model.
 SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 4
-#: A document is rejected below this share of the lowest cosine that a training document has with its own language.
-REJECT = 0.25
+#: A document is rejected below this share of the cosine that all but so many of a language's documents reach.
+REJECT, LOW = 0.6, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters stands for a space.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -53,7 +54,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a row each
     of: np.ndarray  # the language of each centroid
-    limit: float
+    limits: np.ndarray  # one for each language
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         return weighted(gram_counts(texts), self.idf)
@@ -69,7 +70,7 @@ class Model:
             cosines = self.vectors(part) @ self.centroids.T
             best = cosines.argmax(1)
             for t, k, c in zip(part, best.tolist(), cosines.max(1).tolist()):
-                out.append((self.languages[self.of[k]], min(1.0, max(0.0, c)), c < self.limit) if _LETTER.search(t) else ("und", 0.0, True))
+                out.append((self.languages[self.of[k]], min(1.0, max(0.0, c)), c < self.limits[self.of[k]]) if _LETTER.search(t) else ("und", 0.0, True))
         return out
 
 
@@ -93,22 +94,35 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def low_cosine(v: np.ndarray) -> float:
+    """The cosine that all but the share LOW of a language's vectors have with centroids of the other half; nan for one vector."""
+    halves = [h for h in (v[::2], v[1::2]) if len(h)]
+    if len(halves) < 2:
+        return float("nan")
+    cosines = [(a @ clustered(b, CENTROIDS).T).max(1) for a, b in (halves, halves[::-1])]
+    return float(np.quantile(np.concatenate(cosines), LOW))
+
+
 def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
     """From (gram counts, language); no rows give a model that rejects everything."""
     if not rows:
-        return Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), 0.0)
+        return Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(0))
     counts = np.stack([c for c, _ in rows]).astype(np.float32)
     languages = sorted({lang for _, lang in rows})
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(1)
     v, y = weighted(counts, idf), np.array([languages.index(lang) for _, lang in rows])
     sets = [clustered(v[y == k], CENTROIDS) for k in range(len(languages))]
-    lowest = min(float((v[y == k] @ c.T).max(1).min()) for k, c in enumerate(sets))
-    return Model(languages, idf, np.concatenate(sets), np.repeat(np.arange(len(languages)), [len(c) for c in sets]), REJECT * lowest)
+    low = np.array([low_cosine(v[y == k]) for k in range(len(languages))])
+    limits = REJECT * np.where(np.isnan(low), np.nanmin(low) if not np.isnan(low).all() else 0.0, low)
+    return Model(languages, idf, np.concatenate(sets), np.repeat(np.arange(len(languages)), [len(c) for c in sets]), limits)
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on about per_language documents of each language, drawn by a hash of their ids from the rows not held out."""
-    learned = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
+    """Fit on about per_language documents of each language, drawn by a hash of their ids from the rows not held out.
+
+    Texts without a letter teach nothing about a language and are left out.
+    """
+    learned = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).where(~held_out(F.col("doc_id")))
     sizes = learned.groupBy("lang").count().collect()  # one row for each language
     share = docs.sparkSession.createDataFrame([(r["lang"], per_language / r["count"]) for r in sizes] or [("", 0.0)], "lang string, share double")
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -260,6 +260,18 @@ def test_language(spark, empty):
     assert language.identify(empty, language.train(empty)).count() == 0
 
 
+def test_language_rejects_in_spite_of_letterless_rows(spark):
+    words = {"aa": ["the", "and", "with", "this", "town", "house"], "bb": ["und", "nicht", "schön", "über", "haus", "stadt"]}
+    clean = [(k, " ".join(R.choice(words[lang]) for _ in range(30)), lang) for k in range(400) for lang in [("aa", "bb")[k % 2]]]
+    bare = [(1000 + k, ("", " ", "12 345", "!!")[k % 4], ("aa", "bb")[k // 4 % 2]) for k in range(80)]
+    model = language.train(spark.createDataFrame(clean + bare, "doc_id long, text string, lang string"))
+    assert (model.limits > 0.1).all()
+    kept = model.predict([t for k, t, _ in clean if zlib.crc32(str(k).encode()) % 4 == 2])
+    assert kept and not any(rejected for _, _, rejected in kept)
+    assert all(rejected for _, _, rejected in model.predict(["qqq xyzzy fjkl pqvvx", "zzzz kkkk", "Привет мир"]))
+    assert not any(language.fit([(language.gram_counts([t])[0], "aa") for t in ("the town",)]).predict(["the town"])[0][2:])
+
+
 def test_quality(spark, docs, empty):
     rows = [(k, prose(60) if k % 2 else " ".join(w + "$$$" for w in prose(60).split())) for k in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
