@@ -72,12 +72,22 @@ def stalled(runs: DataFrame, now: Column, minutes: int = 90) -> DataFrame:
 def candidates(names: DataFrame, register: DataFrame, most: int = 8, least: float = 0.31) -> DataFrame:
     """JOIN-11: for (name) the closest register names by shared trigrams, at most so many.
 
-    Trigrams block the join; shared ones are counted with partial sums, and no pair without a common trigram is made.
+    A register name counts if it is similar enough or contains one of the name's two longest core tokens of four or more
+    letters. Trigrams block the first join, a token's first four letters the second; shared trigrams are counted with
+    partial sums, and no other pair is made.
     """
     grams = lambda df, c: df.select(c, text.trigrams(F.col(c)).alias("g")).withColumn("n", F.size("g")).select(c, "n", F.explode("g").alias("gram"))
     left, right = grams(names.select("name").distinct(), "name"), grams(register.select("register_name").distinct(), "register_name").withColumnRenamed("n", "m")
-    shared = left.join(right, "gram").groupBy("name", "register_name", "n", "m").agg(F.count("*").alias("k"))
-    scored = shared.select("name", "register_name", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= least)
+    core = F.array_sort(text.core_tokens(text.normalise_name(F.col("name"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    tokens = names.select("name").distinct().select("name", F.explode(F.slice(core, 1, 2)).alias("token")).where(F.length("token") >= 4).withColumn("head", F.substring("token", 1, 4))
+    low = F.lower("register_name")
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 3), lambda i: F.substring(low, i, F.lit(4))))
+    heads = register.select("register_name").distinct().where(F.length(low) >= 4).select("register_name", F.explode(cut).alias("head"))
+    held = tokens.join(heads, "head").where(F.contains(low, F.col("token"))).select("name", "register_name", F.lit(0).alias("n"), F.lit(0).alias("m"), F.lit(0).alias("one"), F.lit(True).alias("held"))
+    both = left.join(right, "gram").select("name", "register_name", "n", "m", F.lit(1).alias("one"), F.lit(False).alias("held")).unionByName(held)
+    shared = both.groupBy("name", "register_name").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("one").alias("k"), F.max("held").alias("held"))
+    similarity = F.when(F.col("k") > 0, F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).otherwise(0.0)
+    scored = shared.select("name", "register_name", similarity.alias("similarity"), "held").where((F.col("similarity") >= least) | F.col("held")).drop("held")
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("similarity"), F.length("register_name"), "register_name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
@@ -86,6 +96,6 @@ def decide(found: DataFrame, names: DataFrame) -> DataFrame:
     """STR-09: exact, then equal after normalisation or in its identifying words, else a person looks."""
     n, r = F.col("name"), F.col("register_name")
     exact, same = n == r, (text.normalise_name(n) == text.normalise_name(r)) | ((F.size(text.core_tokens(text.normalise_name(n))) > 0) & (text.core_tokens(text.normalise_name(n)) == text.core_tokens(text.normalise_name(r))))
-    best = found.groupBy("name").agg(F.max(exact).alias("exact"), F.max(same).alias("same"), F.max("similarity").alias("similarity"))
+    best = found.groupBy("name").agg(F.max(exact).alias("exact"), F.max(same).alias("same"), F.max(F.greatest("similarity", text.name_similarity(n, r))).alias("similarity"))
     method = F.when(F.col("exact"), "EXACT").when(F.col("same"), "NORMALISED").when(F.col("similarity") >= 0.62, "TRIGRAM").otherwise("NONE")
     return names.select("name").distinct().join(best, "name", "left").select("name", method.alias("method"), (~F.coalesce(F.col("exact") | F.col("same"), F.lit(False))).alias("needs_review"))
