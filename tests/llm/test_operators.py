@@ -113,24 +113,48 @@ def test_pii_model_and_redaction(docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
-def test_substring_dedup(docs, empty, monkeypatch):
-    words = {k: (t or "").encode().split() for k, t in enumerate(TEXTS)}
+def without_repeats(rows, window=50):
+    """Brute force: (n_words, n_removed, sha of what is left) of each (doc_id, text)."""
+    words = [(k, (t or "").encode().split()) for k, t in rows]
     first = {}
-    for k, w in words.items():
-        for i in range(len(w) - 49):
-            first.setdefault(tuple(w[i : i + 50]), k)
-    for crowded in (64, 0):
-        monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
-        got = substring_dedup.remove_repeats(docs.unionByName(docs.where("doc_id = 8")))[0].collect()
-        assert len(got) == len(TEXTS) + 1
-        for r in got:
-            w = words[r.doc_id]
-            gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < r.doc_id for j in range(i, i + 50)}
-            kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
-            assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    for k, w in words:
+        for i in range(len(w) - window + 1):
+            if k is not None:
+                key = tuple(w[i : i + window])
+                first[key] = min(first.get(key, k), k)
+    out = []
+    for k, w in words:
+        gone = {j for i in range(len(w) - window + 1) if k is not None and first[tuple(w[i : i + window])] < k for j in range(i, i + window)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((-1 if k is None else k, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def reported(frame):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame)[0].collect())
+
+
+@pytest.mark.parametrize("crowded", [256, 3, 0])
+def test_substring_dedup(docs, empty, monkeypatch, crowded):
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    assert reported(docs.unionByName(docs.where("doc_id = 8"))) == without_repeats([*enumerate(TEXTS), (8, TEXTS[8])])
     assert substring_dedup.remove_repeats(empty)[0].count() == 0
 
 
+def test_substring_dedup_of_one_large_group(spark):
+    passage, rows = prose(90).split(), []
+    for k in range(1200):  # each with a word or two of its own, most of their windows in many of the others
+        own = list(passage)
+        for _ in range(R.randint(0, 2)):
+            own[R.randrange(90)] = f"own{R.randrange(400)}"
+        rows.append((k * 7 % 1200, " ".join(own[R.randint(0, 3) :])))
+    rows += [(5000, "again " * 40_000), (5001, "again " * 300 + "x"), (None, rows[0][1]), (3, rows[5][1] + " more"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert reported(frame) == without_repeats(rows)
+    cleaned = substring_dedup.remove_repeats(frame)[1]
+    assert cleaned.columns == ["doc_id", "text"]
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, None), (3, ""), (4, prose(40)), (5, "zzz yyy")]
     bench = spark.createDataFrame(items, "item_id long, text string")
