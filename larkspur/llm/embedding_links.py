@@ -83,7 +83,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int | None, int]] = []
+            out: list[tuple[bytes, bytes | None, int]] = []
             for table, code, members in zip(batch.column("table").to_pylist(), batch.column("code").to_pylist(), batch.column("members")):
                 members = members.as_py()
                 x = np.stack([np.frombuffer(m["vector"]) for m in members])
@@ -106,42 +106,49 @@ def _verified(threshold: float):
                         shared = np.where(same.any(2), c[a, t], np.iinfo(np.int64).max).min(1)
                         first &= shared == code
                 a, b = a[first], b[first]
-                ids, copies = np.array([m["id"] for m in members]), np.array([m["copies"] for m in members])
+                ids, copies = [m["digest"] for m in members], np.array([m["copies"] for m in members])
                 links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-                out += [(int(ids[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+                out += [(ids[k], None, int(links[k])) for k in np.flatnonzero(links)]
                 forest = Forest()
-                out += [(p, q, 0) for p, q in zip(ids[a].tolist(), ids[b].tolist()) if forest.join(p, q)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["a", "b", "links"])
+                out += [(ids[p], ids[q], 0) for p, q in zip(a.tolist(), b.tolist()) if forest.join(p, q)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "links"])
 
     return verify
 
 
 def links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label; vec_id unique).
+    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
     A row whose label is null, or whose vector is null, empty, zero or holds null or non-finite components, links with
-    nothing; vectors of different lengths don't link. More columns are ignored; an empty table gives no rows.
+    nothing; vectors of different lengths don't link. Rows are nodes of their own: rows repeated whole link with each
+    other, rows that share a vec_id but not a vector link only if they are close. A row with a null vec_id links and is
+    counted like any other; component_id is the smallest vec_id of the component, null if it has none, and kept is whether
+    both are the same or both null. More columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = keep(rows.mapInArrow(_prepared, "vec_id long, label string, width int, digest binary, vector binary, codes array<long>"), "vectors")
     first = [F.first(c).alias(c) for c in ("label", "width", "vector", "codes")]
-    classes = keep(v.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), *first), "classes")
+    classes = keep(v.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), *first), "classes")
     key = ["label", "width", "table", "code"]
-    places = classes.select("id", "label", "width", F.posexplode("codes").alias("place", "code")).withColumn("table", F.floor(F.col("place") / (1 + PROBES)).cast("int"))
-    places = places.select("id", *key)
+    places = classes.select("digest", "label", "width", F.posexplode("codes").alias("place", "code")).withColumn("table", F.floor(F.col("place") / (1 + PROBES)).cast("int"))
+    places = places.select("digest", *key)
     shared = keep(places.groupBy(*key).count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"), "buckets")
-    cells = places.join(shared, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cells = places.join(shared, key).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("id", *key, "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    full = cells.join(classes.select("id", "copies", "vector", "codes"), "id")
-    members = full.groupBy(*key, "low", "high").agg(F.collect_list(F.struct("id", "copies", "vector", "codes", "chunk")).alias("members")).where(F.size("members") > 1)
-    found = keep(members.select("table", "code", "members").mapInArrow(_verified(threshold), "a long, b long, links long"), "links")
+    cells = cells.select("digest", *key, "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    full = cells.join(classes.select("digest", "copies", "vector", "codes"), "digest")
+    members = full.groupBy(*key, "low", "high").agg(F.collect_list(F.struct("digest", "copies", "vector", "codes", "chunk")).alias("members")).where(F.size("members") > 1)
+    found = keep(members.select("table", "code", "members").mapInArrow(_verified(threshold), "a binary, b binary, links long"), "links")
     forget(shared)
-    counts = keep(found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n")), "counts")
-    roots = keep(components(found.where("b IS NOT NULL").select("a", "b")), "roots")
-    labelled = keep(classes.select("digest", "id", "copies").join(counts, "id", "left").join(roots, "id", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "labelled")
+    counts = keep(found.where("b IS NULL").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n")), "counts")
+    roots = keep(components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "digest"), "roots")
+    rooted = classes.select("digest", "least", "copies").join(counts, "digest", "left").join(roots, "digest", "left")
+    rooted = keep(rooted.select("digest", "least", F.coalesce("root", "digest").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = keep(rooted.join(least, "root").select("digest", "n_links", "component_id"), "labelled")
     out = v.select("vec_id", "digest").join(labelled, "digest", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
