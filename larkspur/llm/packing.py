@@ -32,8 +32,12 @@ class Bins:
         self.fill: list[int] = []
         self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.rooms = 0  # bit r is set if a bin has room r
+        self.arrays: tuple[np.ndarray, ...] | None = None  # all pieces in open bins, as long as nothing changes
+        self.failed: set[int] = set()  # lengths for which no exchange was found since the last change
 
     def room(self, b: int, fill: int) -> None:
+        self.arrays = None
+        self.failed.clear()
         old = self.capacity - self.fill[b]
         self.by_room[old].discard(b)
         if not self.by_room[old]:
@@ -105,8 +109,47 @@ class Bins:
             self.add(donor, p)
         return True
 
+    def exchange(self, donor: int, piece: int) -> bool:
+        """swap() with the best of all bins, found over arrays of all pieces at once.
+
+        Donors come from the emptiest on and give to fuller bins only, so a length that failed once fails until a bin changes.
+        """
+        want = self.lengths[piece]
+        if want in self.failed:
+            return False
+        if self.arrays is None:
+            rows = [(b, self.lengths[p], p) for b, held in enumerate(self.held) if held and self.fill[b] < self.capacity for p in sorted(held, key=self.lengths.__getitem__)]
+            self.arrays = tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+        own, x, number = self.arrays
+        fill = np.array(self.fill)[own]
+        allowed = (own != donor) & (fill >= self.fill[donor])
+        need = want - (self.capacity - fill)  # what has to come back at least
+        gain = np.where(allowed & (x < want) & (x >= need), want - x, 0)
+        # The smallest second piece of the same bin, further on, that makes up what is missing.
+        key = own * (self.capacity + 1) + x
+        second = np.maximum(np.searchsorted(key, own * (self.capacity + 1) + np.clip(need - x, 0, self.capacity)), np.arange(len(x)) + 1)
+        there = np.minimum(second, len(x) - 1)
+        both = x + x[there]
+        two = np.where(allowed & (second < len(x)) & (own[there] == own) & (both < want) & (both >= need), want - both, 0)
+        best, best_two = int(gain.argmax()), int(two.argmax())
+        if gain[best] == 0 and two[best_two] == 0:
+            self.failed.add(want)
+            return False
+        k, back = (best, [best]) if gain[best] >= two[best_two] else (best_two, [best_two, int(there[best_two])])
+        b, back = int(own[k]), [int(number[j]) for j in back]
+        for p in back:
+            self.take(b, p)
+        self.take(donor, piece)
+        self.add(b, piece)
+        for p in back:
+            self.add(donor, p)
+        return True
+
     def search(self, partners_most: int = 64) -> None:
-        """Empty the emptiest bins one after another; every step makes the sum of squared fills larger."""
+        """Empty the emptiest bins one after another; every step makes the sum of squared fills larger.
+
+        The emptiest partners_most bins are looked at first, then all.
+        """
         least = -(-sum(self.lengths) // self.capacity)
         left = self.count()
         tried: set[int] = set()
@@ -126,7 +169,7 @@ class Bins:
                         self.take(donor, piece)
                         self.add(b, piece)
                         changed = True
-                    elif self.swap(donor, piece, others):
+                    elif self.swap(donor, piece, others) or (len(open_bins) > partners_most and self.exchange(donor, piece)):
                         changed = True
                         break
             if not self.held[donor]:
@@ -190,23 +233,29 @@ def _packed(level: int, capacity: int):
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of docs (doc_id, text) with the sequence and place of each.
 
-    A null or empty text is its end id alone; extra columns are ignored; repeated rows are packed each; an empty table
-    gives no rows. Documents longer than capacity are cut into pieces of capacity, the last maybe shorter.
+    A null or empty text is its end id alone; extra columns are ignored, whatever their names; repeated rows and rows
+    without a doc_id are packed each; which of several pieces of one length goes where is left open; an empty table gives
+    no rows. Documents longer than capacity are cut into pieces of capacity, the last maybe shorter. Bins that stay open
+    are dealt anew, among other bins, until a round saves none.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = keep(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     done = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     left, level = pieces.where(F.col("length") < capacity), 1
-    n = left.count()
+    n, bins, kept = left.count(), None, None
     while n:
         shards = -(-n // SHARD)
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
+        # The row's own number parts rows that are alike in all else.
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)))
         packed = keep(dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "piece", "ids_crc32").mapInArrow(_packed(level, capacity), f"{_OUT}, open boolean"), f"packed{level}")
-        still = packed.where("open").count() if shards > 1 else 0
-        if 2 * still > n or not still:  # nothing more to gain from another round
+        count = packed.agg(F.count_if(F.col("open") & (F.col("offset") == 0)), F.count_if("open"), F.count_if(F.col("offset") == 0)).first()
+        still, used = count[1], count[2]
+        if kept is not None and used >= bins:  # no bin was saved: the pieces stay where they were
+            return done.unionByName(kept)
+        if shards == 1 or not still:
             return done.unionByName(packed.drop("open"))
-        done = done.unionByName(packed.where("not open").drop("open"))
-        left, n, level = packed.where("open").drop("open", "sequence_id", "offset"), still, level + 1
+        done, kept = done.unionByName(packed.where("not open").drop("open")), packed.where("open").drop("open")
+        left, n, bins, level = kept.drop("sequence_id", "offset"), still, count[0], level + 1
     return done
 
 
