@@ -3,9 +3,10 @@
 Two fingerprints that differ in at most three bits agree on some blocks of them, so every combination of blocks makes a
 shard key and close fingerprints meet in a shard. A shard's BK-tree keys children by their integer Hamming distance to
 the parent; a search follows only edges within the radius of its own distance. Shards stay bounded: one with more than
-CHUNK fingerprints is cut into chunks, and each pair of chunks is searched on its own. Only distinct fingerprints are
-searched, and a shard gives the edges of a spanning forest of its links. Shard trees are built where they are searched
-and aren't broadcast, since a broadcast would take all fingerprints through the driver.
+CHUNK fingerprints is cut into chunks, and each pair of chunks is searched on its own; one so large that pairs of chunks
+would carry more than the ball of two bits around each fingerprint gives its links by what those balls share. Only
+distinct fingerprints are searched, and a shard gives the edges of a spanning forest of its links. Shard trees are built
+where they are searched and aren't broadcast, since a broadcast would take all fingerprints through the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.shared import Forest, components, documents, forget, keep, small_batches
 
-RADIUS, SHINGLE, CHUNK = 3, 3, 256
+RADIUS, SHINGLE, CHUNK, _ALL = 3, 3, 256, 0xFFFF_FFFF_FFFF_FFFF
+#: A shard of more chunks than this is linked by balls: 65 values within one bit and 2,081 within two of each fingerprint.
+BALL = 1 + 64 + 64 * 63 // 2 + 65
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -80,7 +84,7 @@ def block_keys(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
         agree = blocks - radius
         edges = [64 * k // blocks for k in range(blocks + 1)]
         chosen = [[(edges[k], edges[k + 1] - edges[k]) for k in c] for c in combinations(range(blocks), agree)]
-        if n <= CHUNK // 16 << min(sum(bits for _, bits in c) for c in chosen):
+        if n <= 16 << min(sum(bits for _, bits in c) for c in chosen):
             break
     return chosen
 
@@ -90,24 +94,24 @@ def _shard_edges(radius: int):
         for batch in batches:
             out_a, out_b = [], []
             for members in batch.column("members"):
-                rows = [(m["fp"] & 0xFFFF_FFFF_FFFF_FFFF, m["id"], m["chunk"]) for m in members.as_py()]
-                first = min(c for _, _, c in rows)
-                apart = any(c != first for _, _, c in rows)
-                tree, ids, forest = Tree(), [], Forest()
-                for fp, doc_id, chunk in rows:
+                rows = [(m["fp"], m["chunk"]) for m in members.as_py()]
+                first = min(c for _, c in rows)
+                apart = any(c != first for _, c in rows)
+                tree, values, forest = Tree(), [], Forest()
+                for fp, chunk in rows:
                     if apart and chunk == first:
-                        tree.add(fp)
-                        ids.append(doc_id)
-                for fp, doc_id, chunk in rows:
+                        tree.add(fp & _ALL)
+                        values.append(fp)
+                for fp, chunk in rows:
                     if apart and chunk == first:
                         continue
-                    for k in tree.within(fp, radius):
-                        if forest.join(ids[k], doc_id):
-                            out_a.append(ids[k])
-                            out_b.append(doc_id)
+                    for k in tree.within(fp & _ALL, radius):
+                        if forest.join(values[k], fp):
+                            out_a.append(values[k])
+                            out_b.append(fp)
                     if not apart:
-                        tree.add(fp)
-                        ids.append(doc_id)
+                        tree.add(fp & _ALL)
+                        values.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return search
@@ -123,35 +127,101 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
+def _ball_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(centre, fp, near) of each fp: all values at most two bits away; near where at most one."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    masks = np.concatenate([np.zeros(1, np.uint64), one, one[i] | one[j]])
+    near = np.arange(len(masks)) <= 64
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            own = b.column("fp").slice(at, 64).to_numpy(zero_copy_only=False).view(np.uint64)
+            centres = (own[:, None] ^ masks).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(centres), pa.array(np.repeat(own.view(np.int64), len(masks))), pa.array(np.tile(near, len(own)))], ["centre", "fp", "near"])
+
+
+def ball_links(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the links within three bits among members (fp), in time linear in their number.
+
+    Two values are within three bits if one is within one bit and the other within two of some centre, so all that share
+    a centre with a value within one bit of it are linked, directly or through that value.
+    """
+    balls = members.select("fp").distinct().mapInArrow(_ball_edges, "centre long, fp long, near boolean")
+    hubs = balls.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count("*").alias("n")).where("a IS NOT NULL AND n > 1").select("centre", "a")
+    return balls.join(hubs, "centre").where("a <> fp").select("a", F.col("fp").alias("b"))
+
+
 def close_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that span the links among classes (fp, id), each fp there once."""
+    """Edges (a, b) that span the links among classes (fp), each fp there once."""
     keys = block_keys(classes.count(), radius)
     masked = lambda shift, bits: F.expr(f"shiftrightunsigned(fp, {shift}) & {(1 << bits) - 1}L")
     one = [F.struct(F.lit(k).alias("kind"), *(masked(s, b).alias(f"v{i}") for i, (s, b) in enumerate(parts))) for k, parts in enumerate(keys)]
-    rows = classes.select("fp", "id", F.explode(F.array(*one)).alias("key")).select("fp", "id", "key.*")
-    key = [c for c in rows.columns if c not in ("fp", "id")]
+    rows = classes.select("fp", F.explode(F.array(*one)).alias("key")).select("fp", "key.*")
+    key = [c for c in rows.columns if c != "fp"]
     sizes = keep(rows.groupBy(*key).count().where(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"), "large-shards")
     dealt = rows.join(sizes, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    by_tree = dealt if radius != 3 else dealt.where(F.col("chunks") <= BALL)
+    by_tree = by_tree.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = dealt.withColumn("other", other).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    shards = cells.groupBy(*key, "low", "high").agg(F.collect_list(F.struct("fp", "id", "chunk")).alias("members")).where(F.size("members") > 1)
-    edges = keep(shards.select("members").mapInArrow(_shard_edges(radius), "a long, b long").where("a <> b").distinct(), "links")
+    cells = by_tree.withColumn("other", other).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    shards = cells.groupBy(*key, "low", "high").agg(F.collect_list(F.struct("fp", "chunk")).alias("members")).where(F.size("members") > 1)
+    edges = shards.select("members").mapInArrow(_shard_edges(radius), "a long, b long")
+    if radius == 3 and not sizes.where(F.col("chunks") > BALL).isEmpty():
+        edges = edges.unionByName(ball_links(dealt.where(F.col("chunks") > BALL)))
+    edges = keep(edges.where("a <> b").distinct(), "links")
     forget(sizes)
     return edges
 
 
+def components_of(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of found (doc_id, fp): root names its group, component_id is the group's smallest doc_id."""
+    classes = keep(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    roots = keep(components(close_pairs(classes.select("fp"), radius)), "roots")
+    rooted = keep(classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "id"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = keep(rooted.select("fp", "root").join(least, "root"), "components")
+    forget(classes, roots, rooted)
+    return out.select("fp", "root", "component_id")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text).
+    """(doc_id, fp, component_id) for each row of docs (doc_id, text; more columns are ignored, whatever their names).
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null doc_id get the smallest id of their
-    group, and null if it has none.
+    Null and empty texts have fingerprint 0 and link like any other. Rows that share a doc_id or a whole text are rows of
+    their own. Rows with a null doc_id link too; they get the smallest id of their group, and null if it has none. An
+    empty table gives no rows.
     """
     found = keep(fingerprints(docs, shingle), "fingerprints")
-    classes = keep(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    roots = keep(components(close_pairs(classes.where("id IS NOT NULL"), radius)), "roots")
-    labelled = keep(classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "labelled")
-    return found.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return found.join(components_of(found, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each group the one with the smallest doc_id stays.
+
+    Where that doc_id stands on several rows of the group, or no row of the group has one, one of those rows stays.
+    """
+    found = keep(fingerprints(docs, shingle), "fingerprints")
+    of = components_of(found, radius)
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    odd = keep(rows.where("n > 1 OR doc_id IS NULL").select("doc_id"), "odd-ids")
+    first = found.join(of, "fp").where("doc_id = component_id").select("doc_id").join(odd, "doc_id", "left_anti")
+    plain = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi")
+    if odd.isEmpty():
+        return plain
+    # Rows whose id is null or stands on several: their fingerprints tell them apart.
+    again = docs.join(F.broadcast(odd) if odd.count() < 100_000 else odd, docs["doc_id"].cast("long").eqNullSafe(odd["doc_id"]), "left_semi")
+    tagged = _tagged(again, shingle).join(of.withColumnRenamed("fp", "__fp"), "__fp").where(F.col("component_id").eqNullSafe(F.col("doc_id").cast("long")))
+    return plain.unionByName(tagged.dropDuplicates(["root"]).select(*docs.columns))
+
+
+def _tagged(docs: DataFrame, shingle: int) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], pa.int64())], [*b.schema.names, "__fp"])
+
+    return small_batches(docs).mapInArrow(hashed, schema)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
