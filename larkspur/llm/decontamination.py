@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from larkspur.llm.substring_dedup import hashed_words
 
 #: Walks, steps of a walk, sampled steps, windows of an item, least similarity, items sent to the executors at once.
 REPEATS, STEPS, SAMPLES, ANCHORS, SIMILARITY, ITEMS = 5, 96, 6, 12, 0.8, 20_000
+#: Bytes of items' text sent at once.
+ITEM_BYTES = 4_000_000
 #: Walks of unlike texts differ in about nine steps of ten.
 FAR = 0.5
 _END = 0xFF  # stands in no UTF-8 text
@@ -289,8 +292,8 @@ class Index:
             at += self.bits[k, step][c]
         return left, code
 
-    def hits(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
-        """(text's place, item_id, edit distance, start in the normalised text's bytes), the best for each text and item."""
+    def hits(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
+        """(text's place, item_id, edit distance, similarity, start in the normalised text's bytes), the best for each text and item."""
         b = folded(texts)
         begins = np.flatnonzero(b == 0)
         starts, hashes = hashed_words(b, (b != 32) & (b != 0))
@@ -335,47 +338,78 @@ class Index:
         checked = dict(zip(pairs, edit_distances_within(plain, pairs)))
         for text, number, start, pair in places:
             if checked[pair] <= most[number]:
-                found, key = (checked[pair], start), (text, self.items[number][0])
+                found, key = (checked[pair], start), (text, number)
                 best[key] = min(best.get(key, found), found)
-        return [(text, item_id, *found) for (text, item_id), found in sorted(best.items())]
+        return [(text, self.items[number][0], d, 1 - d / len(plain[number]), start) for (text, number), (d, start) in sorted(best.items())]
 
 
-def _matched(index: Index, similarity: float):
+def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """texts in parts of about two million characters, each with the place of its first."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < 2_000_000):
+            size += len(texts[end])
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
+def _matched(index: Broadcast, similarity: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            at, rows = 0, []
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
-                    size += len(texts[end])
-                    end += 1
-                lengths = {i: len(b.decode()) for i, b in index.items}
-                rows += [(ids[at + k], i, d, 1 - d / lengths[i], s) for k, i, d, s in index.hits(texts[at:end], similarity)]
-                at = end
+            rows = []
+            for begin, part in _parts(texts):
+                rows += [(ids[begin + k], i, d, near, s) for k, i, d, near, s in index.value.hits(part, similarity)]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "edit_distance", "similarity", "start"])
 
     return match
 
 
+def _lots(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, in lots of at most about ITEMS rows and ITEM_BYTES bytes of text."""
+    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    lots = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
+    for lot in range(lots):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot).orderBy("item_id", "text").collect()
+        yield [(r.item_id, r.text) for r in own]
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, edit_distance, similarity, start) for each row of docs and each benchmark item it holds.
 
     similarity: 1 less the edit distance's share of the item's length. Null and empty texts hold nothing, null and empty
-    items are held by none; repeated items are each reported, repeated rows too. More columns are ignored. Items go to
-    the executors at most ITEMS at a time, each lot with a pass of its own, so what is sent is bounded.
+    items are held by none; repeated items are each reported, repeated rows and rows without a doc_id too. Of the places
+    where a row holds an item, the one with the smallest distance and then the smallest start is given. More columns are
+    ignored, whatever their names; an empty table gives no rows. Items go to the executors in bounded lots, each with a
+    pass of its own over docs.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    lots = max(1, -(-items.count() // ITEMS))
     out = None
-    for lot in range(lots):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(lots)) == lot).orderBy("item_id", "text").collect()
-        found = rows.mapInArrow(_matched(Index([(r.item_id, r.text) for r in own]), similarity), "doc_id long, item_id long, edit_distance long, similarity double, start long")
+    for lot in _lots(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(Index(lot))
+        found = rows.mapInArrow(_matched(index, similarity), "doc_id long, item_id long, edit_distance long, similarity double, start long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no benchmark item; rows without a doc_id are judged like any other."""
+    for lot in _lots(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(Index(lot))
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                held = {begin + k for begin, part in _parts(texts) for k, *_ in index.value.hits(part, similarity)}
+                yield batch.filter(pa.array([k not in held for k in range(len(texts))], pa.bool_()))
+
+        docs = small_batches(docs).mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

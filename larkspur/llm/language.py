@@ -161,6 +161,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return small_batches(docs).mapInArrow(predicted, schema)
 
 
+def without_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text the model doesn't reject."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not rejected for _, _, rejected in model.predict(b.column("text").to_pylist())], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(kept, docs.schema)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), train(docs))
