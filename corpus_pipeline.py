@@ -11,38 +11,53 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, language, packing, pii, simhash
-from larkspur.llm.shared import documents, keep
+from larkspur.llm.shared import documents, forget, keep
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects: no letter, or too far from every language."""
-    found = language.identify(docs, language.train(docs))
-    return found.where("NOT lang_rejected").select(*docs.columns)
+    """Drops documents that the language model rejects: null, empty and letterless texts, and texts too far from every language.
+
+    Each row is judged by its text alone, so ties and repeated rows share their fate and rows without a doc_id are judged
+    like any other. A very long text is read whole. Columns pass as they are, whatever their names; an empty table stays empty.
+    """
+    return language.without_rejected(docs, language.train(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked fingerprints."""
-    groups = simhash.groups(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps the row with the smallest doc_id of each group of linked fingerprints.
+
+    Null and empty texts are alike. Of rows that repeat whole, or tie for the smallest doc_id of their group, one stays;
+    of a group whose rows all lack a doc_id, one stays. Columns pass as they are; an empty table stays empty.
+    """
+    return simhash.one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    hits = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(keep(hits.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, wherever in the text.
+
+    Each row is judged by its text alone: null and empty texts stay, repeated rows share their fate, rows without a doc_id
+    are judged like any other. Columns pass as they are; an empty table stays empty, an empty benchmark drops nothing.
+    """
+    return decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the name of its kind in place of each span of personal data."""
+    """Puts the name of its kind in place of each span of personal data; n_chars follows.
+
+    Every row stays, also without a doc_id or repeated; null texts stay null, empty ones empty. Overlapping spans become
+    one, named for the first. Other columns pass as they are; an empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their sequences and places."""
+    """The pieces of the documents with their sequences and places.
+
+    A null or empty text is its end id alone. Rows without a doc_id and repeated rows are packed each; ties among pieces of
+    one length are free to go anywhere. A very long text is cut into pieces; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -58,7 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)
+        forget(before)
+        before = docs
     return docs
