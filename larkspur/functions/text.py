@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,23 @@ EXCLUSIONS = [
     "we are unable to offer visa sponsorship", "we are unable to sponsor", "unable to offer sponsorship", "cannot offer visa sponsorship", "cannot offer sponsorship",
     "no sponsorship is available", "sponsorship is not available", "visa sponsorship is not available", "does not attract visa sponsorship", "does not attract sponsorship",
 ]
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case letters whose canonical decomposition is an ASCII letter and combining marks, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x2000)]
+    kept = [(c, d[0]) for c, d in pairs if c.islower() and len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in kept), "".join(p for _, p in kept)
+
+
+_ACCENTED, _PLAIN = _folding()
+
+
+# What is taken out of captured pages, and what stands there instead.
+REDACTIONS = [
+    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "redacted@example.ac.uk"), (r"\+44\s?\(?0?\)?[\d\s-]{9,13}", "+44 000 000 0000"),
+    (r"\b0\d{3}\s?\d{3}\s?\d{4}\b", "0000 000 0000"), (r"AIza[0-9A-Za-z_-]{35}", "REDACTED-API-KEY"),
+]
 
 
 def collapse(c: Column) -> Column:
@@ -33,8 +50,8 @@ def collapse(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Of lower-cased Latin text; ß becomes ss as under case folding."""
-    return F.translate(F.replace(c, F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN)
+    """STR-01, of lower-cased text: accented Latin letters and combining marks; ß becomes ss as under case folding."""
+    return F.regexp_replace(F.translate(F.replace(c, F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN), r"\p{Mn}+", "")
 
 
 def normalise_name(c: Column) -> Column:
@@ -89,6 +106,13 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
+def trigram_similarity(left: Column, right: Column) -> Column:
+    """STR-07: shared trigrams over all trigrams of both; 0 where neither has any."""
+    a, b = trigrams(left), trigrams(right)
+    both = F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda g: F.struct(F.size(F.array_intersect(g["a"], g["b"])).alias("n"), (F.size(g["a"]) + F.size(g["b"])).alias("m"))), F.lit(0))
+    return F.get(F.transform(F.array(both), lambda x: F.when(x["m"] > 0, x["n"] / (x["m"] - x["n"])).otherwise(0.0)), F.lit(0))
+
+
 def normalise_query(c: Column) -> Column:
     """STR-13: collapsed, lower case, at most 200 characters."""
     return F.substring(F.lower(collapse(c)), 1, 200)
@@ -127,6 +151,7 @@ def slugify(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """SNK-10: e-mail addresses and phone numbers out of captured pages."""
-    c = F.regexp_replace(c, r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "redacted@example.invalid")
-    return F.regexp_replace(c, r"\+\d[\d ()-]{7,}\d", "00000 000000")
+    """SNK-10: e-mail addresses, phone numbers and API keys out of captured pages."""
+    for pattern, instead in REDACTIONS:
+        c = F.regexp_replace(c, pattern, instead)
+    return c

@@ -1,77 +1,190 @@
-"""Filtering, facets, ranking and pages of vacancies."""
+"""Filtering, facets, ranking, pages and rows of vacancies. Whose saved jobs, scores and applications is always an argument."""
 
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPONSORING = ["CONFIRMED", "B_RATED", "PROVISIONAL", "SEEDED"]
+from larkspur.functions import lexemes
+from larkspur.operators.screening import SPONSORING
+
+# The dimensions that facets are counted by.
+DIMENSIONS = ["institution", "nation", "category", "discipline", "status", "source", "contract_type", "hours", "workplace", "sponsor_verdict", "threshold_verdict"]
+#: Filters that take one value; all others take alternatives.
+SINGLE = ["q", "city", "sponsorable", "salary_min", "salary_max", "min_fitness", "posted_after", "closing_before", "closing_after", "saved", "order"]
+RANGES = {"posted_after": ("posted_date", ">="), "closing_before": ("closing_date", "<="), "closing_after": ("closing_date", ">="), "salary_min": ("salary_min", ">="), "salary_max": ("salary_min", "<=")}
 
 
 def sponsorable() -> Column:
     """FLT-08; its negation is null-safe."""
-    return F.coalesce(F.col("sponsor_verdict").isin(SPONSORING) & ~F.col("excluded"), F.lit(False))
+    return F.coalesce(F.col("sponsor_verdict").isin(SPONSORING) & ~F.col("advert_excludes_sponsorship"), F.lit(False))
 
 
 def conditions(params: dict) -> dict[str, Column]:
-    """A Column for each parameter given; many values are alternatives."""
+    """FLT-01 to 11: a Column for each parameter given; many values are alternatives. Both salary limits compare the floor."""
     out: dict[str, Column] = {}
     for name, value in params.items():
-        if name in ("salary_min", "salary_max"):  # both compare the floor
-            out[name] = F.col("salary_floor") >= value if name == "salary_min" else F.col("salary_floor") <= value
-        elif name == "posted_after":
-            out[name] = F.col("posted_date") >= F.lit(value).cast("date")
-        elif name in ("closing_before", "closing_after"):
-            end = F.lit(value).cast("date")
-            out[name] = F.col("closing_date") <= end if name == "closing_before" else F.col("closing_date") >= end
+        if name in RANGES:
+            column, sign = RANGES[name]
+            end = F.lit(value).cast("decimal(12,2)" if column == "salary_min" else "date")
+            out[name] = F.col(column) >= end if sign == ">=" else F.col(column) <= end
         elif name == "city":
             out[name] = F.contains(F.lower("city"), F.lit(value.lower()))
         elif name == "sponsorable":
             out[name] = sponsorable() if value else ~sponsorable()
         elif name == "min_fitness":
-            out[name] = F.coalesce("fitness", F.lit(0)) >= value
-        else:
+            out[name] = F.coalesce("fitness_score", F.lit(0)) >= value
+        elif name == "saved":  # rows of with_owner(); nobody's saved jobs are nobody's
+            out[name] = F.col("is_saved") if value else ~F.col("is_saved")
+        elif name in DIMENSIONS:
             out[name] = F.col(name).isin(list(value))
+        elif name not in ("q", "order"):
+            raise ValueError(f"unknown filter {name}")
     return out
 
 
+def _all(tests) -> Column:
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
 def filtered(jobs: DataFrame, params: dict) -> DataFrame:
-    return jobs.where(reduce(lambda a, b: a & b, conditions(params).values(), F.lit(True)))
+    return jobs.where(_all(conditions(params).values()))
+
+
+def listed(jobs: DataFrame, params: dict, default_open: bool = True) -> DataFrame:
+    """FLT-14: a list asked for without any parameter shows open vacancies alone."""
+    return jobs.where("status = 'OPEN'") if default_open and not params else filtered(jobs, params)
+
 
+def with_owner(jobs: DataFrame, owner: int | None, saved: DataFrame, scores: DataFrame, applications: DataFrame) -> DataFrame:
+    """PRJ-03, JOIN-03 to 05, FLT-18: jobs with this owner's is_saved, fitness_score, fitness_reasons, application_id and application_status.
 
-def facets(jobs: DataFrame, params: dict, dimensions: list[str]) -> DataFrame:
+    saved, scores and applications have at most one row for each owner and job. No owner: nothing saved, scored or applied to.
+    """
+    mine = lambda t: t.where(F.col("owner").eqNullSafe(F.lit(owner)) & F.lit(owner is not None))
+    s = mine(saved).select("job_id", F.lit(True).alias("is_saved"))
+    f = mine(scores).select("job_id", F.col("score").alias("fitness_score"), "reasons")
+    a = mine(applications).select("job_id", "application_id", F.col("status").alias("application_status"))
+    j = jobs.join(s, "job_id", "left").join(f, "job_id", "left").join(a, "job_id", "left")
+    return j.withColumns({"is_saved": F.coalesce("is_saved", F.lit(False)), "fitness_score": F.coalesce("fitness_score", F.lit(0)), "fitness_reasons": F.col("reasons")}).drop("reasons")
+
+
+def owned(rows: DataFrame, owner: int) -> DataFrame:
+    """FLT-18: personal tables are never read without an owner."""
+    return rows.where(F.col("owner") == owner)
+
+
+def facets(jobs: DataFrame, params: dict, dimensions: list[str] = DIMENSIONS) -> DataFrame:
     """AGG-01 in one pass: a dimension's values count under all filters but its own."""
-    tests = conditions(params)
-    rows = []
-    for d in dimensions:
-        others = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for k, c in tests.items() if k != d], F.lit(True))
-        rows.append(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), others.alias("ok")))
-    flat = jobs.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("ok AND value IS NOT NULL AND value <> ''")
+    tests = {k: F.coalesce(c, F.lit(False)) for k, c in conditions(params).items()}
+    tested = jobs.select(*dimensions, *[c.alias(f"__{k}") for k, c in tests.items()])
+    rows = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), _all(F.col(f"__{k}") for k in tests if k != d).alias("ok")) for d in dimensions]
+    flat = tested.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("ok AND value IS NOT NULL AND value <> ''")
     return flat.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+def browse(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """AGG-25: counts of a facet beside every label (grouping, position, value, label), 0 where it has none."""
+    c = counts.where("dimension = 'discipline'").select("value", "n")
+    return labels.join(c, "value", "left").select("grouping", "position", "value", "label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 #: ORD-01 with PostgreSQL's places for nulls: last ascending, first descending.
-KEYS = {"posted": "posted_date", "closing": "closing_date", "fitness": "fitness", "salary": "salary_floor", "seen": "first_seen_at", "title": "title"}
+KEYS = {"posted": "posted_date", "closing": "closing_date", "fitness": "fitness_score", "salary": "salary_min", "seen": "first_seen", "title": "title"}
+#: ORD-03.
+NEWEST = ["-posted", "-seen"]
 
 
 def order_by(keys: list[str]) -> list[Column]:
     return [F.desc_nulls_first(KEYS[k[1:]]) if k[0] == "-" else F.asc_nulls_last(KEYS[k]) for k in keys]
 
 
+def with_vectors(jobs: DataFrame) -> DataFrame:
+    """STR-15: jobs with what full-text search reads; worth storing."""
+    everything = F.concat_ws(" ", "title", "department", "name", "description_text")
+    return jobs.withColumns({"title_vector": lexemes.lexemes(F.col("title")), "search_vector": lexemes.lexemes(everything)})
+
+
 def ladder(query: str) -> Column:
-    """ORD-02 by substrings: title before department or institution before description; 0: no match."""
+    """STR-17 and ORD-02: 5 title by words, 4 title by letters, 3 department or institution, 2 any field by words, 1 description by letters, 0 none."""
     q = F.lit(query.lower())
     inside = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
-    return F.when(inside("title"), 4).when(inside("department") | inside("name"), 3).when(inside("description_text"), 1).otherwise(0)
+    rungs = [(5, lexemes.websearch(query, F.col("title_vector"))), (4, inside("title")), (3, inside("department") | inside("name")), (2, lexemes.websearch(query, F.col("search_vector"))), (1, inside("description_text"))]
+    out = F
+    for value, test in rungs:
+        out = out.when(test, value)
+    return out.otherwise(0)
 
 
 def searched(jobs: DataFrame, query: str) -> DataFrame:
-    return jobs.withColumn("relevance", ladder(query)).where("relevance > 0")
+    """Jobs with vectors that any rung finds, with their relevance; a blank query finds all."""
+    term = query.strip()
+    return jobs.withColumn("relevance", ladder(term)).where("relevance > 0") if term else jobs.withColumn("relevance", F.lit(0))
+
 
+def ordered(jobs: DataFrame, order: list[str] | None, query: str = "") -> DataFrame:
+    """ORD-02: an order asked for comes first, else relevance of a search, else the newest; job_id settles ties."""
+    keys = order_by(order) if order else [F.desc("relevance"), F.desc_nulls_first("posted_date")] if query.strip() else order_by(NEWEST)
+    return jobs.orderBy(*keys, "job_id")
 
-def page(ordered: DataFrame, number: int, size: int = 25) -> DataFrame:
+
+def page(rows: DataFrame, number: int, size: int = 25) -> DataFrame:
     """LIM-01 after a total order; size at most 200."""
     size = max(1, min(size, 200))
-    return ordered.offset((max(number, 1) - 1) * size).limit(size)
+    return rows.offset((max(number, 1) - 1) * size).limit(size)
+
+
+def page_counts(rows: DataFrame, size: int = 25) -> DataFrame:
+    """LIM-01: one row (count, total_pages)."""
+    size = max(1, min(size, 200))
+    return rows.agg(F.count("*").alias("count")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("count") / size)).cast("long"))
+
+
+_SCREENING = ["sponsor_verdict", "sponsor_matched_name", "advert_excludes_sponsorship", "salary_min", "salary_max", "threshold_verdict", "threshold_explanation"]
+_LIST = "job_id title name institution nation department category discipline city location_raw salary_raw grade_raw contract_raw hours_raw contract_type hours workplace posted_date closing_date status source source_url first_seen last_seen".split()
+
+
+def list_rows(jobs: DataFrame) -> DataFrame:
+    """PRJ-01 and PRJ-04: what a list shows of with_owner()'s screened jobs, the screening nested. An unscreened row is an error."""
+    screening = F.when(F.col("sponsor_verdict").isNull(), F.raise_error(F.concat(F.lit("no screening for job "), F.col("job_id").cast("string")))).otherwise(F.struct(*_SCREENING))
+    return jobs.select(*_LIST, screening.alias("screening"), "is_saved", "fitness_score", "fitness_reasons")
+
+
+def detail_rows(jobs: DataFrame, revisions: DataFrame, newest: int = 20) -> DataFrame:
+    """PRJ-02: list rows with the advert, the owner's application and the last revisions (field, before, after, changed_at), newest first."""
+    change = F.struct("changed_at", "revision_id", "field", F.col("value_before").alias("before"), F.col("value_after").alias("after"))
+    r = revisions.join(jobs.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(F.slice(F.sort_array(F.collect_list(change), False), 1, newest).alias("revisions"))
+    more = jobs.select("job_id", "description_text", "reference", F.col("source_url").alias("apply_url"), "application_id", "application_status")
+    return list_rows(jobs).join(more, "job_id").join(r, "job_id", "left").withColumn("revisions", F.coalesce("revisions", F.array().cast(r.schema["revisions"].dataType)))
+
+
+def parse_saved(query: str) -> dict:
+    """JSN-03 and JSN-04: a saved search's query string as filters; repeated keys are alternatives."""
+    out: dict = {}
+    for key, values in parse_qs(query).items():
+        parts = [p for v in values for p in v.split(",") if p]
+        if key in ("sponsorable", "saved"):
+            out[key] = values[0].lower() == "true"
+        elif key in ("min_fitness", "salary_min", "salary_max"):
+            out[key] = int(float(values[0]))
+        elif key == "order":
+            out[key] = parts
+        elif key in SINGLE:
+            out[key] = values[0]
+        elif key in DIMENSIONS:
+            out[key] = parts
+    return out
+
+
+def query_string(params: dict) -> str:
+    """JSN-04: the reverse of parse_saved()."""
+    pairs = [(k, str(x).lower() if isinstance(x, bool) else x) for k, v in params.items() for x in (v if isinstance(v, list) else [v])]
+    return urlencode(pairs)
+
+
+def active_count(params: dict) -> int:
+    """JSN-04: how many filters are set; the order isn't one."""
+    return sum(1 for k, v in params.items() if k != "order" and v not in (None, "", []))

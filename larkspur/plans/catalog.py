@@ -2,214 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions import classify, salary, text
-from larkspur.operators import insights, records, search
-from larkspur.sources import files
-from larkspur.sources.tables import APPLICATION, EVENT, INSTITUTION, JOB, RUN, SEARCH, frame, plain
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-#: Figures of a rule set; data, given to every function that needs them.
-RULES = {"personal_floor": 60000, "current_package": 120000, "going_rate": 200000, "standard_general": 90000}
-_VIEWS = {"event": EVENT, "institution": INSTITUTION, "job": JOB, "search": SEARCH, "application": APPLICATION, "run": RUN}
-
-
-def query(name: str, view: str, sql: str | None = None, *more: str):
-    """Register a function of the named canonical frames; sql reads them by the same names."""
-
-    def add(function):
-        QUERIES[name] = lambda spark, sf_dir: function(*[frame(spark, sf_dir, _VIEWS.get(v, f"SELECT * FROM {{{v}}}")) for v in (view, *more)])
-        if sql:
-            views = ", ".join(f"{v} AS ({plain(_VIEWS[v])})" for v in (view, *more) if v in _VIEWS)
-            ORACLES[name] = (f"WITH {views} " if views else "") + sql
-        return function
-
-    return add
-
-
-def rules() -> dict:
-    return {k: F.lit(v).cast("decimal(12,2)") for k, v in RULES.items()}
-
-
-# Insights.
-query("agg_03_events_by_kind", "event", "SELECT kind, count(*) AS n FROM event GROUP BY kind")(insights.by_kind)
-query("agg_04_overview", "event", """SELECT count(DISTINCT actor) AS candidates, count(*) FILTER (kind = 'SEARCH') AS searches, count(*) FILTER (kind = 'SEARCH' AND result_count = 0) AS empty_searches,
- count(*) FILTER (kind = 'JOB_VIEW') AS views, count(*) FILTER (kind = 'APPLY') AS applications,
- round(count(*) FILTER (kind = 'SEARCH' AND result_count = 0) / count(*) FILTER (kind = 'SEARCH'), 3) AS empty_rate,
- round(count(*) FILTER (kind = 'APPLY') / count(*) FILTER (kind = 'JOB_VIEW'), 3) AS apply_rate FROM event WHERE actor_role = 'CANDIDATE'""")(insights.overview)
-query("agg_06_activity_by_day", "event", "SELECT day, " + ", ".join(f"nullif(count(*) FILTER (kind = '{k}'), 0) AS {k.lower()}" for k in insights.KINDS) + " FROM event GROUP BY day")(insights.activity_by_day)
-query("agg_09_demand_by_nation", "event", """SELECT nation, count(*) FILTER (kind = 'SEARCH') AS searches, count(*) FILTER (kind = 'JOB_VIEW') AS views, count(*) FILTER (kind = 'APPLY') AS applications, count(*) AS total
- FROM event WHERE kind IN ('SEARCH', 'JOB_VIEW', 'APPLY') AND nation IS NOT NULL GROUP BY nation ORDER BY total DESC, nation LIMIT 15""")(lambda e: insights.demand_by(e, "nation"))
-query("agg_10_engagement", "event", """SELECT institution_id, views, applications, total, name FROM (SELECT institution_id, count(*) FILTER (kind = 'JOB_VIEW') AS views, count(*) FILTER (kind = 'APPLY') AS applications,
- count(*) AS total FROM event GROUP BY institution_id) JOIN institution USING (institution_id) ORDER BY total DESC, institution_id LIMIT 20""", "institution")(insights.engagement)
-query("agg_11_posting_trends", "job", """SELECT institution_id, count(*) AS posted, count(*) FILTER (status = 'OPEN') AS open, count(*) FILTER (status = 'DISAPPEARED') AS disappeared,
- count(*) FILTER (status = 'WITHDRAWN') AS withdrawn FROM job GROUP BY institution_id""")(lambda j: insights.posting_trends(j, "institution_id"))
-query("agg_12_postings_by_day", "job", """SELECT posted_date, count(*) AS posted, count(*) FILTER (status = 'OPEN') AS open, count(*) FILTER (status = 'DISAPPEARED') AS disappeared,
- count(*) FILTER (status = 'WITHDRAWN') AS withdrawn FROM job GROUP BY posted_date""")(lambda j: insights.posting_trends(j, "posted_date"))
-_STOP = ", ".join(f"'{w}'" for w in text.QUERY_STOPWORDS)
-_NORMAL = r"substring(lower(trim(regexp_replace(query, '\s+', ' ', 'g'))), 1, 200)"
-_TERMS = rf"""terms AS (SELECT day, actor, unnest(list_distinct(list_filter(list_transform(regexp_extract_all({_NORMAL}, '[a-z0-9][a-z0-9+#.\-]*'), lambda t: regexp_replace(t, '^[.\-]+|[.\-]+$', '', 'g')),
- lambda t: length(t) >= 2 AND t NOT IN ({_STOP})))) AS term FROM search)"""
-query("agg_08_top_searches", "search", f"""SELECT {_NORMAL} AS term, count(*) AS occurrences, count(DISTINCT actor) AS searchers, count(*) FILTER (result_count = 0) AS empty
- FROM search GROUP BY 1 HAVING term <> '' ORDER BY occurrences DESC, term LIMIT 20""")(insights.top_searches)
-query("agg_13_term_rollup", "search", f"SELECT day, term, count(*) AS occurrences, count(DISTINCT coalesce(CAST(actor AS VARCHAR), '')) AS searchers FROM {{terms}} GROUP BY day, term")(insights.term_rollup)
-query("agg_07_word_cloud", "search", """SELECT term, CAST(sum(o) AS BIGINT) AS occurrences, CAST(sum(s) AS BIGINT) AS searchers FROM (SELECT day, term, count(*) AS o,
- count(DISTINCT coalesce(CAST(actor AS VARCHAR), '')) AS s FROM {terms} GROUP BY day, term) GROUP BY term ORDER BY occurrences DESC, term LIMIT 80""")(lambda s: insights.word_cloud(insights.term_rollup(s)))
-for _name in ("agg_13_term_rollup", "agg_07_word_cloud"):
-    ORACLES[_name] = ORACLES[_name].replace(") SELECT", f"), {_TERMS} SELECT", 1).replace("{terms}", "terms")
-query("ret_01_prune_events", "event", "SELECT event_id, day FROM event WHERE day >= DATE '2024-01-30' - 14")(lambda e: insights.prune(e, F.lit("2024-01-30").cast("date"), 14).select("event_id", "day"))
-query("flt_17_candidate_searches", "event", "SELECT event_id FROM event WHERE kind = 'SEARCH' AND actor_role = 'CANDIDATE'")(lambda e: e.where("kind = 'SEARCH' AND actor_role = 'CANDIDATE'").select("event_id"))
-
-# Filters, facets, order and pages.
-_PARAMS = {"status": ["OPEN", "DISAPPEARED"], "category": ["1-URGENT", "2-HIGH", "3-MEDIUM"], "posted_after": "1996-01-01", "min_fitness": 20}
-_TESTS = {"status": "status IN ('OPEN', 'DISAPPEARED')", "category": "category IN ('1-URGENT', '2-HIGH', '3-MEDIUM')", "posted_after": "posted_date >= DATE '1996-01-01'", "min_fitness": "fitness >= 20"}
-query("flt_01_filtered_jobs", "job", "SELECT job_id FROM job WHERE " + " AND ".join(_TESTS.values()))(lambda j: search.filtered(j, _PARAMS).select("job_id"))
-query("flt_08_sponsorable", "job", "SELECT job_id FROM job WHERE sponsor_verdict IN ('CONFIRMED', 'B_RATED') AND NOT excluded")(lambda j: search.filtered(j, {"sponsorable": True}).select("job_id"))
-query("flt_08_not_sponsorable", "job", "SELECT job_id FROM job WHERE NOT coalesce(sponsor_verdict IN ('CONFIRMED', 'B_RATED') AND NOT excluded, false)")(lambda j: search.filtered(j, {"sponsorable": False}).select("job_id"))
-query("flt_11_closing_window", "job", "SELECT job_id FROM job WHERE closing_date >= DATE '1997-01-01' AND closing_date <= DATE '1997-06-30'")(lambda j: search.filtered(j, {"closing_after": "1997-01-01", "closing_before": "1997-06-30"}).select("job_id"))
-query("flt_03_city_contains", "institution", "SELECT institution_id FROM institution WHERE contains(lower(city), '1')")(lambda i: search.filtered(i, {"city": "1"}).select("institution_id"))
-query("flt_15_crawlable", "institution", "SELECT institution_id FROM institution WHERE crawl_enabled")(lambda i: i.where("crawl_enabled").select("institution_id"))
-_DIMENSIONS = ["status", "category", "sponsor_verdict"]
-query("agg_01_facets", "job", " UNION ALL ".join(
-    f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS n FROM job WHERE {' AND '.join(t for k, t in _TESTS.items() if k != d)} AND {d} <> '' GROUP BY {d}" for d in _DIMENSIONS
-))(lambda j: search.facets(j, _PARAMS, _DIMENSIONS))
-query("agg_02_facet_total", "job", "SELECT count(*) AS n FROM job WHERE " + " AND ".join(_TESTS.values()))(lambda j: search.filtered(j, _PARAMS).agg(F.count("*").alias("n")))
-query("ord_01_sorted_page", "job", "SELECT job_id, fitness, posted_date FROM job ORDER BY fitness DESC NULLS FIRST, posted_date DESC NULLS FIRST, job_id LIMIT 25 OFFSET 25")(
-    lambda j: search.page(j.orderBy(*search.order_by(["-fitness", "-posted"]), "job_id"), 2).select("job_id", "fitness", "posted_date")
-)
-query("str_17_substring_search", "job", """SELECT job_id, CASE WHEN contains(lower(title), '12') THEN 4 WHEN contains(lower(name), '12') THEN 3 ELSE 0 END AS relevance FROM job JOIN institution USING (institution_id)
- WHERE contains(lower(title), '12') OR contains(lower(name), '12')""", "institution")(
-    lambda j, i: search.searched(j.join(i, "institution_id").withColumns({"department": F.lit(""), "description_text": F.lit("")}), "12").select("job_id", "relevance")
-)
-query("join_01_job_institution", "job", "SELECT job_id, name, nation FROM job JOIN institution USING (institution_id)", "institution")(lambda j, i: j.join(i, "institution_id").select("job_id", "name", "nation"))
-query("join_03_saved_flag", "job", "SELECT job_id, EXISTS (SELECT 1 FROM application a WHERE a.event_id = job_id AND a.owner = 7) AS is_saved FROM job", "application")(
-    lambda j, a: j.join(a.where("owner = 7").select(F.col("event_id").alias("job_id"), F.lit(True).alias("s")).distinct(), "job_id", "left").select("job_id", F.col("s").isNotNull().alias("is_saved"))
-)
-query("join_08_unscreened", "job", "SELECT job_id FROM job WHERE sponsor_verdict IS NULL AND job_id NOT IN (SELECT event_id FROM application WHERE owner < 20)", "application")(
-    lambda j, a: j.where("sponsor_verdict IS NULL").join(a.where("owner < 20").select(F.col("event_id").alias("job_id")), "job_id", "left_anti").select("job_id")
-)
-query("agg_14_open_jobs", "institution", "SELECT institution_id, count(job_id) FILTER (status = 'OPEN') AS open_jobs FROM institution LEFT JOIN job USING (institution_id) GROUP BY institution_id", "job")(
-    lambda i, j: i.select("institution_id").join(j.groupBy("institution_id").agg(F.count_if(F.col("status") == "OPEN").alias("n")), "institution_id", "left").select("institution_id", F.coalesce("n", F.lit(0)).alias("open_jobs"))
-)
-query("agg_16_jobs_by_status", "job", "SELECT status, count(*) AS n FROM job GROUP BY status")(lambda j: j.groupBy("status").agg(F.count("*").alias("n")))
-query("dat_01_closing_soon", "job", "SELECT job_id, closing_date >= DATE '1998-01-01' AND closing_date <= DATE '1998-01-08' AS soon FROM job")(
-    lambda j: j.select("job_id", F.coalesce(F.col("closing_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-01-08").cast("date")), F.lit(False)).alias("soon"))
-)
-
-# Salaries, thresholds and classes.
-_AMOUNTS = r"list_transform(regexp_extract_all(salary_raw, '(?i)(?:£|GBP\s?)\s*((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?)', 1), lambda a: CAST(replace(a, ',', '') AS DECIMAL(14,2)))"
-_PARSED = f"""amounts AS (SELECT job_id, salary_raw, {_AMOUNTS} AS a FROM job), figures AS (
- SELECT job_id, salary_raw, len(a) = 0 OR len(list_filter(a, lambda x: x < 1000 OR x > 500000)) > 0 AS bad, starts_with(salary_raw, 'Up to') AS ceiling, len(a) > 1 AS many, a[1] AS first, list_max(a) AS top,
- contains(salary_raw, ' - ') AS dangling FROM amounts), parsed AS (
- SELECT job_id, salary_raw, CASE WHEN NOT bad AND NOT ceiling THEN CAST(first AS DOUBLE) END AS minimum, CASE WHEN bad THEN NULL WHEN ceiling OR many THEN CAST(top AS DOUBLE) WHEN NOT dangling THEN CAST(first AS DOUBLE) END AS maximum,
- CASE WHEN bad THEN 'UNPARSEABLE' WHEN ceiling OR many THEN 'PARSED' WHEN dangling THEN 'LOW' ELSE 'EXACT' END AS confidence,
- CASE WHEN contains(salary_raw, 'per month') THEN 'MONTHLY' WHEN contains(salary_raw, 'per annum') THEN 'ANNUAL' ELSE 'UNKNOWN' END AS period,
- nullif(regexp_extract(salary_raw, 'Grade \\d+'), '') AS grade FROM figures)"""
-
-
-def _with_parsed(name: str) -> None:
-    ORACLES[name] = ORACLES[name].replace(") SELECT", f"), {_PARSED} SELECT", 1)
-
-
-query("sal_06_parse_salary", "job", "SELECT job_id, minimum, maximum, confidence, period, grade FROM parsed")(
-    lambda j: j.select("job_id", salary.parse_salary(F.col("salary_raw")).alias("s")).select("job_id", F.col("s.minimum").cast("double").alias("minimum"), F.col("s.maximum").cast("double").alias("maximum"), "s.confidence", "s.period", "s.grade")
-)
-query("thr_01_screened_bands", "job", """SELECT job_id, CASE WHEN minimum IS NULL OR period = 'MONTHLY' THEN 'SALARY_UNCLEAR' WHEN minimum < 60000 THEN 'EXCLUDED_BELOW_FLOOR' WHEN minimum < 120000 THEN 'PAY_CUT'
- WHEN minimum < 200000 THEN 'LATERAL_CONTINGENT' ELSE 'TARGET_BAND' END AS verdict, CASE WHEN period <> 'MONTHLY' THEN minimum END AS screened_on, CASE WHEN period <> 'MONTHLY' THEN minimum >= 90000 END AS general_threshold_met,
- CASE WHEN period <> 'MONTHLY' THEN minimum >= 200000 END AS going_rate_met FROM parsed""")(
-    lambda j: j.select("job_id", salary.assess(salary.parse_salary(F.col("salary_raw")), rules()).alias("a")).select("job_id", "a.verdict", F.col("a.screened_on").cast("double").alias("screened_on"), "a.general_threshold_met", "a.going_rate_met")
-)
-_with_parsed("sal_06_parse_salary")
-_with_parsed("thr_01_screened_bands")
-query("scr_01_advert_overrides", "job", "SELECT job_id, CASE WHEN excluded THEN 'NOT_FOUND' ELSE coalesce(sponsor_verdict, 'NOT_FOUND') END AS verdict FROM job")(
-    lambda j: j.select("job_id", F.when(F.col("excluded"), "NOT_FOUND").otherwise(F.coalesce("sponsor_verdict", F.lit("NOT_FOUND"))).alias("verdict"))
-)
-_ADVERT = "CASE doc_id % 6 WHEN 0 THEN concat('Fixed-term role, hybrid. ', text) WHEN 1 THEN concat('Permanent, full time. ', text) WHEN 2 THEN concat('Secondment; 0.5 FTE on-site. ', text) ELSE text END"
-query("cls_01_contract_hours_place", "documents", rf"""SELECT doc_id, CASE WHEN regexp_matches(t, '\bfixed[\s-]?term\b|\bftc\b|\btemporary\b|\bmaternity cover\b') THEN 'FIXED_TERM' WHEN regexp_matches(t, '\bsecondment\b') THEN 'SECONDMENT'
- WHEN regexp_matches(t, '\bcasual\b|\bzero[\s-]?hours\b|\bbank\b') THEN 'CASUAL' WHEN regexp_matches(t, '\bpermanent\b|\bopen[\s-]?ended\b|\bindefinite\b') THEN 'PERMANENT' ELSE 'UNKNOWN' END AS contract,
- CASE WHEN regexp_matches(t, '\bpart[\s-]?time\b|\bpro[\s-]?rata\b|\b0\.\d\s*fte\b') THEN 'PART_TIME' WHEN regexp_matches(t, '\bfull[\s-]?time\b|\b1\.0\s*fte\b') THEN 'FULL_TIME' ELSE 'UNKNOWN' END AS hours,
- CASE WHEN regexp_matches(t, '\bfully remote\b|\bremote[\s-]?first\b|\b100% remote\b') THEN 'REMOTE' WHEN regexp_matches(t, '\bhybrid\b|\bblended working\b') THEN 'HYBRID' WHEN regexp_matches(t, '\bon[\s-]?site\b|\bcampus[\s-]?based\b') THEN 'ON_SITE' ELSE 'UNKNOWN' END AS workplace
- FROM (SELECT doc_id, lower({_ADVERT}) AS t FROM documents)""")(
-    lambda d: d.select("doc_id", F.expr(_ADVERT).alias("t")).select("doc_id", classify.first_match(F.col("t"), classify.CONTRACT).alias("contract"), classify.first_match(F.col("t"), classify.HOURS).alias("hours"), classify.first_match(F.col("t"), classify.WORKPLACE).alias("workplace"))
-)
-query("str_20_exclusion_sentence", "job", "SELECT job_id, CASE WHEN excluded THEN 'This post is not eligible for sponsorship, sorry!' END AS quote FROM job")(
-    lambda j: j.select("job_id", text.exclusion_sentence(F.when(F.col("excluded"), "A good role. This post is  not eligible for sponsorship, sorry! Apply now.").otherwise("A good role. Apply now.")).alias("quote"))
-)
-query("fit_02_required_years", "job", "SELECT job_id, CASE WHEN job_id % 40 BETWEEN 1 AND 30 THEN job_id % 40 END AS years FROM job")(
-    lambda j: j.select("job_id", classify.required_years(F.concat(F.lit("At least "), (F.col("job_id") % 40).cast("string"), F.lit("+ years of experience"))).cast("long").alias("years"))
-)
-query("str_10_entry_verdict", "institution", """SELECT institution_id, CASE WHEN institution_id % 4 = 0 THEN 'OTHER_ROUTE_ONLY' WHEN institution_id % 3 = 0 THEN 'PROVISIONAL' WHEN institution_id % 3 = 1 THEN 'B_RATED' ELSE 'CONFIRMED' END AS verdict FROM institution""")(
-    lambda i: i.select("institution_id", classify.sponsor_verdict(
-        F.expr("CASE institution_id % 3 WHEN 0 THEN 'Provisional' WHEN 1 THEN 'Worker (B rating)' ELSE 'Worker (A rating)' END"),
-        F.expr("CASE WHEN institution_id % 4 = 0 THEN 'Temporary Worker' ELSE 'Temporary Worker; Skilled Worker' END")).alias("verdict"))
-)
+from larkspur.functions import salary
+from larkspur.operators import search
+from larkspur.plans import dashboards, lifecycle, linkage, pages, searching, verdicts  # noqa: F401  registers their queries
+from larkspur.plans.registry import ORACLES, QUERIES, query
+from larkspur.sources.tables import INSTITUTION, JOB, frame
 
-# Names and record linkage.
-_NAMES = "SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN 'The University of ' WHEN 1 THEN '' WHEN 2 THEN 'College & ' ELSE '' END, p_name, CASE p_partkey % 3 WHEN 0 THEN ' Limited' WHEN 1 THEN ' (HR)' ELSE '' END) AS name FROM {part}"
-_VIEWS["named"] = _NAMES
-query("str_02_normalised_names", "named", r"""SELECT p_partkey, regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(replace(regexp_replace(lower(name), '\([^)]*\)', ' ', 'g'), '&', ' and '), '[^\w\s]|\s+', ' ', 'g')), '\blimited\b', ' ', 'g'), '\s+', ' ', 'g')), '^the\s+', '') AS normalised FROM named""")(
-    lambda n: n.select("p_partkey", text.normalise_name(F.col("name")).alias("normalised"))
-)
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring(concat('  ', w, ' '), i, 3)))))"
-query("str_07_trigram_similarity", "named", f"""SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity
- FROM (SELECT p_partkey, {_GRAMS.format('name')} AS a, {_GRAMS.format("'university of spring'")} AS b FROM named)""")(
-    lambda n: n.select("p_partkey", text.trigrams(F.col("name")).alias("a"), text.trigrams(F.lit("university of spring")).alias("b")).select(
-        "p_partkey", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("similarity"))
-)
-query("join_11_register_candidates", "named")(lambda n: records.candidates(n.where("p_partkey % 2 = 0").select("name"), n.where("p_partkey % 2 = 1").select(F.col("name").alias("register_name"))))
-query("str_09_sponsor_decision", "named")(
-    lambda n: records.decide(records.candidates(n.where("p_partkey % 2 = 0").select("name"), n.where("p_partkey % 2 = 1").select(F.col("name").alias("register_name"))), n.where("p_partkey % 2 = 0"))
-)
-query("str_26_slugs", "institution", "SELECT institution_id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s_-]', '', 'g'), '[-\\s]+', '-', 'g') AS slug FROM institution")(lambda i: i.select("institution_id", text.slugify(F.col("name")).alias("slug")))
-query("str_23_content_hash", "job", "SELECT job_id, sha256(concat(title, chr(31), salary_raw, chr(31), CAST(closing_date AS VARCHAR), chr(31))) AS hash FROM job")(lambda j: j.select("job_id", text.content_hash("title", "salary_raw", "closing_date").alias("hash")))
+_SEEN = {"status": ["OPEN"], "sponsorable": True}
 
-# Snapshots and state.
-_FETCHED, _STORED = "job_id % 11 <> 0", "job_id % 13 <> 0"
 
+def flagship_page(jobs: DataFrame, institutions: DataFrame) -> DataFrame:
+    """First page of open vacancies that can be sponsored, best fitness first, with their institutions and verdicts.
 
-def _snapshots(j: DataFrame) -> tuple[DataFrame, DataFrame]:
-    flags = {"is_manual": F.col("job_id") % 17 == 0, "is_withdrawn": F.col("status") == "WITHDRAWN", "location_raw": F.lit("Bath")}
-    f = j.where(_FETCHED).withColumns(flags).withColumn("title", F.when(F.col("job_id") % 7 == 0, "New title").otherwise(F.col("title")))
-    hashed = text.content_hash("title", "salary_raw", "closing_date", "location_raw")
-    return f.withColumn("content_hash", hashed), j.where(_STORED).withColumns(flags).withColumn("content_hash", hashed)
+    The page is cut before institutions are joined and salaries read, so those touch its rows alone.
+    """
+    first = search.page(search.ordered(search.filtered(jobs, _SEEN), ["-fitness", "-posted"]), 1)
+    found = first.drop("name", "nation").join(institutions.select("institution_id", "name", "nation"), "institution_id")
+    read = found.withColumn("a", salary.assess(salary.parse_salary(F.col("salary_raw")), verdicts.rules()))
+    return read.select("job_id", "title", "name", "nation", "fitness_score", "posted_date", "a.verdict", "a.explanation")
 
 
-query("dif_01_snapshot_diff", "job", f"""SELECT source_url, CASE WHEN {_FETCHED} AND NOT ({_STORED}) THEN 'new' WHEN {_FETCHED} AND status = 'WITHDRAWN' THEN 'unchanged' WHEN {_FETCHED} AND (status <> 'OPEN' OR job_id % 7 = 0) THEN 'updated'
- WHEN {_FETCHED} THEN 'unchanged' WHEN status = 'OPEN' AND job_id % 17 <> 0 THEN 'disappeared' ELSE 'kept' END AS state FROM job WHERE {_FETCHED} OR {_STORED}""")(lambda j: records.diff(*_snapshots(j), F.lit("OK")))
-query("dif_01_no_closure_unless_ok", "job", f"SELECT source_url FROM job WHERE NOT ({_FETCHED}) AND {_STORED}")(lambda j: records.diff(*_snapshots(j), F.lit("BLOCKED")).where("state = 'kept'").select("source_url"))
-query("dif_02_field_changes", "job", f"SELECT source_url, 'title' AS field, title AS value_before, 'New title' AS value_after FROM job WHERE {_FETCHED} AND {_STORED} AND job_id % 7 = 0")(lambda j: records.field_changes(*_snapshots(j)))
-query("dif_03_diff_counts", "job", f"""SELECT state, count(*) AS n FROM (SELECT CASE WHEN {_FETCHED} AND NOT ({_STORED}) THEN 'new' WHEN {_FETCHED} AND status = 'WITHDRAWN' THEN 'unchanged' WHEN {_FETCHED} AND (status <> 'OPEN' OR job_id % 7 = 0) THEN 'updated'
- WHEN {_FETCHED} THEN 'unchanged' WHEN status = 'OPEN' AND job_id % 17 <> 0 THEN 'disappeared' ELSE 'kept' END AS state FROM job WHERE {_FETCHED} OR {_STORED}) GROUP BY state""")(lambda j: records.diff(*_snapshots(j), F.lit("OK")).groupBy("state").agg(F.count("*").alias("n")))
-query("set_01_register_changes", "job", f"SELECT source_url, 'dropped_off' AS side FROM job WHERE NOT ({_FETCHED}) AND {_STORED} UNION ALL SELECT source_url, 'newly_listed' FROM job WHERE {_FETCHED} AND NOT ({_STORED})")(
-    lambda j: records.except_both(j.where(_STORED), j.where(_FETCHED), "source_url")
-)
-query("set_05_first_by_title", "job", "SELECT title, min(job_id) AS job_id FROM job GROUP BY title")(lambda j: records.first_by(j.select("title", "job_id"), "title", "job_id"))
-query("join_14_previous_run", "run", """SELECT run_id, previous_found, vacancies_found = 0 AND coalesce(previous_found, 0) > 0 AS dropped_to_zero
- FROM (SELECT *, lag(vacancies_found) OVER (PARTITION BY institution_id ORDER BY started_at, run_id) AS previous_found FROM run)""")(lambda r: records.previous_count(r).select("run_id", "previous_found", "dropped_to_zero"))
-query("join_13_latest_run", "run", "SELECT institution_id, max(run_id) AS run_id FROM run GROUP BY institution_id")(lambda r: records.latest_by(r.select("institution_id", "run_id"), "institution_id", "run_id"))
-query("agg_17_outcomes", "run", "SELECT outcome, count(*) AS n FROM run GROUP BY outcome")(lambda r: r.groupBy("outcome").agg(F.count("*").alias("n")))
-query("stm_01_application_state", "application", """SELECT application_id, arg_max(to_status, event_id) AS status, min(day) FILTER (to_status = 'APPLIED') AS applied_at, min(day) FILTER (to_status IN ('INTERVIEW', 'REJECTED')) AS response_at
- FROM application GROUP BY application_id""")(
-    lambda a: a.groupBy("application_id").agg(F.max_by("to_status", "event_id").alias("status"), F.min(F.when(F.col("to_status") == "APPLIED", F.col("day"))).alias("applied_at"), F.min(F.when(F.col("to_status").isin("INTERVIEW", "REJECTED"), F.col("day"))).alias("response_at"))
-)
-query("dat_02_ghosted", "application", "SELECT event_id, to_status = 'APPLIED' AND day <= DATE '1999-01-01' - 21 AS ghosted FROM application")(
-    lambda a: a.select("event_id", classify.looks_ghosted(F.col("to_status"), F.col("day"), F.lit(None).cast("date"), F.lit("1999-01-01").cast("date")).alias("ghosted"))
-)
-query("agg_19_board", "application", "SELECT owner, to_status, count(*) AS n FROM application GROUP BY owner, to_status")(lambda a: a.groupBy("owner", "to_status").agg(F.count("*").alias("n")))
-query("src_08_stored_bodies", "pages", "SELECT DISTINCT concat(substring(sha256(url), 1, 16), '-', sha256(html)) AS cache_key FROM pages")(lambda p: files.store_bodies(p).select("cache_key"))
+query("flagship_search_page", "job institution", f"""SELECT p.job_id, p.title, i.name, i.nation, p.fitness_score, p.posted_date, a.verdict, a.explanation FROM (SELECT * FROM job WHERE status = 'OPEN' AND {searching._SPONSORING}
+ ORDER BY fitness_score DESC NULLS FIRST, posted_date DESC NULLS FIRST, job_id LIMIT 25) p JOIN institution i USING (institution_id) JOIN assessed a ON a.job_id = p.job_id""", flagship_page, verdicts._PARSED, verdicts._BANDS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First page of open, screened vacancies with their institutions, best fitness first."""
-    jobs = frame(spark, sf_dir, JOB).withColumn("assessment", salary.assess(salary.parse_salary(F.col("salary_raw")), rules()))
-    seen = search.filtered(jobs.join(frame(spark, sf_dir, INSTITUTION), "institution_id"), {"status": ["OPEN"], "sponsorable": True})
-    ordered = seen.select("job_id", "title", "name", "nation", "fitness", "posted_date", "assessment.verdict", "assessment.explanation").orderBy(*search.order_by(["-fitness", "-posted"]), "job_id")
-    return search.page(ordered, 1)
+    return flagship_page(frame(spark, sf_dir, JOB), frame(spark, sf_dir, INSTITUTION))
 
 
-QUERIES["flagship_search_page"] = flagship
+__all__ = ["ORACLES", "QUERIES", "flagship"]

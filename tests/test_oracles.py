@@ -11,6 +11,8 @@ import pytest
 from larkspur.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
+#: Queries whose right answer is no row, at least on the smallest tables.
+NONE = ["flt_12_saved_by_nobody", "fit_05_without_profile", "flt_21_equal_filters"]
 
 
 def same(v):
@@ -18,6 +20,8 @@ def same(v):
         return float(v)
     if isinstance(v, float) and not math.isnan(v):
         return round(v, 6)
+    if isinstance(v, list | dict):
+        return str(v)
     return v.date() if isinstance(v, datetime.datetime) else v
 
 
@@ -33,7 +37,7 @@ def duck():
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, DIR)
     rows = Counter(tuple(same(r[c]) for c in sorted(df.columns)) for r in df.collect())
-    assert rows
+    assert rows or name in NONE
     if name in catalog.ORACLES:
         found = duck.sql(catalog.ORACLES[name])
         columns = [d[0] for d in found.description]
