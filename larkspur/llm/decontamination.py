@@ -1,17 +1,18 @@
 """Documents that hold benchmark items, up to a share of edits.
 
-Texts are lower-cased and everything but letters and digits becomes one space. From each of an item's longest words on,
-the rest of the item is a window; a document's windows start at its occurrences of those words. A CGK walk reads a
+Texts are lower-cased and everything but letters and digits becomes one space. Behind each of an item's longest words
+the rest of the item is a window; a document's windows start behind its occurrences of those words. A CGK walk reads a whole
 window with one pointer that moves on or stays by a random bit for (step, character), so edit distance becomes Hamming
-distance between the characters read. Bit-sampling LSH compares a few sampled steps of the walk; REPEATS walks with
-their own bits and samples, over the ANCHORS windows of an item, bring recall to its target. Of windows that agree on
-the samples with an item's, those whose whole walks differ in at most FAR of the steps are verified by the exact edit
-distance between the item and the best-fitting stretch.
-
-Walks lose texts with many edits and items with few long words, so every byte of an item is also the start of a gram.
-Where a text shares enough grams with an item at about one distance between their places, that stretch is verified
-too. Items under LONG bytes need as many as their edits must leave, so no ASCII one is lost; longer items have longer
-grams and need a few of those that random edits leave.
+distance between the characters read. Bit-sampling LSH compares a few sampled steps of the walk, some near its start and
+the others anywhere; REPEATS walks with their own bits and samples, over the ANCHORS windows of an item, find what has
+few edits. Of windows that agree on the samples with an item's, those whose whole walks differ in at most FAR of the
+steps are verified by the exact edit distance between the item and the best-fitting stretch.
+
+Where a tenth of the characters or more are edited, walks agree in so few steps (0.25 to 0.4 at a fifth, unlike texts
+0.1) that hundreds of repeats would be needed, so every byte of an item is also the start of a gram. Where a text shares
+enough grams with an item at about one distance between their places, that stretch is verified too. Items under LONG
+bytes need as many as their edits must leave, so no ASCII one is lost; longer items have longer grams and need a few of
+those that random edits leave.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from larkspur.llm.shared import documents, small_batches
 from larkspur.llm.substring_dedup import hashed_words
 
-#: Walks, steps of a walk, sampled steps, windows of an item, least similarity, items sent to the executors at once.
-REPEATS, STEPS, SAMPLES, ANCHORS, SIMILARITY, ITEMS = 5, 96, 6, 12, 0.8, 20_000
+#: Walks, least bytes of a window, sampled steps near the start and anywhere, windows of an item, least similarity, items sent to the executors at once.
+REPEATS, LEAST, EARLY, LATE, ANCHORS, SIMILARITY, ITEMS = 5, 72, 3, 3, 12, 0.8, 20_000
 #: Bytes of items' text sent at once.
 ITEM_BYTES = 4_000_000
-#: Walks of unlike texts differ in about nine steps of ten.
-FAR = 0.5
+#: Steps that count as near the start. Walks of unlike texts differ in about nine steps of ten.
+NEAR, FAR = 24, 0.6
 _END = 0xFF  # stands in no UTF-8 text
 _FOLD = np.array([0 if b == _END else b if b >= 128 or (b < 128 and chr(b).isalnum()) else 32 for b in range(256)], np.uint8)
 _PRIME = np.uint64(0x100000001B3)
@@ -41,7 +42,7 @@ LONG, EACH = 64, 10
 GRAMS = ((LONG, 7), (20, 4), (8, 3), (4, 2), (1, 1))
 #: Distances between places that count as one are this many bits apart; cells of the count; bytes of text counted at once.
 _WIDE, _CELLS, _STRETCH = 4, 1 << 20, 1 << 18
-_EARLY = 3  # samples after which windows that agree with no item are dropped
+_SEEN = 22  # bits of the tables that tell most of what can't match
 
 
 def folded(texts: list[str]) -> np.ndarray:
@@ -81,6 +82,8 @@ def edit_distance_within(item: str, text: str) -> int:
 def edit_distances_within(items: list[str], pairs: list[tuple[int, str]]) -> list[int]:
     """edit_distance_within for many (item's number, text), in words of 64 bits side by side."""
     out = [0] * len(pairs)
+    if len(pairs) < 48:
+        return [edit_distance_within(items[k], text) for k, text in pairs]
     order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
     for begin in range(0, len(order), 2048):
         part = sorted(order[begin : begin + 2048], key=lambda k: -len(items[pairs[k][0]]))
@@ -152,7 +155,9 @@ class Grams:
         self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
         self.numbers, self.places = np.concatenate(numbers)[order], np.concatenate(places)[order]
         self.needs = np.array([self.least[n] for n in self.numbers.tolist()])
-        self.seen = np.zeros(1 << 20, bool)
+        self.leasts = np.zeros(max(self.least) + 1, np.int64)
+        self.leasts[list(self.least)] = list(self.least.values())
+        self.seen = np.zeros(1 << _SEEN, bool)
         self.seen[self.slot(self.codes)] = True
         self.reach = 2 * max(len(item) for _, item in items) + (1 << _WIDE)
 
@@ -164,7 +169,7 @@ class Grams:
 
     @staticmethod
     def slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        return _slot(codes)
 
     def candidates(self, b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, likeliest, least and largest place where the item would start)."""
@@ -189,11 +194,10 @@ class Grams:
             text = np.searchsorted(begins, at, side="right") - 1
             order = np.lexsort((start, number, text))
             text, number, start = text[order], number[order], start[order]
-            edge = np.flatnonzero((np.diff(text) != 0) | (np.diff(number) != 0)) + 1
-            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(text)]):
+            edge = np.concatenate(([0], np.flatnonzero((np.diff(text) != 0) | (np.diff(number) != 0)) + 1, [len(text)]))
+            enough_of = np.flatnonzero(np.diff(edge) >= self.leasts[number[edge[:-1]]])
+            for low, high in zip(edge[enough_of].tolist(), edge[enough_of + 1].tolist()):
                 least = self.least[int(number[low])]
-                if high - low < least:
-                    continue
                 own = start[low:high]
                 bucket, from_ = np.unique(own >> _WIDE, return_index=True)
                 # Neighbours share a count; those that follow each other are one candidate.
@@ -212,18 +216,85 @@ class Grams:
                         open_ = -1
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN)).astype(np.int64)
+
+
+class Windows:
+    """LSH tables of item windows that are read in steps steps: twice their bytes, rounded down to a power of two."""
+
+    def __init__(self, steps: int, windows: list[tuple[int, int, int, bytes]]) -> None:
+        """windows: anchor, item's number, place in the item, bytes to the item's end."""
+        r = np.random.default_rng(steps)
+        self.steps, self.bits = steps, r.integers(0, 2, (REPEATS, steps, 256))
+        self.samples = [[*np.sort(r.choice(NEAR, EARLY, replace=False)).tolist(), *np.sort(r.choice(np.arange(NEAR, steps), LATE, replace=False)).tolist()] for _ in range(REPEATS)]
+        self.anchors = np.unique(np.array([w[0] for w in windows], np.uint64))
+        self.places = np.array([w[1:3] for w in windows], np.int64)
+        text = np.zeros(len(windows) * (steps + 1), np.uint8).reshape(len(windows), -1)
+        for row, (*_, raw) in zip(text, windows):
+            part = np.frombuffer(raw, np.uint8)[: steps + 1]
+            row[: len(part)] = part
+        starts = np.arange(len(windows)) * (steps + 1)
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in range(REPEATS):
+            some = np.zeros((EARLY + LATE, 1 << 16), bool)
+            _, codes = self.walk(text.ravel(), starts, k, some, learn=True)
+            order = np.argsort(codes, kind="stable")
+            self.tables.append((some, codes[order], order, self.read(text.ravel(), starts, k)))
+
+    def read(self, text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+        """The characters that walk k reads from each start: (starts, steps)."""
+        at, out = starts.astype(np.int64), np.empty((self.steps, len(starts)), np.uint8)
+        for step in range(self.steps):
+            out[step] = text.take(at)
+            at += self.bits[k, step].take(out[step])
+        return out.T
+
+    def walk(self, text: np.ndarray, starts: np.ndarray, k: int, some: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Which starts are left, and their codes, under walk k; after each sample but the first, codes that no item has are dropped."""
+        at, code, left, done = starts.astype(np.int64), np.zeros(len(starts), np.uint64), np.arange(len(starts)), 0
+        samples = self.samples[k]
+        for step in range(samples[-1] + 1):
+            c = text.take(at)
+            if step == samples[done]:
+                code = (code ^ c) * _PRIME
+                done += 1
+                if done > 1:
+                    top = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+                    if learn:
+                        some[done - 1, top] = True
+                    else:
+                        on = some[done - 1, top]
+                        at, code, left, c = at[on], code[on], left[on], c[on]
+            at += self.bits[k, step].take(c)
+        return left, code
+
+    def candidates(self, b: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, item's number, place in the item) of windows of b, behind words of these hashes, that are near an item's."""
+        starts = starts[np.isin(hashes, self.anchors)]
+        if not len(starts):
+            return
+        padded = np.concatenate((b, np.zeros(self.steps + 1, np.uint8)))
+        for k, (some_codes, known, order, read) in enumerate(self.tables):
+            left, code = self.walk(padded, starts, k, some_codes)
+            low, high = np.searchsorted(known, code), np.searchsorted(known, code, side="right")
+            some = np.flatnonzero(high > low)
+            many = (high - low)[some]
+            at = np.repeat(starts[left[some]], many)
+            window = order[np.repeat(low[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            for begin in range(0, len(at), 8192):
+                a, w = at[begin : begin + 8192], window[begin : begin + 8192]
+                near = (self.read(padded, a, k) != read[w]).sum(1) <= FAR * self.steps
+                yield a[near], self.places[w[near], 0], self.places[w[near], 1]
+
+
 class Index:
-    """LSH tables of items' windows; small enough to send: ANCHORS * REPEATS codes for each of at most ITEMS items."""
+    """What is sent of at most ITEMS items: their windows' codes and their grams."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items: list[tuple[int, bytes]] = []
-        r = np.random.default_rng(20)
-        self.bits = r.integers(0, 2, (REPEATS, STEPS, 256)).astype(np.int64)
-        self.samples = [np.sort(r.choice(STEPS, SAMPLES, replace=False)).tolist() for _ in range(REPEATS)]
-        anchors: list[int] = []
-        places: list[tuple[int, int]] = []
         short: dict[int, list[tuple[int, int]]] = {}
-        parts: list[np.ndarray] = []
+        windows: dict[int, list[tuple[int, int, int, bytes]]] = {}
         for item_id, text in items:
             b = folded([text])[1:-1]
             b = b[: len(b) - (len(b) > 0 and b[-1] == 32)]
@@ -232,31 +303,21 @@ class Index:
             number = len(self.items)
             self.items.append((item_id, b.tobytes()))
             starts, hashes = hashed_words(b, b != 32)
-            ends = np.append(starts[1:] - 1, len(b))
-            order = np.argsort(-(ends - starts), kind="stable")
-            long = [k for k in order.tolist() if len(b) - starts[k] >= STEPS * 3 // 4][:ANCHORS]
+            nexts = np.append(starts[1:], len(b))
+            order = np.argsort(-(nexts - starts), kind="stable")
+            long = [k for k in order.tolist() if len(b) - nexts[k] >= LEAST][:ANCHORS]
             for k in long:
-                anchors.append(int(hashes[k]))
-                places.append((number, int(starts[k])))
-                parts.append(np.concatenate((b[starts[k] :][:STEPS], np.zeros(max(0, STEPS - len(b) + int(starts[k])), np.uint8))))
+                steps = 1 << (2 * (len(b) - int(nexts[k]))).bit_length() - 1
+                windows.setdefault(steps, []).append((int(hashes[k]), number, int(nexts[k]), b[nexts[k] :].tobytes()))
             if not long:  # too short to walk: each of its few places is verified
                 for k in order[:ANCHORS].tolist():
-                    anchors.append(int(hashes[k]))
                     short.setdefault(int(hashes[k]), []).append((number, int(starts[k])))
         self.short = short
+        self.windows = [Windows(steps, own) for steps, own in sorted(windows.items())]
         self.grams: dict[float, list[Grams]] = {}
-        self.anchors = np.unique(np.array(anchors, np.uint64))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.anchors >> np.uint64(44)).astype(np.int64)] = True
-        self.places = np.array(places, np.int64).reshape(-1, 2)
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if parts:
-            text, starts = np.concatenate([*parts, np.zeros(1, np.uint8)]), np.arange(len(parts)) * STEPS
-            for k in range(REPEATS):
-                early = np.zeros(1 << 20, bool)
-                _, codes = self.walk(text, starts, k, early, learn=True)
-                order = np.argsort(codes, kind="stable")
-                self.tables.append((early, codes[order], order, self.read(text, starts, k)))
+        anchors = np.unique(np.array([*short, *(w[0] for own in windows.values() for w in own)], np.uint64))
+        self.seen = np.zeros(1 << _SEEN, bool)
+        self.seen[_slot(anchors)] = True
 
     def tiers(self, similarity: float) -> list[Grams]:
         if similarity not in self.grams:
@@ -265,57 +326,21 @@ class Index:
             self.grams[similarity] = [Grams(size, items, similarity) for size, items in own if items]
         return self.grams[similarity]
 
-    def read(self, text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-        """The characters that walk k reads from each start: (starts, STEPS)."""
-        at, out = starts.copy(), np.empty((len(starts), STEPS), np.uint8)
-        for step in range(STEPS):
-            out[:, step] = text[at]
-            at += self.bits[k, step][out[:, step]]
-        return out
-
-    def walk(self, text: np.ndarray, starts: np.ndarray, k: int, early: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Which starts are left, and their codes, under walk k."""
-        at, code, left, done = starts.copy(), np.zeros(len(starts), np.uint64), np.arange(len(starts)), 0
-        samples = self.samples[k]
-        for step in range(samples[-1] + 1):
-            c = text[at]
-            if step == samples[done]:
-                code = (code ^ c) * _PRIME
-                done += 1
-                if done == _EARLY:
-                    top = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-                    if learn:
-                        early[top] = True
-                    else:
-                        on = early[top]
-                        at, code, left, c = at[on], code[on], left[on], c[on]
-            at += self.bits[k, step][c]
-        return left, code
-
     def hits(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
         """(text's place, item_id, edit distance, similarity, start in the normalised text's bytes), the best for each text and item."""
         b = folded(texts)
         begins = np.flatnonzero(b == 0)
         starts, hashes = hashed_words(b, (b != 32) & (b != 0))
-        on = self.seen[(hashes >> np.uint64(44)).astype(np.int64)]
-        starts, hashes = starts[on], hashes[on]
-        on = np.isin(hashes, self.anchors)
-        starts, hashes = starts[on], hashes[on]
-        padded = np.concatenate((b, np.zeros(STEPS, np.uint8)))
+        nexts, on = np.append(starts[1:], len(b) - 1), self.seen[_slot(hashes)]
+        starts, nexts, hashes = starts[on], nexts[on], hashes[on]
         candidates: set[tuple[int, int, int, int, int]] = set()  # (text, item, where the item would start: likeliest, least, largest); the text is the anchor's own
-        for k, (early, known, order, read) in enumerate(self.tables):
-            left, code = self.walk(padded, starts, k, early)
-            low, high = np.searchsorted(known, code), np.searchsorted(known, code, side="right")
-            some = np.flatnonzero(high > low)
-            many = (high - low)[some]
-            at = np.repeat(starts[left[some]], many)
-            window = order[np.repeat(low[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            for begin in range(0, len(at), 8192):
-                a, w = at[begin : begin + 8192], window[begin : begin + 8192]
-                near = (self.read(padded, a, k) != read[w]).sum(1) <= FAR * STEPS
-                own = np.searchsorted(begins, a[near], side="right") - 1
-                start = (a[near] - self.places[w[near], 1]).tolist()
-                candidates.update(zip(own.tolist(), self.places[w[near], 0].tolist(), start, start, start))
+        for windows in self.windows:
+            for at, number, place in windows.candidates(b, nexts, hashes):
+                own = np.searchsorted(begins, at - 1, side="right") - 1
+                start = at - place
+                # Starts within a few bytes are one candidate: its stretch covers them all.
+                low = start & ~15
+                candidates.update(zip(own.tolist(), number.tolist(), (low + 8).tolist(), low.tolist(), (low + 15).tolist()))
         if self.short:
             own = np.searchsorted(begins, starts, side="right") - 1
             for text, at, h in zip(own.tolist(), starts.tolist(), hashes.tolist()):
@@ -344,11 +369,11 @@ class Index:
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """texts in parts of about two million characters, each with the place of its first."""
+    """texts in parts of about four million characters, each with the place of its first."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size < 2_000_000):
+        while end < len(texts) and (end == at or size < 4_000_000):
             size += len(texts[end])
             end += 1
         yield at, texts[at:end]
