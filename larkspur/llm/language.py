@@ -23,6 +23,8 @@ from larkspur.llm.shared import documents, small_batches
 WIDTH = 4096
 #: About so many labelled documents of each language train the model.
 SAMPLE_PER_LANGUAGE = 600
+#: Of so many languages, the most frequent, and so many documents in all at most, should lang hold anything and everything.
+LANGUAGES, SAMPLE = 500, 12_000
 CENTROIDS = 4
 #: A document is rejected below this share of the cosine that all but so many of a language's documents reach.
 REJECT, LOW = 0.6, 0.01
@@ -120,10 +122,13 @@ def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on about per_language documents of each language, drawn by a hash of their ids from the rows not held out.
 
-    Texts without a letter teach nothing about a language and are left out.
+    The sample is bounded by LANGUAGES and SAMPLE too. Texts without a letter teach nothing about a language and are left
+    out, as are rows without a lang; rows without a doc_id aren't drawn, repeated rows are drawn together. Very long texts
+    are read whole. An empty table gives a model that rejects everything.
     """
     learned = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).where(~held_out(F.col("doc_id")))
-    sizes = learned.groupBy("lang").count().collect()  # one row for each language
+    sizes = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    per_language = min(per_language, SAMPLE // max(1, len(sizes)))
     share = docs.sparkSession.createDataFrame([(r["lang"], per_language / r["count"]) for r in sizes] or [("", 0.0)], "lang string, share double")
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = learned.select("doc_id", "text", "lang").join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("text", "lang")
@@ -145,9 +150,11 @@ def held_out(doc_id):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with text) and lang_pred, lang_score, lang_rejected; columns of these names are replaced.
+    """docs (with text) and lang_pred, lang_score, lang_rejected; columns of these names are replaced, others pass as they are.
 
-    Null texts and texts without a letter are und and rejected.
+    Null texts and texts without a letter are und and rejected. Each row is judged by its text alone, so repeated rows get
+    the same answer, and rows without a doc_id get one; of centroids at one distance the first language by name wins.
+    An empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")

@@ -205,7 +205,7 @@ class Tagger:
             out[f"wx{way}"], out[f"b{way}"] = p["embed"].T @ by_character, flat.sum(0)
         return out
 
-    def fit(self, lines: list[tuple[str, list[Span]]], rounds: int = 14, rows: int = 64, rate: float = 0.025) -> Tagger:
+    def fit(self, lines: list[tuple[str, list[Span]]], rounds: int = 12, rows: int = 64, rate: float = 0.025) -> Tagger:
         """Adam over labelled lines of at most LINE characters; the rate falls to a tenth."""
         x, y = np.full((LINE, len(lines)), 32), np.zeros((LINE, len(lines)), np.int64)
         for k, (text, spans) in enumerate(lines):
@@ -271,10 +271,10 @@ class Tagger:
         return go, step[0, 1:] + step[1:, 0] - 2 * step[0, 0] - go
 
     def joined_scores(self, texts: list[str], whole: bool = False) -> list[np.ndarray | None]:
-        """(characters, TAGS) of each text; None for a text none of whose characters gains inside a kind, unless whole."""
-        go, _ = self.gains()
+        """(characters, TAGS) of each text; None, unless whole, for a text all of whose gains inside a kind don't make up for a span's ends."""
+        go, ends = self.gains()
         windows = [(k, at, min(at + WINDOW, len(t))) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP) if t]
-        held, read, some = [characters(t) for t in texts], [], np.full(len(texts), whole)
+        held, read, sums = [characters(t) for t in texts], [], np.zeros((len(texts), len(go)), np.float32)
         windows.sort(key=lambda w: w[2] - w[1])
         for at in range(0, len(windows), 512):
             part = windows[at : at + 512]
@@ -282,9 +282,11 @@ class Tagger:
             for row, (k, b, e) in enumerate(part):
                 x[: e - b, row] = held[k][b:e]
             emit = self.scores(x)[0].transpose(0, 2, 1)  # time, TAGS, rows
-            flagged = ((emit[:, 1:] - emit[:, :1]).max(0) + go[:, None] > 0).any(0)
-            some[[k for (k, *_), f in zip(part, flagged.tolist()) if f]] = True
+            gain = emit[:, 1:] - emit[:, :1]
+            gain += go[:, None]
+            np.add.at(sums, [k for k, *_ in part], np.maximum(gain, 0, out=gain).sum(0).T)
             read.append((part, emit))
+        some = (sums + ends > 0).any(1) | whole
         out: list[np.ndarray | None] = [np.empty((len(t), TAGS), np.float32) if s else None for t, s in zip(texts, some.tolist())]
         for part, emit in read:
             for row, (k, b, e) in enumerate(part):
@@ -383,14 +385,23 @@ def _spellings(digit, choose, number, word) -> list[tuple[int, list]]:
 _LEADS = [["", "", "mail ", "write to ", "contact: ", "<", "e-mail: "], ["", "", "from ", "host ", "ip=", "server "], ["", "", "card ", "paid with ", "no. ", "visa "], ["", "", "call ", "tel. ", "phone: ", "fax "], ["token = \"", "key: ", "", "password=", "api_key='", "credential ", "secret "], ["", "", "account ", "id ", "konto "]]
 
 
-def labelled_lines(n: int = 4000, seed: int = 11, unseen: bool = False) -> list[tuple[str, list[Span]]]:
+def labelled_lines(n: int = 5000, seed: int = 11, unseen: bool = False) -> list[tuple[str, list[Span]]]:
     """Generated lines with labelled spans of all kinds in several spellings, and numbers, words and signs that are none.
 
     unseen gives lines of the spellings and leads that training never shows.
     """
     r = random.Random(seed)
     letters, digit = "abcdefghijklmnopqrstuvwxyzéüñ", lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
+    syllables = "the and ing er on at to of in re ed is it or an en es le la de que un des les ou ent ment ein ich und sch der die ver ung lo al ar do el ción ña os mas aux être schö ä ö".split()
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9))) if r.random() < 0.3 else "".join(r.choice(syllables) for _ in range(r.choice((1, 1, 2, 2, 3))))
+
+    def sentences() -> str:
+        out, big = "", True
+        while len(out) < LINE:
+            out += (word().capitalize() if big else word()) + r.choice((" ",) * 9 + (", ", ". ", ".\n", " at ", " dot "))
+            big = out[-2:] in (". ", ".\n") or r.random() < 0.03
+        return r.choice((out,) * 8 + (out.upper(), out.replace(" ", "!! "), out.replace(" ", "*** "), out.replace(" ", " | ")))[:LINE]
+
     plain = lambda: "".join(r.choice(letters[:26]) for _ in range(r.randint(2, 9)))
     kinds = _spellings(digit, r.choice, r.randint, plain)
     nothing = [
@@ -401,6 +412,9 @@ def labelled_lines(n: int = 4000, seed: int = 11, unseen: bool = False) -> list[
     ]
     lines = []
     while len(lines) < n:
+        if not unseen and r.random() < 0.35:
+            lines.append((sentences(), []))
+            continue
         text, spans = " ".join(word().capitalize() if r.random() < 0.2 else word() for _ in range(r.randint(0, 5))), []
         for _ in range(r.randint(1, 2)):
             text += " " * bool(text)

@@ -115,7 +115,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<double>) of docs (doc_id, text; more columns are ignored)."""
+    """(doc_id, stats array<double>) of each row of docs (doc_id, text; more columns are ignored, whatever their names).
+
+    Null texts count as empty, and empty ones have statistics too; very long ones are read whole; repeated rows and rows
+    without a doc_id come through each. An empty table gives no rows.
+    """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +129,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees:
-    """Fit on about rows labelled documents that aren't held out, drawn by a hash of doc_id; null labels don't count."""
+    """Fit on about rows labelled documents that aren't held out, drawn by a hash of doc_id; null labels and null ids don't count.
+
+    Repeated rows are drawn together and count each. Splits that gain the same go to the first statistic and the lowest cut.
+    Without labels every score is one half.
+    """
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(n, 1)))))

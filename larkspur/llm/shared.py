@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that driver and executors share; it has to be set, on one machine too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, the folder that driver and executors share. Unset, a folder of this machine where all of Spark runs on it (tests); on a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_larkspur_folder", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.sparkContext._larkspur_folder = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 

@@ -210,8 +210,9 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
         return plain
     # Rows whose id is null or stands on several: their fingerprints tell them apart.
     again = docs.join(F.broadcast(odd) if odd.count() < 100_000 else odd, docs["doc_id"].cast("long").eqNullSafe(odd["doc_id"]), "left_semi")
-    tagged = _tagged(again, shingle).join(of.withColumnRenamed("fp", "__fp"), "__fp").where(F.col("component_id").eqNullSafe(F.col("doc_id").cast("long")))
-    return plain.unionByName(tagged.dropDuplicates(["root"]).select(*docs.columns))
+    named = of.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
+    tagged = _tagged(again, shingle).join(named, "__fp").where(F.col("__component").eqNullSafe(F.col("doc_id").cast("long")))
+    return plain.unionByName(tagged.dropDuplicates(["__root"]).select(*docs.columns))
 
 
 def _tagged(docs: DataFrame, shingle: int) -> DataFrame:
