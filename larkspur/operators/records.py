@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import classify, text
+from larkspur.functions import classify, pages, text
 
 # Fields whose changes are recorded; the longest texts that fields hold.
 TRACKED = ["title", "salary_raw", "closing_date", "location_raw"]
@@ -269,6 +269,23 @@ def upserted(rows: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return rows.join(new.select(*key), list(key), "left_anti").select(*rows.columns).unionByName(new.select(*rows.columns))
 
 
+def manual_jobs(drafts: DataFrame) -> DataFrame:
+    """API-01: jobs added by hand as they are stored: text from HTML and classes from the text, each only where nobody gave it."""
+    d = drafts.withColumn("description_text", F.coalesce(F.nullif(F.col("description_text"), F.lit("")), pages.html_to_text(F.col("description_html"))))
+    classes = ["contract_type", "hours", "workplace", "discipline"]
+    given = stored_fields(d.select("*", *[F.col(c).alias(f"given_{c}") for c in classes]))
+    chosen = {c: F.coalesce(F.nullif(F.col(f"given_{c}"), F.lit("")), F.col(c)) for c in classes}
+    return given.withColumns(chosen | {"source": F.lit("MANUAL"), "status": F.lit("OPEN")}).drop(*[f"given_{c}" for c in classes])
+
+
+def edited(jobs: DataFrame, job_id: int, changes: dict) -> DataFrame:
+    """API-02: one job added by hand with changed fields; editing a crawled one is an error."""
+    mine = F.col("job_id") == job_id
+    wrong = F.raise_error(F.lit(f"job {job_id} was not added by hand")).cast("string")
+    source = F.when(mine & (F.col("source") != "MANUAL"), wrong).otherwise(F.col("source"))
+    return jobs.withColumns({"source": source} | {c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+
+
 def taken(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     """API-12: the wanted rows (owner and key) that exist already."""
     return wanted.join(rows.select("owner", *key).distinct(), ["owner", *key], "left_semi")

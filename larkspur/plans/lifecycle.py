@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import classify, text
+from larkspur.functions import classify, labels, text
 from larkspur.operators import extraction, records, search, tracking
 from larkspur.plans.registry import query
 from larkspur.plans.verdicts import _CASE, _DISCIPLINE
@@ -117,6 +117,16 @@ query("stm_03_reinstated", "job", "SELECT job_id, CASE WHEN job_id < 200 AND sta
 query("stm_03_deleted", "job", "SELECT job_id FROM job WHERE job_id NOT IN (2, 5)", lambda j: records.without_manual(j, [2, 5]).select("job_id"))
 query("stm_04_manual_job", "job", "SELECT job_id, CASE WHEN job_id % 10 = 1 THEN 'MANUAL' ELSE source END AS source, CASE WHEN job_id % 10 = 1 THEN 'By hand' ELSE title END AS title FROM job",
       lambda j: records.upserted(j, j.where("job_id % 10 = 1").withColumns({"source": F.lit("MANUAL"), "title": F.lit("By hand")}), "institution_id", "source_url").select("job_id", "source", "title"))
+query("api_01_manual_jobs", "job", f"""SELECT job_id, 'MANUAL' AS source, CASE WHEN job_id % 2 = 0 THEN 'CASUAL' ELSE {_CASE(_OWN('contract_raw'), classify.CONTRACT, 'UNKNOWN')} END AS contract_type, CASE WHEN description_text = '' THEN 'Typed in' ELSE description_text END AS description_text FROM job""".replace(
+    _JOINED, "concat_ws(' ', nullif(contract_raw, ''), nullif(hours_raw, ''), CASE WHEN description_text = '' THEN 'Typed in' ELSE description_text END)"), lambda j: records.manual_jobs(j.withColumns({
+        "description_html": F.lit("<p>Typed <b>in</b></p>"), "contract_type": F.when(F.col("job_id") % 2 == 0, "CASUAL").otherwise(""), "hours": F.lit(""), "workplace": F.lit(""), "discipline": F.lit("")})).select(
+        "job_id", "source", "contract_type", F.regexp_replace("description_text", "\n", " ").alias("description_text")))
+query("api_02_edited", "job", "SELECT job_id, CASE WHEN job_id = 2 THEN 'Edited' ELSE title END AS title FROM job", lambda j: records.edited(j, 2, {"title": "Edited"}).select("job_id", "title"))
+_POUNDS = "coalesce(concat('£', regexp_replace(reverse(regexp_replace(reverse(CAST(CAST({0} AS BIGINT) AS VARCHAR)), '(\\d\\d\\d)', '\\1,', 'g')), '^,', '')), '—')"
+query("str_29_labels", "job", f"""SELECT job_id, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN concat({_POUNDS.format('salary_min')}, ' – ', {_POUNDS.format('salary_max')}) WHEN salary_max IS NOT NULL THEN concat('Up to ', {_POUNDS.format('salary_max')})
+ WHEN salary_min IS NOT NULL THEN concat('From ', {_POUNDS.format('salary_min')}) ELSE '—' END AS salary, CASE contract_type WHEN 'FIXED_TERM' THEN 'Fixed term' WHEN 'PERMANENT' THEN 'Permanent' ELSE '' END AS contract,
+ CASE WHEN length(title) <= 12 THEN title WHEN strpos(reverse(title[1:12]), ' ') > 0 AND 12 - strpos(reverse(title[1:12]), ' ') > 7.2 THEN concat(rtrim(title[1:12 - strpos(reverse(title[1:12]), ' ')]), '…') ELSE concat(rtrim(title[1:12]), '…') END AS title FROM job""",
+      lambda j: j.select("job_id", labels.salary_range(F.col("salary_min"), F.col("salary_max")).alias("salary"), labels.humanise(F.col("contract_type")).alias("contract"), labels.truncate(F.col("title"), 12).alias("title")))
 
 # Deadlines and digests.
 _TODAY = "DATE '1998-01-01'"
