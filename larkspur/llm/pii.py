@@ -84,7 +84,7 @@ def joined(spans: list[Span]) -> str:
 
 # The network. Tags: 0 outside, 1 + k a character of kind k.
 
-HIDDEN, WIDTH, TAGS = 12, 12, 1 + len(KINDS)
+HIDDEN, WIDTH, TAGS = 10, 12, 1 + len(KINDS)
 #: Characters of a line when training and of a window when reading; those of two windows' ends that overlap.
 LINE, WINDOW, OVERLAP = 112, 512, 64
 #: Spans never touch, so no kind follows another.
@@ -205,7 +205,7 @@ class Tagger:
             out[f"wx{way}"], out[f"b{way}"] = p["embed"].T @ by_character, flat.sum(0)
         return out
 
-    def fit(self, lines: list[tuple[str, list[Span]]], rounds: int = 12, rows: int = 64, rate: float = 0.025) -> Tagger:
+    def fit(self, lines: list[tuple[str, list[Span]]], rounds: int = 14, rows: int = 64, rate: float = 0.025) -> Tagger:
         """Adam over labelled lines of at most LINE characters; the rate falls to a tenth."""
         x, y = np.full((LINE, len(lines)), 32), np.zeros((LINE, len(lines)), np.int64)
         for k, (text, spans) in enumerate(lines):
@@ -271,10 +271,13 @@ class Tagger:
         return go, step[0, 1:] + step[1:, 0] - 2 * step[0, 0] - go
 
     def joined_scores(self, texts: list[str], whole: bool = False) -> list[np.ndarray | None]:
-        """(characters, TAGS) of each text; None, unless whole, for a text all of whose gains inside a kind don't make up for a span's ends."""
+        """(characters, TAGS) of each text; None, unless whole, for a text in which gains inside a kind nowhere make up for a span's ends.
+
+        Gains are summed over runs of OVERLAP characters, two by two, so such a text holds no span of up to OVERLAP characters.
+        """
         go, ends = self.gains()
         windows = [(k, at, min(at + WINDOW, len(t))) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP) if t]
-        held, read, sums = [characters(t) for t in texts], [], np.zeros((len(texts), len(go)), np.float32)
+        held, read, some = [characters(t) for t in texts], [], np.full(len(texts), whole)
         windows.sort(key=lambda w: w[2] - w[1])
         for at in range(0, len(windows), 512):
             part = windows[at : at + 512]
@@ -284,9 +287,11 @@ class Tagger:
             emit = self.scores(x)[0].transpose(0, 2, 1)  # time, TAGS, rows
             gain = emit[:, 1:] - emit[:, :1]
             gain += go[:, None]
-            np.add.at(sums, [k for k, *_ in part], np.maximum(gain, 0, out=gain).sum(0).T)
+            sums = np.add.reduceat(np.maximum(gain, 0, out=gain), np.arange(0, len(x), OVERLAP), axis=0)
+            sums[1:] += sums[:-1].copy()
+            enough = (sums.max(0) + ends[:, None] > 0).any(0)
+            some[[k for (k, *_), f in zip(part, enough.tolist()) if f]] = True
             read.append((part, emit))
-        some = (sums + ends > 0).any(1) | whole
         out: list[np.ndarray | None] = [np.empty((len(t), TAGS), np.float32) if s else None for t, s in zip(texts, some.tolist())]
         for part, emit in read:
             for row, (k, b, e) in enumerate(part):
@@ -397,6 +402,8 @@ def labelled_lines(n: int = 5000, seed: int = 11, unseen: bool = False) -> list[
 
     def sentences() -> str:
         out, big = "", True
+        if r.random() < 0.1:
+            return " ".join([" ".join(word() for _ in range(r.randint(1, 3)))] * LINE)[:LINE]
         while len(out) < LINE:
             out += (word().capitalize() if big else word()) + r.choice((" ",) * 9 + (", ", ". ", ".\n", " at ", " dot "))
             big = out[-2:] in (". ", ".\n") or r.random() < 0.03
