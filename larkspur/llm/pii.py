@@ -271,9 +271,9 @@ class Tagger:
         return go, step[0, 1:] + step[1:, 0] - 2 * step[0, 0] - go
 
     def joined_scores(self, texts: list[str], whole: bool = False) -> list[np.ndarray | None]:
-        """(characters, TAGS) of each text; None, unless whole, for a text in which gains inside a kind nowhere make up for a span's ends.
+        """(characters, TAGS) of each text; None, unless whole, for a text none of whose windows holds characters in a row whose gains make up for a span's ends.
 
-        Gains are summed over runs of OVERLAP characters, two by two, so such a text holds no span of up to OVERLAP characters.
+        Windows share OVERLAP characters, so such a text holds no span of so many characters or fewer.
         """
         go, ends = self.gains()
         windows = [(k, at, min(at + WINDOW, len(t))) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP) if t]
@@ -287,9 +287,12 @@ class Tagger:
             emit = self.scores(x)[0].transpose(0, 2, 1)  # time, TAGS, rows
             gain = emit[:, 1:] - emit[:, :1]
             gain += go[:, None]
-            sums = np.add.reduceat(np.maximum(gain, 0, out=gain), np.arange(0, len(x), OVERLAP), axis=0)
-            sums[1:] += sums[:-1].copy()
-            enough = (sums.max(0) + ends[:, None] > 0).any(0)
+            most = best = np.zeros_like(gain[0])
+            for g in gain:  # the best sum that ends here, and the best of all
+                best = np.maximum(best, 0)
+                best += g
+                most = np.maximum(most, best)
+            enough = (most + ends[:, None] > 0).any(0)
             some[[k for (k, *_), f in zip(part, enough.tolist()) if f]] = True
             read.append((part, emit))
         out: list[np.ndarray | None] = [np.empty((len(t), TAGS), np.float32) if s else None for t, s in zip(texts, some.tolist())]
