@@ -82,7 +82,7 @@ def _decisions(m):
 query("join_12_institution_match", "institution match", "SELECT i.institution_id, m.verdict FROM institution i LEFT JOIN match m USING (institution_id)", lambda i, m: i.join(m, "institution_id", "left").select("institution_id", "verdict"))
 query("join_17_register_changes", "register match", """SELECT DISTINCT register_name, CASE WHEN length(register_name) % 3 = 0 THEN 'newly_listed' ELSE 'dropped_off' END AS side FROM register WHERE length(register_name) % 3 < 2 AND length(register_name) % 2 = 0""",
       lambda r, m: linkage.compare_registers(r.where("length(register_name) % 3 <> 0"), r.where("length(register_name) % 3 <> 1"), r.where("length(register_name) % 2 = 0").select(F.col("register_name").alias("registered_legal_name"))))
-query("src_02_register_rows", "named", f"SELECT trim(concat(' ', name, ' ')) AS organisation_name, CASE WHEN p_partkey % 2 = 0 THEN 'Bath' ELSE 'Leeds' END AS town_city, {normalised('name')} AS normalised_name FROM named WHERE p_partkey % 3 <> 0",
+query("src_02_register_rows", "named", f"SELECT trim(concat(' ', name, ' ')) AS organisation_name, CASE WHEN p_partkey % 2 = 0 THEN 'Bath' ELSE 'Leeds' END AS town_city, {normalised('name')} AS normalised_name FROM named WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 1",
       lambda n: files.register_rows(n.selectExpr("CASE WHEN p_partkey % 3 = 0 THEN ' ' WHEN p_partkey % 2 = 0 THEN concat(' ', name, ' ') END AS `﻿Organisation Name`", "CASE WHEN p_partkey % 2 = 1 THEN name ELSE '' END AS organisation_name",
                                                  "CASE WHEN p_partkey % 2 = 0 THEN 'Bath' END AS `Town/City`", "' Leeds ' AS town_city")).where("organisation_name <> ''").select("organisation_name", "town_city", "normalised_name"))
 query("src_04_seeded_matches", "institution", """SELECT slug, CASE WHEN institution_id % 4 <> 0 THEN institution_id END AS institution_id, CASE WHEN institution_id % 2 = 0 THEN 'CONFIRMED' ELSE 'NOT_FOUND' END AS verdict, institution_id % 2 = 1 AS needs_review, CASE WHEN institution_id % 5 = 0 THEN 0.0 ELSE 1.0 END AS confidence FROM institution""",
@@ -102,6 +102,7 @@ query("api_08_deleted", "institution job", "SELECT institution_id FROM instituti
 query("api_09_verdict_list", "institution match", "SELECT i.institution_id, i.name, m.verdict, m.method FROM institution i JOIN match m USING (institution_id)", lambda i, m: institutions.verdict_list(i, m).select("institution_id", "name", "verdict", "method"))
 query("agg_23_health", "institution job run", "SELECT (SELECT count(*) FROM institution) AS institutions, (SELECT count(*) FROM job) AS jobs, (SELECT count(*) FROM job WHERE job_id % 9 = 0) AS unscreened, (SELECT count(*) FROM run WHERE outcome <> 'OK') AS not_ok",
       lambda i, j, r: institutions.health(i, j, j.where("job_id % 9 <> 0"), r))
-query("ord_07_attention", "run institution", """SELECT i.institution_id, CASE WHEN r.outcome IS NULL THEN 1 WHEN r.outcome <> 'OK' THEN 0 WHEN r.fallback_fired THEN 2 ELSE 3 END AS rank FROM institution i
- LEFT JOIN (SELECT institution_id, arg_max(outcome, (started_at, run_id)) AS outcome, arg_max(fallback_fired, (started_at, run_id)) AS fallback_fired FROM run WHERE institution_id % 5 <> 0 GROUP BY institution_id) r USING (institution_id)""",
+query("ord_07_attention", "run institution", """SELECT i.institution_id, CASE WHEN r.outcome IS NULL THEN 1 WHEN r.outcome <> 'OK' OR r.dropped THEN 0 WHEN r.fallback_fired THEN 2 ELSE 3 END AS rank FROM institution i
+ LEFT JOIN (SELECT institution_id, arg_max(outcome, (started_at, run_id)) AS outcome, arg_max(fallback_fired, (started_at, run_id)) AS fallback_fired,
+ arg_max(vacancies_found = 0 AND coalesce(p, 0) > 0, (started_at, run_id)) AS dropped FROM (SELECT *, lag(vacancies_found) OVER (PARTITION BY institution_id ORDER BY started_at, run_id) AS p FROM run WHERE institution_id % 5 <> 0) GROUP BY institution_id) r USING (institution_id)""",
       lambda r, i: i.join(records.last_crawls(r.where("institution_id % 5 <> 0")), "institution_id", "left").select("institution_id", institutions.attention(F.col("last_crawl")).alias("rank")))

@@ -90,7 +90,7 @@ query("prj_01_list_rows", "job saved scored application", """SELECT j.job_id, j.
 query("prj_02_detail_rows", "job saved scored application revision", """SELECT j.job_id, j.source_url AS apply_url, a.application_id, a.status AS application_status, least(20, coalesce(r.n, 0)) AS shown, r.newest FROM job j
  LEFT JOIN (SELECT * FROM application WHERE owner = 7) a ON a.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS n, arg_max(concat(field, ' ', value_before, ' ', value_after), (changed_at, revision_id)) AS newest FROM revision GROUP BY job_id) r ON r.job_id = j.job_id
  WHERE sponsor_verdict IS NOT NULL""", lambda j, s, f, a, r: search.detail_rows(_mine(j.where("sponsor_verdict IS NOT NULL"), s, f, a), r).select(
-    "job_id", "apply_url", "application_id", "application_status", F.size("revisions").cast("long").alias("shown"), F.expr("concat_ws(' ', revisions[0].field, revisions[0].before, revisions[0].after)").alias("newest_")).select(
+    "job_id", "apply_url", "application_id", "application_status", F.size("revisions").cast("long").alias("shown"), F.expr("concat_ws(' ', get(revisions, 0).field, get(revisions, 0).before, get(revisions, 0).after)").alias("newest_")).select(
     "job_id", "apply_url", "application_id", "application_status", "shown", F.nullif(F.col("newest_"), F.lit("")).alias("newest")))
 query("prj_03_annotated", "job saved scored application", """SELECT j.job_id, EXISTS (SELECT 1 FROM saved s WHERE s.job_id = j.job_id AND s.owner = 9) AS is_saved, coalesce(f.score, 0) AS fitness_score, a.application_id, a.status AS application_status
  FROM job j LEFT JOIN (SELECT * FROM scored WHERE owner = 9) f ON f.job_id = j.job_id LEFT JOIN (SELECT * FROM application WHERE owner = 9) a ON a.job_id = j.job_id""",
