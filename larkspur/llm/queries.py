@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm import mixing
 from larkspur.llm.decontamination import op1_decontamination
 from larkspur.llm.embedding_links import op4_embedding_links
 from larkspur.llm.language import op9_language
+from larkspur.llm.mixing import op12_mixing
 from larkspur.llm.packing import op6_pack
 from larkspur.llm.pii import op2_pii
 from larkspur.llm.quality import op8_quality
@@ -35,11 +37,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op12_mixing": op12_mixing,
     "pipeline": pipeline,
 }
 
 #: Exact answers in DuckDB SQL over whole tables, where SQL is quick enough.
 ORACLES: dict[str, str] = {
+    "op12_mixing": mixing.SQL,
     "op4_embedding_links": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
