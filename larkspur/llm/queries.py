@@ -12,6 +12,7 @@ from larkspur.llm.embedding_links import op4_embedding_links
 from larkspur.llm.language import op9_language
 from larkspur.llm.mixing import op12_mixing
 from larkspur.llm.packing import op6_pack
+from larkspur.llm.periodic import op13_periodic_runs
 from larkspur.llm.pii import op2_pii
 from larkspur.llm.quality import op8_quality
 from larkspur.llm.simhash import op10_simhash
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
     "op12_mixing": op12_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
