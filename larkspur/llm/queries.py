@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import mixing
+from larkspur.llm import mixing, ranked_search
 from larkspur.llm.decontamination import op1_decontamination
 from larkspur.llm.embedding_links import op4_embedding_links
 from larkspur.llm.language import op9_language
@@ -15,6 +15,7 @@ from larkspur.llm.packing import op6_pack
 from larkspur.llm.periodic import op13_periodic_runs
 from larkspur.llm.pii import op2_pii
 from larkspur.llm.quality import op8_quality
+from larkspur.llm.ranked_search import op11_ranked_search
 from larkspur.llm.simhash import op10_simhash
 from larkspur.llm.substring_dedup import op5_substring_dedup
 from larkspur.llm.token_count import op7_token_counts
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_ranked_search": op11_ranked_search,
     "op12_mixing": op12_mixing,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
@@ -45,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Exact answers in DuckDB SQL over whole tables, where SQL is quick enough.
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": ranked_search.SQL,
     "op12_mixing": mixing.SQL,
     "op4_embedding_links": """
 WITH RECURSIVE v AS (

@@ -104,9 +104,9 @@ def test_op13_is_brute_force(spark):
 
 def test_odd_rows(spark):
     long = " ".join(["over", "and"] * 40_000)
-    rows = [(None, "a b a b a b a b"), (None, None), (1, ""), (1, "x " * 9), (1, "x " * 9), (2, long), (3, "a\x0bb c " * 8), (None, "tied a b a b a b a b tied")]
+    rows = [(None, "a b a b a b a b"), (None, None), (1, ""), (1, "x " * 9), (1, "x " * 9), (2, long), (3, "a\x0bb\u00a0c " * 8), (None, "tied a b a b a b a b tied")]
     df = spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, runs string, best int").repartition(3)
     got = periodic.find_runs(df).collect()
     assert len(got) == len(rows) and periodic.find_runs(df.where("false")).count() == 0
     by = {(r.doc_id, r.collapsed): [tuple(x) for x in r.runs] for r in got}
-    assert by == {(None, "a b"): [(0, 8, 2)], (None, ""): [], (1, ""): [], (1, "x"): [(0, 9, 1)], (2, "over and"): [(0, 80_000, 2)], (3, "a b c"): [(0, 16, 2)], (None, "tied a b tied"): [(1, 8, 2)]}
+    assert by == {(None, "a b"): [(0, 8, 2)], (None, ""): [], (1, ""): [], (1, "x"): [(0, 9, 1)], (2, "over and"): [(0, 80_000, 2)], (3, "a b\u00a0c"): [(0, 16, 2)], (None, "tied a b tied"): [(1, 8, 2)]}
