@@ -120,6 +120,11 @@ def inside(nodes: Column, node: Column) -> Column:
     return F.coalesce(F.slice(nodes, node["at"] + 2, node["until"] - node["at"] - 1), F.filter(nodes, lambda _: F.lit(False)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first(found: Column) -> Column:
     return F.get(found, F.lit(0))
 

@@ -143,7 +143,14 @@ class _Reader:
         return (F.array_position(F.transform(headings, has), True) - 1).cast("int")
 
     def cell(self, row: Column, place: Column, selector: str = "", name: str = "") -> Column:
-        return F.when(place >= 0, self.one(F.get(self.cells(row), place), selector, name)).otherwise("")
+        return F.when(place >= 0, self.one(F.get(row["cells"], place), selector, name)).otherwise("")
+
+    def bound(self, row: Column, use) -> Column:
+        """use(row), with the row's cells and the nodes inside it found once."""
+        x = self.listing
+        needed = any(k in str(x.fields) for k in ("'cell'", "'column'"))
+        cells = self.cells(row) if needed else F.slice(self.nodes, 1, 0)
+        return N.bound(F.struct(row["at"].alias("at"), row["until"].alias("until"), row["parent"].alias("parent"), row["attributes"].alias("attributes"), row["first"].alias("first"), row["last"].alias("last"), cells.alias("cells")), use)
 
     def value(self, spec: Spec, row: Column, group: Column) -> Column:
         kind, *rest = spec
@@ -158,7 +165,7 @@ class _Reader:
         if kind == "cell":
             return self.cell(row, F.lit(rest[0]), *rest[1:])
         if kind == "column":
-            return self.cell(row, self.place(group, rest[0]), *rest[1:])
+            return self.cell(row, group["places"][rest[0]], *rest[1:])
         if kind == "group":
             return N.said(s, group)
         if kind == "before":
@@ -174,8 +181,8 @@ class _Reader:
                 return F.when(node.isNull(), "").otherwise(self.one(node, rest[2]))
             return F.trim(F.substring(self.one(node), F.length(self.one(node, rest[1])) + 1, F.lit(1 << 30)))
         if kind == "after":
-            block = F.coalesce(N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: (n["at"] < row["at"]) & (row["at"] < n["until"]))), row)
-            later = F.filter(self.nodes, lambda n: (n["parent"] == block["parent"]) & (n["at"] > block["at"]))
+            block = N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: (n["at"] < row["at"]) & (row["at"] < n["until"])))
+            later = F.filter(self.nodes, lambda n: (n["parent"] == F.coalesce(block["parent"], row["parent"])) & (n["at"] > F.coalesce(block["at"], row["at"])))
             end = F.coalesce(N.first(N.selected(later, rest[3]))["at"], F.lit(1 << 30))
             return N.said(s, N.first(F.filter(N.selected(later, rest[1]), lambda n: (n["at"] < end) & F.contains(F.lower(N.said(s, n)), F.lit(rest[2])))))
         if kind == "closest":
@@ -193,7 +200,7 @@ class _Reader:
     def rows(self) -> Column:
         """An array of structs of the listing's fields."""
         x, s = self.listing, F.struct
-        read = lambda group: lambda row: s(*[self.value(spec, row, group).alias(name) for name, spec in x.fields.items()])
+        read = lambda group: lambda row: self.bound(row, lambda r: s(*[self.value(spec, r, group).alias(name) for name, spec in x.fields.items()]))
         if not x.group:
             nothing = F.get(F.slice(self.nodes, 1, 0), F.lit(0))
             return F.transform(N.selected(self.nodes, x.rows), read(nothing))
@@ -204,7 +211,10 @@ class _Reader:
             scope = N.first(F.filter(N.selected(self.nodes, x.sibling), lambda n: (n["parent"] == group["parent"]) & (n["at"] > group["at"]))) if x.sibling else group
             rows = self.found(scope, x.rows)
             rows = F.filter(rows, lambda r: F.size(self.cells(r)) >= x.least) if x.least else rows
-            return F.transform(rows, read(group))
+            if not any(spec[0] == "column" or spec[0] == "either" for spec in x.fields.values()):
+                return F.transform(rows, read(group))
+            places = F.struct(*[self.place(group, name).alias(name) for name in COLUMNS])
+            return N.bound(places, lambda p: F.transform(rows, read(F.struct(*[group[c].alias(c) for c in ("at", "until", "parent", "first", "last")], p.alias("places")))))
 
         return F.flatten(F.transform(groups, of_group))
 
@@ -223,7 +233,7 @@ def listed(noded: DataFrame, platform: str, today: date, *more: str) -> DataFram
     def counted(x: Listing) -> Column:
         whole = F.transform(_Reader(x).rows(), lambda r: F.struct(*[(r[c] if c in x.fields else F.lit("")).alias(c) for c in sorted(names)]))
         kept = F.filter(whole, lambda r: _counts(r, x))
-        return kept if x.otherwise is None else F.when(F.size(kept) > 0, kept).otherwise(counted(x.otherwise))
+        return kept if x.otherwise is None else N.bound(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(counted(x.otherwise)))
 
     found, rest = F, None
     for mark, x in SITES[platform]:
