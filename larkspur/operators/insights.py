@@ -34,6 +34,16 @@ def top_rows(rows: int = 20) -> int:
     return max(1, min(500, rows))
 
 
+def clamped_days(days: Column) -> Column:
+    """LIM-02 as data: 1 to 365 days, 30 without a number."""
+    return F.greatest(F.lit(1), F.least(F.lit(365), F.coalesce(days, F.lit(30))))
+
+
+def clamped_rows(rows: Column) -> Column:
+    """LIM-02 as data: 1 to 500 rows, 20 without a number."""
+    return F.greatest(F.lit(1), F.least(F.lit(500), F.coalesce(rows, F.lit(20))))
+
+
 def since(events: DataFrame, first: Column | None, at: str = "day") -> DataFrame:
     """FLT-17 and DAT-04."""
     return events if first is None else events.where(F.col(at) >= first)

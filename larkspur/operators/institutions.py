@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What each role may edit.
-EDITABLE = {"ADMIN": ["name", "city", "website", "careers_url", "description", "notes", "crawl_enabled", "adapter_override"], "RECRUITER": ["website", "description"]}
+MANAGER_FIELDS = ["adapter_override", "crawl_enabled", "notes", "careers_url"]
+ADMIN_FIELDS = MANAGER_FIELDS + ["name", "city", "nation", "institution_type", "ranking", "website", "description", "contact_email", "contact_phone", "address"]
+RECRUITER_FIELDS = ["description", "contact_email", "contact_phone", "address"]
 
 
 def effective_platform(override: Column, detected: Column) -> Column:
@@ -47,17 +49,22 @@ def attention(last: Column) -> Column:
     return F.when(last.isNull(), 1).when(wrong, 0).when(last["fallback_fired"], 2).otherwise(3)
 
 
-def updated(institutions: DataFrame, institution_id: int, role: str, changes: dict) -> DataFrame:
-    """API-07: one institution with what its editor may change; a new careers page has no known platform yet."""
-    refused = sorted(set(changes) - set(EDITABLE.get(role, [])))
-    if refused:
-        raise PermissionError(f"{role} may not edit {', '.join(refused)}")
+def updated(institutions: DataFrame, institution_id: int, role: str, changes: dict, recruiters: DataFrame | None = None, user: int | None = None) -> DataFrame:
+    """API-07: one institution with what its editor may change; other fields are left out, not refused. A new careers page has no known platform yet.
+
+    ADMIN and RECRUITER have fields of their own, any other role a manager's. A recruiter who isn't assigned to the
+    institution, by recruiters (institution_id, user), is an error.
+    """
+    if role == "RECRUITER" and (recruiters is None or recruiters.where((F.col("institution_id") == institution_id) & (F.col("user") == user)).isEmpty()):
+        raise PermissionError(f"{user} isn't assigned to institution {institution_id}")
+    allowed = {"ADMIN": ADMIN_FIELDS, "RECRUITER": RECRUITER_FIELDS}.get(role, MANAGER_FIELDS)
+    given = {c: v for c, v in changes.items() if c in allowed}
     mine = F.col("institution_id") == institution_id
     out = institutions
-    if "careers_url" in changes:
-        moved = mine & ~F.col("careers_url").eqNullSafe(F.lit(changes["careers_url"]))
+    if "careers_url" in given:
+        moved = mine & ~F.col("careers_url").eqNullSafe(F.lit(given["careers_url"]))
         out = out.withColumn("platform", F.when(moved, "UNKNOWN").otherwise(F.col("platform")))
-    return out.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+    return out.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in given.items()})
 
 
 def deleted(institutions: DataFrame, jobs: DataFrame, institution_id: int) -> DataFrame:
@@ -79,10 +86,17 @@ def verdict_list(institutions: DataFrame, matches: DataFrame) -> DataFrame:
     return institutions.select("institution_id", "name").join(m, "institution_id").orderBy("name", "institution_id")
 
 
-def health(institutions: DataFrame, jobs: DataFrame, screenings: DataFrame, runs: DataFrame) -> DataFrame:
-    """AGG-23: one row of counts."""
-    i = institutions.agg(F.count("*").alias("institutions")).withColumn("one", F.lit(1))
-    bare = jobs.join(screenings.select("job_id"), "job_id", "left_anti").agg(F.count("*").alias("unscreened")).withColumn("one", F.lit(1))
-    j = jobs.agg(F.count("*").alias("jobs")).withColumn("one", F.lit(1))
-    r = runs.agg(F.count_if(F.col("outcome") != "OK").alias("not_ok")).withColumn("one", F.lit(1))
-    return i.join(j, "one").join(bare, "one").join(r, "one").drop("one")
+def health(institutions: DataFrame, jobs: DataFrame, screenings: DataFrame, rulesets: DataFrame, runs: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """AGG-23: one row of counts: institutions, jobs, active rule sets, unscreened jobs, runs without a heartbeat for half an hour, and what of the last run's results isn't OK, with its status.
+
+    runs: run_id, status, started_at, heartbeat_at; results: run_id, outcome. Of runs that started together the highest id is the last.
+    """
+    n = lambda rows, c: rows.agg(F.count("*").alias(c)).withColumn("one", F.lit(1))
+    silent = (F.col("status") == "RUNNING") & (F.col("heartbeat_at") < now - F.make_dt_interval(mins=F.lit(30)))
+    last = runs.agg(F.max_by(F.struct("run_id", "status"), F.struct("started_at", "run_id")).alias("last"))
+    bad = results.where("outcome <> 'OK'").groupBy("run_id").agg(F.count("*").alias("bad"))
+    of_last = last.select(F.col("last.run_id").alias("run_id"), F.coalesce("last.status", F.lit("NONE")).alias("last_status")).join(bad, "run_id", "left").select(F.coalesce("bad", F.lit(0)).alias("not_ok"), "last_status").withColumn("one", F.lit(1))
+    out = n(institutions, "institutions")
+    for rows, c in ((jobs, "jobs"), (rulesets.where("is_active"), "active_rulesets"), (jobs.join(screenings.select("job_id"), "job_id", "left_anti"), "unscreened"), (runs.where(silent), "stuck_runs")):
+        out = out.join(n(rows, c), "one")
+    return out.join(of_last, "one").drop("one")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import classify, pages, text
+from larkspur.operators import screening, search
 
 # Fields whose changes are recorded; the longest texts that fields hold.
 TRACKED = ["title", "salary_raw", "closing_date", "location_raw"]
@@ -270,7 +271,7 @@ def upserted(rows: DataFrame, new: DataFrame, *key: str) -> DataFrame:
 
 
 def manual_jobs(drafts: DataFrame) -> DataFrame:
-    """API-01: jobs added by hand as they are stored: text from HTML and classes from the text, each only where nobody gave it."""
+    """API-01: jobs added by hand as they are stored: text from HTML and classes from the text, each only where nobody gave it. See added_by_hand() for their screenings."""
     d = drafts.withColumn("description_text", F.coalesce(F.nullif(F.col("description_text"), F.lit("")), pages.html_to_text(F.col("description_html"))))
     classes = ["contract_type", "hours", "workplace", "discipline"]
     given = stored_fields(d.select("*", *[F.col(c).alias(f"given_{c}") for c in classes]))
@@ -278,14 +279,27 @@ def manual_jobs(drafts: DataFrame) -> DataFrame:
     return given.withColumns(chosen | {"source": F.lit("MANUAL"), "status": F.lit("OPEN")}).drop(*[f"given_{c}" for c in classes])
 
 
+def added_by_hand(drafts: DataFrame, matches: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """API-01: manual_jobs() and the screening of each, made at once as for any other job."""
+    jobs = manual_jobs(drafts)
+    return jobs, screening.screened(jobs, matches, rules)
+
+
 def edited(jobs: DataFrame, job_id: int, changes: dict) -> DataFrame:
-    """API-02: one job added by hand with changed fields; editing a crawled one is an error."""
+    """API-02: one job added by hand with changed fields; editing a crawled one is an error. See edited_by_hand() for what follows from it."""
     mine = F.col("job_id") == job_id
     wrong = F.raise_error(F.lit(f"job {job_id} was not added by hand")).cast("string")
     source = F.when(mine & (F.col("source") != "MANUAL"), wrong).otherwise(F.col("source"))
     return jobs.withColumns({"source": source} | {c: F.when(mine, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+def edited_by_hand(jobs: DataFrame, screenings: DataFrame, job_id: int, changes: dict, matches: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """API-02: all jobs after an edit, all screenings with that job's made anew, and that job with its search vectors made anew."""
+    after = edited(jobs, job_id, changes)
+    one = after.where(F.col("job_id") == job_id)
+    return after, upserted(screenings, screening.screened(one, matches, rules), "job_id"), search.with_vectors(one)
+
+
 def taken(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     """API-12: the wanted rows (owner and key) that exist already."""
     return wanted.join(rows.select("owner", *key).distinct(), ["owner", *key], "left_semi")

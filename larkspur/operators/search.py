@@ -161,30 +161,66 @@ def detail_rows(jobs: DataFrame, revisions: DataFrame, newest: int = 20) -> Data
     return list_rows(jobs).join(more, "job_id").join(r, "job_id", "left").withColumn("revisions", F.coalesce("revisions", F.array().cast(r.schema["revisions"].dataType)))
 
 
+#: Filters whose value may be a list with commas.
+LISTED = ["institution", "category"]
+# Filters from the one that hides most, as people are told which to drop.
+RESTRICTIVENESS = [
+    "q", "min_fitness", "salary_min", "threshold_verdict", "sponsor_verdict", "sponsorable", "closing_before", "posted_after", "institution", "category", "discipline", "city", "contract_type", "hours", "workplace", "nation",
+    "status",
+]
+
+
 def parse_saved(query: str) -> dict:
-    """JSN-03 and JSN-04: a saved search's query string as filters; repeated keys are alternatives."""
+    """JSN-03: a saved search's query string as filters: the first value of each key counts; unknown keys and unreadable numbers are left out."""
     out: dict = {}
     for key, values in parse_qs(query).items():
-        parts = [p for v in values for p in v.split(",") if p]
+        value = values[0]
         if key in ("sponsorable", "saved"):
-            out[key] = values[0].lower() == "true"
+            if value.lower() in ("true", "false"):
+                out[key] = value.lower() == "true"
         elif key in ("min_fitness", "salary_min", "salary_max"):
-            out[key] = int(float(values[0]))
+            try:
+                out[key] = int(float(value))
+            except (ValueError, OverflowError):
+                continue
         elif key == "order":
-            out[key] = parts
+            out[key] = [p for p in value.split(",") if p]
         elif key in SINGLE:
-            out[key] = values[0]
+            out[key] = value
         elif key in DIMENSIONS:
-            out[key] = parts
+            out[key] = [p for p in value.split(",") if p] if key in LISTED else [value]
     return out
 
 
+def parse_filters(query: str) -> dict:
+    """JSN-04: a page's query string as filters: all values of keys that take several, the first of others."""
+    found = {k: [v for v in values if v] for k, values in parse_qs(query, keep_blank_values=True).items()}
+    return {k: found[k] for k in DIMENSIONS if found.get(k)} | {k: found[k][0] for k in (*SINGLE, "page") if found.get(k)}
+
+
 def query_string(params: dict) -> str:
-    """JSN-04: the reverse of parse_saved()."""
+    """JSN-04: filters as a query string; what parse_filters() gave comes back."""
     pairs = [(k, str(x).lower() if isinstance(x, bool) else x) for k, v in params.items() for x in (v if isinstance(v, list) else [v])]
     return urlencode(pairs)
 
 
 def active_count(params: dict) -> int:
-    """JSN-04: how many filters are set; the order isn't one."""
-    return sum(1 for k, v in params.items() if k != "order" and v not in (None, "", []))
+    """JSN-04: how many filters are set; order and page aren't filters."""
+    return sum(1 for k, v in params.items() if k not in ("order", "page") and v not in (None, "", []))
+
+
+def most_restrictive(params: dict) -> str | None:
+    """JSN-04: the filter that hides most, None without one."""
+    return next((k for k in RESTRICTIVENESS if params.get(k)), None)
+
+
+def saved_params(query: Column) -> Column:
+    """JSN-03 as data: a map of each key of a query string to its first value, decoded; keys without a value are left out."""
+    parts = F.transform(F.split(F.coalesce(query, F.lit("")), "&"), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("key"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    parts = F.filter(parts, lambda p: (p["key"] != "") & (p["value"] != ""))
+    first = F.filter(parts, lambda p, k: F.array_position(F.transform(parts, lambda x: x["key"]), p["key"]) == k + 1)
+    return F.map_from_entries(first)
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), text)

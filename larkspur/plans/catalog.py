@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import salary
 from larkspur.operators import search
-from larkspur.plans import boards, dashboards, lifecycle, linkage, pages, parts, searching, verdicts  # noqa: F401  registers their queries
+from larkspur.plans import boards, dashboards, digests, lifecycle, linkage, pages, parts, searching, verdicts  # noqa: F401  registers their queries
 from larkspur.plans.registry import ORACLES, QUERIES, query
 from larkspur.sources.tables import INSTITUTION, JOB, frame
 

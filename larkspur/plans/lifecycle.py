@@ -92,15 +92,16 @@ for _action, _to in (("pause", "PAUSED"), ("cancel", "CANCELLED"), ("finalise",
 query("stm_05_started", "nation", "SELECT n_nationkey AS run_id, CASE WHEN n_nationkey = 23 THEN 'COMPLETE' ELSE 'CANCELLED' END AS status FROM nation WHERE n_nationkey <> 24 UNION ALL SELECT 24, 'RUNNING'", lambda n: records.started(_runs(n).where("run_id <> 24"), "MANUAL", [2, 3], _NOW()).select(F.col("run_id").cast("int").alias("run_id"), "status"))
 query("stm_07_skipped", "institution", "SELECT institution_id, 'SKIPPED' AS outcome, 'cancelled' AS error_detail FROM institution WHERE institution_id < 9", lambda i: records.skipped(i.where("institution_id < 9"), 4, "cancelled").select("institution_id", "outcome", "error_detail"))
 query("stm_08_stalled", "nation", "SELECT n_nationkey AS run_id, CASE WHEN n_nationkey = 24 THEN 'INCOMPLETE' WHEN n_nationkey = 23 THEN 'COMPLETE' ELSE 'CANCELLED' END AS status FROM nation", lambda n: records.stalled(_runs(n), _NOW()).select(F.col("run_id").cast("int").alias("run_id"), "status"))
-query("set_03_retriable", "nation institution run", "SELECT institution_id FROM (VALUES (3), (1), (2)) v(institution_id) WHERE institution_id NOT IN (SELECT institution_id FROM run WHERE outcome = 'OK' AND result_id < 900)", lambda n, i, r: records.retriable(records.run_scope(_runs(n), 5, i), r.where("result_id < 900")).select(F.col("institution_id").cast("int").alias("institution_id")))
+query("set_03_retriable", "run institution", "SELECT institution_id FROM institution WHERE crawl_enabled AND careers_url <> '' AND institution_id NOT IN (SELECT institution_id FROM run WHERE outcome = 'OK' AND run_id = 7)",
+      lambda r, i: records.retriable(records.crawlable(i).select("institution_id", F.col("institution_id").alias("position")), r.where("run_id = 7")).select("institution_id"))
 query("set_04_scope_of_all", "nation institution", "SELECT institution_id FROM institution WHERE crawl_enabled AND careers_url <> ''", lambda n, i: records.run_scope(_runs(n), 6, i).select("institution_id"))
-query("ret_02_old_pages", "pages", "SELECT page_id FROM pages WHERE DATE '2024-01-01' + CAST(page_id % 200 AS INTEGER) >= DATE '2024-07-01' - 90", lambda p: _pruned(p).select("page_id"))
+query("ret_02_old_pages", "pages", "SELECT page_id FROM pages WHERE DATE '2024-01-01' + CAST(page_id * 7 % 200 AS INTEGER) >= DATE '2024-07-01' - 90", lambda p: _pruned(p).select("page_id"))
 
 
 def _pruned(p: DataFrame) -> DataFrame:
     from larkspur.operators import insights
 
-    return insights.prune(p.withColumn("fetched_on", F.expr("date_add(DATE '2024-01-01', CAST(page_id % 200 AS INT))")), F.lit("2024-07-01").cast("date"), 90, "fetched_on")
+    return insights.prune(p.withColumn("fetched_on", F.expr("date_add(DATE '2024-01-01', CAST(page_id * 7 % 200 AS INT))")), F.lit("2024-07-01").cast("date"), 90, "fetched_on")
 
 
 # Applications.
@@ -121,6 +122,25 @@ query("api_01_manual_jobs", "job", f"""SELECT job_id, 'MANUAL' AS source, CASE W
     _JOINED, "concat_ws(' ', nullif(contract_raw, ''), nullif(hours_raw, ''), CASE WHEN description_text = '' THEN 'Typed in' ELSE description_text END)"), lambda j: records.manual_jobs(j.withColumns({
         "description_html": F.lit("<p>Typed <b>in</b></p>"), "contract_type": F.when(F.col("job_id") % 2 == 0, "CASUAL").otherwise(""), "hours": F.lit(""), "workplace": F.lit(""), "discipline": F.lit("")})).select(
         "job_id", "source", "contract_type", F.regexp_replace("description_text", "\n", " ").alias("description_text")))
+query("api_01_screened_at_once", "job match", "SELECT job_id, CASE WHEN job_id % 8 IN (1, 7) THEN 'NOT_FOUND' ELSE coalesce(verdict, 'NOT_FOUND') END AS sponsor_verdict, job_id % 8 IN (1, 7) AS advert_excludes_sponsorship FROM job LEFT JOIN match USING (institution_id)", lambda j, m: _by_hand(j, m))
+
+
+def _by_hand(j: DataFrame, m: DataFrame) -> DataFrame:
+    from larkspur.plans.verdicts import rules
+
+    blank = {c: F.lit("") for c in ("description_html", "contract_type", "hours", "workplace", "discipline")}
+    return records.added_by_hand(j.withColumns(blank), m, rules())[1].select("job_id", "sponsor_verdict", "advert_excludes_sponsorship")
+
+
+def _after_edit(j: DataFrame, m: DataFrame) -> DataFrame:
+    from larkspur.plans.verdicts import rules
+
+    hand = j.withColumn("source", F.lit("MANUAL"))
+    fresh, screened, vectors = records.edited_by_hand(hand, records.screening.screened(hand, m, rules()).withColumn("sponsor_verdict", F.lit("OLD")), 3, {"title": "Gardening Nurse", "description_text": "We cannot offer visa sponsorship."}, m, rules())
+    return fresh.select("job_id", "title").join(screened.select("job_id", "sponsor_verdict"), "job_id").join(vectors.select("job_id", "title_vector"), "job_id", "left")
+
+
+query("api_02_screened_again", "job match", "SELECT job_id, CASE WHEN job_id = 3 THEN 'Gardening Nurse' ELSE title END AS title, CASE WHEN job_id = 3 THEN 'NOT_FOUND' ELSE 'OLD' END AS sponsor_verdict, CASE WHEN job_id = 3 THEN 'garden nurs' END AS title_vector FROM job", _after_edit)
 query("api_02_edited", "job", "SELECT job_id, CASE WHEN job_id = 2 THEN 'Edited' ELSE title END AS title FROM job", lambda j: records.edited(j, 2, {"title": "Edited"}).select("job_id", "title"))
 _POUNDS = "coalesce(concat('£', regexp_replace(reverse(regexp_replace(reverse(CAST(CAST({0} AS BIGINT) AS VARCHAR)), '(\\d\\d\\d)', '\\1,', 'g')), '^,', '')), '—')"
 query("str_29_labels", "job", f"""SELECT job_id, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN concat({_POUNDS.format('salary_min')}, ' – ', {_POUNDS.format('salary_max')}) WHEN salary_max IS NOT NULL THEN concat('Up to ', {_POUNDS.format('salary_max')})
@@ -134,8 +154,6 @@ _T = lambda: F.lit("1998-01-01").cast("date")
 query("dat_01_closing_soon", "job", f"SELECT job_id, coalesce(closing_date BETWEEN {_TODAY} AND {_TODAY} + 7, false) AS soon FROM job", lambda j: j.select("job_id", tracking.closes_within(F.col("closing_date"), _T(), 7).alias("soon")))
 query("dat_07_closing_labels", "job", f"""SELECT job_id, closing_date - {_TODAY} AS days, CASE WHEN closing_date IS NULL THEN 'No closing date' WHEN closing_date < {_TODAY} THEN 'Closed' WHEN closing_date = {_TODAY} THEN 'Closes today' WHEN closing_date = {_TODAY} + 1 THEN 'Closes tomorrow'
  ELSE concat('Closes in ', closing_date - {_TODAY}, ' days') END AS label FROM job""", lambda j: j.select("job_id", tracking.days_until(F.col("closing_date"), _T()).cast("long").alias("days"), tracking.closing_label(F.col("closing_date"), _T()).alias("label")))
-query("dig_01_closing_soon", "job saved", f"SELECT j.job_id FROM job j JOIN saved s ON s.job_id = j.job_id AND s.owner = 8 WHERE status = 'OPEN' AND closing_date BETWEEN {_TODAY} AND {_TODAY} + 7", lambda j, s: tracking.closing_soon(j, s, 8, _T()).select("job_id"))
-query("dig_01_actions_due", "application", f"SELECT application_id FROM application WHERE owner = 8 AND next_action_due <= {_TODAY} AND status NOT IN ('REJECTED', 'OFFER')", lambda a: tracking.actions_due(a, 8, _T()).select("application_id"))
 _SEARCHES = [{"search_id": 1, "query": "nation=WALES&min_fitness=30", "last_run": "1997-06-01"}, {"search_id": 2, "query": "status=OPEN&order=title", "last_run": None}]
 query("dig_01_new_matches", "job", f"""SELECT * FROM (SELECT CAST(1 AS BIGINT) AS search_id, job_id FROM job WHERE first_seen >= DATE '1997-06-01' AND nation = 'WALES' AND fitness_score >= 30 ORDER BY posted_date DESC NULLS FIRST, first_seen DESC NULLS FIRST, job_id LIMIT 20)
  UNION ALL SELECT * FROM (SELECT 2, job_id FROM job WHERE first_seen >= {_TODAY} - 1 AND status = 'OPEN' ORDER BY title, job_id LIMIT 20)""", lambda j: tracking.new_matches(j, _SEARCHES, datetime.date(1998, 1, 1)))

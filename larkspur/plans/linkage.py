@@ -65,8 +65,8 @@ query("str_09_sponsor_decision", "named register", f"""SELECT n.name, CASE WHEN
  FROM (SELECT *, CASE WHEN trim(name) = trim(register_name) THEN 0 WHEN same THEN 1 ELSE 2 END AS rung, {_VERDICT} AS entry, greatest(similarity, named_alike) AS score,
  row_number() OVER (PARTITION BY name ORDER BY greatest(similarity, named_alike) DESC, length(register_name), register_name) AS place FROM best) GROUP BY name) d ON d.name = n.name""",
       lambda n, r: linkage.decide(_some(n), linkage.candidates(_some(n), _register(r)), _register(r)).withColumns({"confidence": F.round("confidence", 6), "candidates": F.array_join("candidates", "|")}), _READY)
-query("flt_19_register_search", "register", f"SELECT register_name FROM (SELECT DISTINCT register_name, {ALIKE.format(GRAMS.format('register_name'), GRAMS.format(chr(39) + 'steel' + chr(39)))} AS s FROM register) WHERE contains(lower(register_name), 'steel') OR s >= 0.3 ORDER BY s DESC, register_name LIMIT 25",
-      lambda r: linkage.search_register(_register(r), "Steel").select("register_name"))
+query("flt_19_register_search", "register", f"SELECT register_name FROM (SELECT DISTINCT register_name, {ALIKE.format(GRAMS.format('register_name'), GRAMS.format(chr(39) + 'gear' + chr(39)))} AS s FROM register) WHERE contains(lower(register_name), 'gear') OR s >= 0.3 ORDER BY s DESC, register_name LIMIT 25",
+      lambda r: linkage.search_register(_register(r), "Gear").select("register_name"))
 query("flt_20_review_queue", "institution match", "SELECT i.institution_id FROM institution i LEFT JOIN match m USING (institution_id) WHERE coalesce(m.needs_review, true)", lambda i, m: linkage.review_queue(i, m).select("institution_id"))
 query("str_12_updated_matches", "match", "SELECT institution_id, CASE WHEN institution_id % 3 = 0 AND NOT resolved_by_human THEN 'PROVISIONAL' ELSE verdict END AS verdict, resolved_by_human FROM match UNION ALL SELECT 100008, 'PROVISIONAL', false",
       lambda m: linkage.updated_matches(m, _decisions(m)).select("institution_id", "verdict", "resolved_by_human"))
@@ -100,8 +100,19 @@ query("api_07_new_careers_page", "institution", "SELECT institution_id, CASE WHE
       lambda i: institutions.updated(i, 3, "ADMIN", {"careers_url": "https://new/"}).select("institution_id", "platform", "careers_url"))
 query("api_08_deleted", "institution job", "SELECT institution_id FROM institution WHERE institution_id <> 3", lambda i, j: institutions.deleted(i, j.where("institution_id <> 3"), 3).select("institution_id"))
 query("api_09_verdict_list", "institution match", "SELECT i.institution_id, i.name, m.verdict, m.method FROM institution i JOIN match m USING (institution_id)", lambda i, m: institutions.verdict_list(i, m).select("institution_id", "name", "verdict", "method"))
-query("agg_23_health", "institution job run", "SELECT (SELECT count(*) FROM institution) AS institutions, (SELECT count(*) FROM job) AS jobs, (SELECT count(*) FROM job WHERE job_id % 9 = 0) AS unscreened, (SELECT count(*) FROM run WHERE outcome <> 'OK') AS not_ok",
-      lambda i, j, r: institutions.health(i, j, j.where("job_id % 9 <> 0"), r))
+query("agg_23_health", "institution job run", """SELECT (SELECT count(*) FROM institution) AS institutions, (SELECT count(*) FROM job) AS jobs, (SELECT count(*) FROM institution WHERE institution_id % 6 = 0) AS active_rulesets, (SELECT count(*) FROM job WHERE job_id % 9 = 0) AS unscreened,
+ (SELECT count(DISTINCT run_id) FROM run WHERE run_id % 3 = 0 AND run_id % 120 > 30) AS stuck_runs, (SELECT count(*) FROM run WHERE outcome <> 'OK' AND run_id = (SELECT arg_max(run_id, (started_at, run_id)) FROM run)) AS not_ok,
+ (SELECT CASE WHEN arg_max(run_id, (started_at, run_id)) % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETE' END FROM run) AS last_status""", lambda i, j, r: _health(i, j, r))
+
+
+def _health(i: DataFrame, j: DataFrame, r: DataFrame) -> DataFrame:
+    now = F.lit("2024-05-10 12:00:00").cast("timestamp")
+    runs = r.groupBy("run_id").agg(F.max("started_at").alias("started_at")).withColumns({"status": F.expr("CASE WHEN run_id % 3 = 0 THEN 'RUNNING' ELSE 'COMPLETE' END"), "heartbeat_at": now - F.make_dt_interval(mins=F.col("run_id").cast("int") % 120)})
+    return institutions.health(i, j, j.where("job_id % 9 <> 0"), i.select((F.col("institution_id") % 6 == 0).alias("is_active")), runs, r, now)
+
+
+query("api_07_fields_by_role", "institution", "SELECT institution_id, CASE WHEN institution_id = 4 THEN 'seen to' ELSE notes END AS notes, name FROM institution", lambda i: institutions.updated(i, 4, "MANAGER", {"notes": "seen to", "name": "no"}).select("institution_id", "notes", "name"))
+query("api_07_by_a_recruiter", "institution", "SELECT institution_id, website, CASE WHEN institution_id = 4 THEN '1 Road' ELSE '' END AS address FROM institution", lambda i: institutions.updated(i.withColumn("address", F.lit("")), 4, "RECRUITER", {"address": "1 Road", "website": "no"}, i.select("institution_id", (F.col("institution_id") % 6).alias("user")), 4).select("institution_id", "website", "address"))
 query("ord_07_attention", "run institution", """SELECT i.institution_id, CASE WHEN r.outcome IS NULL THEN 1 WHEN r.outcome <> 'OK' OR r.dropped THEN 0 WHEN r.fallback_fired THEN 2 ELSE 3 END AS rank FROM institution i
  LEFT JOIN (SELECT institution_id, arg_max(outcome, (started_at, run_id)) AS outcome, arg_max(fallback_fired, (started_at, run_id)) AS fallback_fired,
  arg_max(vacancies_found = 0 AND coalesce(p, 0) > 0, (started_at, run_id)) AS dropped FROM (SELECT *, lag(vacancies_found) OVER (PARTITION BY institution_id ORDER BY started_at, run_id) AS p FROM run WHERE institution_id % 5 <> 0) GROUP BY institution_id) r USING (institution_id)""",

@@ -52,6 +52,6 @@ def _digest(j: DataFrame) -> DataFrame:
 query("str_24_fingerprints", "nation", "SELECT n_nationkey, true AS same, false AS other FROM nation", lambda n: n.select("n_nationkey", F.lit(fitness.Criteria(["a"]).fingerprint() == fitness.Criteria(["a"]).fingerprint()).alias("same"), F.lit(fitness.Criteria(["a"]).fingerprint() == fitness.Criteria(["b"]).fingerprint()).alias("other")))
 query("cv_02_no_section", "documents", "SELECT doc_id, 0 AS skills FROM documents", lambda d: d.select("doc_id", F.size(profiles.declared_skills(F.coalesce("text", F.lit("")))).alias("skills")))
 query("agg_20_unchanged_batch", "job", "SELECT count(*) AS screened, CAST(0 AS BIGINT) AS changed FROM job", lambda j: screening.rescreen_report(j, j))
-query("api_06_hand_search", "register", "SELECT register_name FROM (SELECT DISTINCT register_name FROM register) WHERE contains(lower(register_name), 'green')", lambda r: linkage.search_register(_register(r), " Green ", 100_000).where(F.contains(F.lower("register_name"), F.lit("green"))).select("register_name"))
+query("api_06_hand_search", "register", "SELECT register_name FROM (SELECT DISTINCT register_name FROM register) WHERE contains(lower(register_name), 'gear')", lambda r: linkage.search_register(_register(r), " Gear ", 100_000).where(F.contains(F.lower("register_name"), F.lit("gear"))).select("register_name"))
 query("api_18_register_refresh", "named register match", "SELECT count(DISTINCT name) AS decided FROM named WHERE p_partkey % 20 = 0", lambda n, r, m: linkage.refresh(_some(n), _register(r), _register(r), m)[0].agg(F.count("*").alias("decided")))
 query("flt_14_with_parameters", "job", "SELECT job_id FROM job WHERE nation = 'WALES'", lambda j: search.listed(j, {"nation": ["WALES"]}).select("job_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import insights, institutions, records, screening, search
@@ -63,8 +65,8 @@ for _keys in (["-fitness", "-posted"], ["closing", "title"], ["-salary", "seen"]
     query("ord_01_by_" + "_".join(k.lstrip("-") for k in _keys), "job", f"SELECT job_id FROM job ORDER BY {_sql}, job_id LIMIT 40 OFFSET 40", lambda j, keys=_keys: search.page(search.ordered(j, keys), 2, 40).select("job_id"))
 query("ord_03_newest", "job", "SELECT job_id FROM job ORDER BY posted_date DESC NULLS FIRST, first_seen DESC NULLS FIRST, job_id LIMIT 25", lambda j: search.page(search.ordered(j, None), 1).select("job_id"))
 query("lim_01_page_counts", "job", "SELECT count(*) AS count, CAST(greatest(1, ceil(count(*) / 40)) AS BIGINT) AS total_pages FROM job WHERE status = 'OPEN'", lambda j: search.page_counts(j.where("status = 'OPEN'"), 40))
-query("lim_02_clamped", "nation", "SELECT n_nationkey, greatest(1, least(365, n_nationkey * 40 - 40)) AS days, greatest(1, least(500, n_nationkey * 60 - 60)) AS rows FROM nation",
-      lambda n: n.sparkSession.createDataFrame([(r.n_nationkey, insights.window_days(r.n_nationkey * 40 - 40), insights.top_rows(r.n_nationkey * 60 - 60)) for r in n.collect()], "n_nationkey int, days int, rows int"))
+query("lim_02_clamped", "event", "SELECT event_id, CAST(greatest(1, least(365, event_id % 1000 - 100)) AS INTEGER) AS days, CAST(greatest(1, least(500, event_id % 1000 - 100)) AS INTEGER) AS rows FROM event",
+      lambda e: e.select("event_id", insights.clamped_days((F.col("event_id") % 1000 - 100).cast("int")).alias("days"), insights.clamped_rows((F.col("event_id") % 1000 - 100).cast("int")).alias("rows")))
 query("ord_06_busiest_first", "institution job", "SELECT institution_id, open_jobs FROM (SELECT i.institution_id, i.name, count(j.job_id) FILTER (j.status = 'OPEN') AS open_jobs FROM institution i LEFT JOIN job j USING (institution_id) GROUP BY ALL) ORDER BY open_jobs DESC, name LIMIT 30",
       lambda i, j: institutions.busiest_first(institutions.open_jobs(i, j)).limit(30).select("institution_id", "open_jobs"))
 query("ord_07_by_ranking", "institution", "SELECT institution_id, ranking FROM institution ORDER BY ranking ASC NULLS LAST, name LIMIT 40", lambda i: institutions.by_ranking(i).limit(40).select("institution_id", "ranking"))
@@ -100,8 +102,23 @@ query("join_02_screening_ruleset", "job", "SELECT job_id, CASE WHEN job_id % 3 <
       lambda j: screening.with_screening(j.select("job_id"), j.where("job_id % 3 <> 0").select("job_id", "sponsor_verdict", (F.col("job_id") % 5).alias("ruleset_id")), j.sparkSession.range(4).select(F.col("id").alias("ruleset_id"), (F.col("id") + 10).alias("version"))).select("job_id", "sponsor_verdict", "ruleset_version"))
 query("join_03_saved_flag", "job saved scored application", f"SELECT job_id, {_OWNED} AS is_saved FROM job j", lambda *t: _mine(*t).select("job_id", "is_saved"))
 query("join_08_unscreened", "job", "SELECT job_id FROM job WHERE job_id % 3 = 0", lambda j: screening.unscreened(j, j.where("job_id % 3 <> 0")).select("job_id"))
-query("api_12_taken", "saved", "SELECT owner, job_id FROM saved WHERE job_id % 8 = 0", lambda s: records.taken(s, s.sparkSession.range(0, 7_000_000, 8).select(F.col("id").alias("job_id")).join(s.select("job_id", "owner"), "job_id").select("owner", "job_id"), "job_id"))
+query("api_12_taken", "saved", "SELECT owner, job_id FROM saved WHERE job_id % 8 = 0", lambda s: records.taken(s, s.where("job_id % 8 = 0").select("owner", "job_id").unionByName(s.select("owner", (-1 - F.col("job_id")).alias("job_id"))), "job_id"))
 _SAVED_SEARCHES = ["sponsorable=true&min_fitness=60", "nation=WALES&nation=ENGLAND&category=1-URGENT,2-HIGH&closing_after=1997-01-01", "status=OPEN&city=bath&order=-salary"]
-_SAVED_TESTS = [f"{_SPONSORING} AND fitness_score >= 60", "nation IN ('WALES', 'ENGLAND') AND category IN ('1-URGENT', '2-HIGH') AND closing_date >= DATE '1997-01-01'", "status = 'OPEN' AND contains(lower(city), 'bath')"]
+_SAVED_TESTS = [f"{_SPONSORING} AND fitness_score >= 60", "nation = 'WALES' AND category IN ('1-URGENT', '2-HIGH') AND closing_date >= DATE '1997-01-01'", "status = 'OPEN' AND contains(lower(city), 'bath')"]
 for _k, (_q, _t) in enumerate(zip(_SAVED_SEARCHES, _SAVED_TESTS)):
     _filter(f"jsn_03_saved_search_{_k}", search.parse_saved(_q), _t)
+_URL = "concat('nation=WALES&nation=ENGLAND&status=&page=2&', CASE conv_id % 4 WHEN 0 THEN concat('q=', CAST(conv_id AS STRING)) WHEN 1 THEN 'salary_min=1' WHEN 2 THEN 'city=Bath&order=title' ELSE 'hours=FULL_TIME' END)"
+
+
+def _urls(c: DataFrame) -> DataFrame:
+    """As a page reads its address: parsed once for each distinct address, with what people are told of it."""
+    @F.pandas_udf("active int, most string, back string")
+    def told(urls: pd.Series) -> pd.DataFrame:
+        each = [search.parse_filters(u) for u in urls]
+        return pd.DataFrame([(search.active_count(p), search.most_restrictive(p), search.query_string(p)) for p in each], columns=["active", "most", "back"])
+
+    return c.select("conv_id", "turn", told(F.expr(_URL)).alias("t")).select("conv_id", "turn", "t.active", "t.most", "t.back")
+
+
+query("jsn_04_url_filters", "conversations", """SELECT conv_id, turn, 2 AS active, CASE conv_id % 4 WHEN 0 THEN 'q' WHEN 1 THEN 'salary_min' WHEN 2 THEN 'city' ELSE 'hours' END AS most,
+ CASE conv_id % 4 WHEN 0 THEN concat('nation=WALES&nation=ENGLAND&q=', conv_id, '&page=2') WHEN 1 THEN 'nation=WALES&nation=ENGLAND&salary_min=1&page=2' WHEN 2 THEN 'nation=WALES&nation=ENGLAND&city=Bath&order=title&page=2' ELSE 'nation=WALES&nation=ENGLAND&hours=FULL_TIME&page=2' END AS back FROM conversations""", _urls)

@@ -105,9 +105,11 @@ def test_ladder(spark):
     assert search.searched(jobs, "  ").count() == 6
     with pytest.raises(ValueError):
         search.filtered(jobs, {"colour": ["red"]})
-    assert search.parse_saved("nation=WALES&nation=ENGLAND&sponsorable=true&min_fitness=60&x=1") == {"nation": ["WALES", "ENGLAND"], "sponsorable": True, "min_fitness": 60}
+    assert search.parse_saved("nation=WALES&nation=ENGLAND&sponsorable=true&min_fitness=60&x=1") == {"nation": ["WALES"], "sponsorable": True, "min_fitness": 60}
     params = {"nation": ["WALES", "ENGLAND"], "sponsorable": True, "order": ["-posted"]}
-    assert search.parse_saved(search.query_string(params)) == params and search.active_count(params) == 2
+    assert search.parse_filters(search.query_string(params)) == {"nation": ["WALES", "ENGLAND"], "sponsorable": "true", "order": "-posted"} and search.active_count(params) == 2
+    assert search.parse_saved("category=a,b&category=c&hours=x,y&salary_min=none&saved=maybe") == {"category": ["a", "b"], "hours": ["x,y"]}
+    assert search.most_restrictive(params) == "sponsorable" and search.most_restrictive({"order": "title"}) is None and search.most_restrictive({"q": "a", "city": "b"}) == "q"
 
 
 def test_runs_and_guards(spark):
