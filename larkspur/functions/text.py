@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ GENERIC = [
     "university", "universities", "college", "school", "institute", "institution", "academy", "conservatoire", "higher", "education", "corporation",
     "limited", "ltd", "plc", "llp", "cic", "cio", "trust", "group", "hr", "uk", "united", "kingdom",
 ]
-SUFFIXES = ["higher education corporation", "higher education institution", "(?:co(?:mpany)?\\s*)?limited", "ltd", "plc", "llp", "cic", "cio", "incorporated"]
+SUFFIXES = [
+    r"\bhigher education corporation\b", r"\bhigher education institution\b", r"\b(?:co(?:mpany)?\s*)?limited\b", r"\bltd\b", r"\bplc\b", r"\bllp\b", r"\bcic\b", r"\bcio\b", r"\bincorporated\b",
+]
 # Words left out of search terms.
 QUERY_STOPWORDS = [
     "a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with",
@@ -28,6 +31,11 @@ EXCLUSIONS = [
 ]
 
 
+#: All of them have it.
+_SHARED = "sponsor"
+assert all(_SHARED in p for p in EXCLUSIONS)
+
+
 def _folding() -> tuple[str, str]:
     """Lower-case letters whose canonical decomposition is an ASCII letter and combining marks, and those letters."""
     pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x2000)]
@@ -61,7 +69,7 @@ def normalise_name(c: Column) -> Column:
     c = F.replace(c, F.lit("&"), F.lit(" and "))
     c = collapse(F.regexp_replace(c, r"(?U)[^\w\s]", " "))
     for suffix in SUFFIXES:
-        c = F.regexp_replace(c, rf"\b{suffix}\b", " ")
+        c = F.regexp_replace(c, suffix, " ")
     return F.regexp_replace(collapse(c), r"^the\s+", "")
 
 
@@ -125,18 +133,30 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda t: (F.length(t) >= 2) & ~t.isin(QUERY_STOPWORDS)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def exclusion_sentence(text: Column) -> Column:
-    """STR-20 and 21: the first sentence that rules sponsorship out, cut around the phrase if long; null if none."""
-    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), collapse)
+    """STR-20 and 21: the first sentence that rules sponsorship out, cut around the phrase if long; null if none.
 
-    def place(s: Column) -> Column:
-        return F.coalesce(*[F.when(F.locate(p, F.lower(s)) > 0, F.struct(F.locate(p, F.lower(s)).alias("at"), F.lit(len(p)).alias("n"))) for p in EXCLUSIONS])
+    Texts without the word that all phrases share are settled by one search for it.
+    """
 
-    hit = F.get(F.filter(F.transform(sentences, lambda s: F.struct(s.alias("s"), place(s).alias("p"))), lambda x: x["p"].isNotNull()), F.lit(0))
-    s, at, n = hit["s"], hit["p"]["at"] - 1, hit["p"]["n"]
-    start, end = F.greatest(F.lit(0), at - 110), F.least(F.length(s), at + n + 110)
-    cut = F.concat(F.when(start > 0, "… ").otherwise(""), F.trim(F.substring(s, start + 1, end - start)), F.when(end < F.length(s), " …").otherwise(""))
-    return F.when(F.length(s) <= 300, s).otherwise(cut)
+    def place(s: Column) -> Column:
+        at = lambda lower: F.coalesce(*[F.when(F.locate(p, lower) > 0, F.struct(F.locate(p, lower).alias("at"), F.lit(len(p)).alias("n"))) for p in EXCLUSIONS])
+        return once(F.lower(s), at)
+
+    def cut(hit: Column) -> Column:
+        s, at, n = hit["s"], hit["p"]["at"] - 1, hit["p"]["n"]
+        start, end = F.greatest(F.lit(0), at - 110), F.least(F.length(s), at + n + 110)
+        parts = F.concat(F.when(start > 0, "… ").otherwise(""), F.trim(F.substring(s, start + 1, end - start)), F.when(end < F.length(s), " …").otherwise(""))
+        return F.when(F.length(s) <= 300, s).otherwise(parts)
+
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.contains(F.lower(s), F.lit(_SHARED)))
+    hits = F.filter(F.transform(sentences, lambda s: once(collapse(s), lambda c: F.struct(c.alias("s"), place(c).alias("p")))), lambda x: x["p"].isNotNull())
+    return F.when(F.contains(F.lower(text), F.lit(_SHARED)), once(F.get(hits, F.lit(0)), cut))
 
 
 def content_hash(*columns: str) -> Column:

@@ -8,12 +8,14 @@ from io import BytesIO
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import classify, fitness
+from larkspur.functions import fitness, phrases
 
 # How much of a CV is read, the longest item and the most items of its own list, signs between items, most bytes of an opened file.
 MOST_TEXT, LONGEST_ITEM, MOST_ITEMS, SIGNS, MOST_BYTES = 400_000, 40, 150, "[,;•|]", 50 * 1024 * 1024
 # Headings of a skills section, lines with a label, and claims of years.
 HEADING = r"(?i)^\s*(?:technical\s+skills|core\s+skills|key\s+skills|skills(?:\s*(?:&|and)\s*(?:tools|expertise))?)\s*:?\s*$"
+#: Spellings that one automaton holds.
+SPELLINGS = 50_000
 LABELLED = r"^[ \t]*[A-Za-z][A-Za-z /&\-]{1,40}:[ \t]*(.+\S)\s*$"
 CLAIM = r"(?i)(\d{1,2})\s*\+?\s*(?:years?|yrs?)(?:['’]?s?)?\s+(?:of\s+)?(?:[a-z]+\s+){0,3}?(?:experience|exp\b)"
 KINDS = {"skill": "skills", "domain": "domains", "seniority": "seniority", "project": "projects", "education": "education"}
@@ -75,15 +77,19 @@ def declared_skills(text: Column) -> Column:
 def vocabulary_hits(cvs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """CV-01: (cv_id, kind, canonical, position) of vocabulary terms (position, canonical, kind, aliases) that a CV spells as whole words.
 
-    Spellings meet CVs that hold their first word, so no other pair is made.
+    All spellings are looked for in one pass over each CV; a vocabulary beyond SPELLINGS is taken in parts.
     """
     spelled = vocabulary.select("position", "canonical", "kind", F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("spelling"))
-    first = lambda c: F.regexp_extract(F.lower(c), r"(?U)\w+", 0)
-    text = F.lower(F.regexp_replace(F.substring("text", 1, MOST_TEXT), r"(?U)\s+", " "))
-    words = cvs.select("cv_id", text.alias("haystack")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("haystack", F.lit(r"(?U)\w+"), 0))))
-    spelled = spelled.withColumn("word", first("spelling")).where("word <> ''")
-    met = words.join(F.broadcast(spelled) if spelled.limit(100_001).count() <= 100_000 else spelled, "word")
-    return met.where(classify.term_present(F.col("spelling"), F.col("haystack"))).select("cv_id", "kind", "canonical", "position").distinct()
+    spelled = spelled.where("trim(spelling) <> ''")
+    parts = -(-spelled.count() // SPELLINGS)
+    text = F.regexp_replace(F.substring("text", 1, MOST_TEXT), r"(?U)\s+", " ")
+    out = cvs.select("cv_id").join(spelled.select("kind", "canonical", "position").where("false"), F.lit(False))
+    for k in range(parts):
+        rows = spelled.where(F.pmod(F.xxhash64("position", "spelling"), F.lit(parts)) == k).collect()
+        terms = cvs.sparkSession.createDataFrame([(i, r.kind, r.canonical, r.position) for i, r in enumerate(rows)], f"k int, kind string, canonical string, position {vocabulary.schema['position'].dataType.simpleString()}")
+        found = cvs.select("cv_id", F.explode(phrases.phrases_in(text, [r.spelling for r in rows])).alias("k"))
+        out = out.unionByName(found.join(F.broadcast(terms), "k").drop("k"))
+    return out.distinct()
 
 
 def parsed(cvs: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def normalised(name: str) -> str:
     """normalise_name() as SQL."""
     out = rf"trim(regexp_replace(regexp_replace(replace(regexp_replace(strip_accents(lower({name})), '\([^)]*\)', ' ', 'g'), '&', ' and '), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
     for suffix in text.SUFFIXES:
-        out = rf"regexp_replace({out}, '\b{suffix}\b', ' ', 'g')"
+        out = rf"regexp_replace({out}, '{suffix}', ' ', 'g')"
     return _NORMAL.format(out)
 
 

@@ -70,7 +70,7 @@ _CASE = lambda t, rules, other: "CASE " + " ".join(f"WHEN regexp_matches({t}, '{
 _ADVERT = "CASE doc_id % 6 WHEN 0 THEN concat('Fixed-term role, hybrid. ', text) WHEN 1 THEN concat('Permanent, full time. ', text) WHEN 2 THEN concat('Secondment; 0.5 FTE on-site. ', text) ELSE text END"
 query("cls_01_contract_hours_place", "documents", f"SELECT doc_id, {_CASE('t', classify.CONTRACT, 'UNKNOWN')} AS contract, {_CASE('t', classify.HOURS, 'UNKNOWN')} AS hours, {_CASE('t', classify.WORKPLACE, 'UNKNOWN')} AS workplace FROM (SELECT doc_id, coalesce(lower({_ADVERT}), '') AS t FROM documents)",
       lambda d: d.select("doc_id", F.coalesce(F.expr(_ADVERT), F.lit("")).alias("t")).select("doc_id", *[classify.first_match(F.col("t"), r).alias(n) for n, r in (("contract", classify.CONTRACT), ("hours", classify.HOURS), ("workplace", classify.WORKPLACE))]))
-_DISCIPLINE = _CASE("lower(concat_ws(' ', nullif(title, ''), nullif(category, ''), nullif(department, '')))", [(n, rf"\b({p})\b") for n, p in classify.DISCIPLINES.items()], "OTHER")
+_DISCIPLINE = _CASE("lower(concat_ws(' ', nullif(title, ''), nullif(category, ''), nullif(department, '')))", [(n, "|".join(p)) for n, p in classify.DISCIPLINES.items()], "OTHER")
 query("cls_04_discipline", "job", f"SELECT job_id, {_DISCIPLINE} AS discipline FROM job", lambda j: j.select("job_id", classify.discipline(F.col("title"), F.col("category"), F.col("department")).alias("discipline")))
 query("cls_06_reclassified", "job", f"SELECT count(*) AS classified, count(*) FILTER (discipline <> {_DISCIPLINE}) AS changed FROM job", classify.reclassified)
 query("cls_07_seed_verdicts", "region nation", """SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN 'NOT_FOUND' WHEN n_nationkey % 3 = 0 THEN 'OTHER_ROUTE_ONLY' WHEN n_nationkey % 8 = 0 THEN 'B_RATED' ELSE 'PROVISIONAL' END AS verdict, n_nationkey % 4 <> 0 AS needs_review FROM nation""",
