@@ -292,7 +292,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mers: tuple[int, ...]
     runs = keep(runs.select("doc_id", "sha", F.col("r.starts").alias("start"), F.col("r.windows").alias("windows"), F.col("r.minimisers").alias("minimiser")).distinct(), "runs")
     shared = keep(runs.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("minimiser"), "minimisers")
     by_doc = runs.join(shared, "minimiser").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("runs"))
-    texts = keep(rows.where("text IS NOT NULL").join(by_doc, "doc_id"), "texts")
+    # A text is known by its words joined by one space; texts of one id and whole repeats meet their own runs alone, once.
+    own = F.unhex(F.sha2(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), 256))
+    texts = keep(rows.where("text IS NOT NULL").withColumn("sha", own).join(by_doc, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "texts")
     forget(runs, shared)
     travel = keep(texts.mapInArrow(_packed(window), "minimiser long, digest binary, packed binary, doc_id long, sha binary, at int, windows int"), "super-k-mers")
     found = _resolved(travel, window, mers)

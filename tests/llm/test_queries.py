@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -242,3 +243,17 @@ def test_pipeline_keeps_odd_rows(spark, tmp_path):
         assert all(stage(spark, d, str(tmp_path)).count() == 0 for d in (docs.where("false"),))
     left = docs.collect()
     assert sum(r.doc_id is None for r in left) == 1 and sum(r.doc_id == 3 for r in left) == 1 and sum(r.doc_id == 5 for r in left) == 2 and len(left) == 42
+
+
+def test_op5_repeats_and_shared_ids_take_linear_time(spark):
+    """20,000 whole repeats of a row and 20,000 texts of one id, against brute force."""
+    shared, tail = prose(60), [prose(55) for _ in range(4)]
+    rows = [(1, shared + " " + tail[0])] + [(2, tail[1] + "\t" + shared)] * 20_000 + [(3, f"{k} {shared} {k}") for k in range(20_000)] + [(4, shared), (5, tail[3])]
+    started = time.time()
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))[0].collect()
+    assert time.time() - started < 150
+    assert len(got) == len(rows)
+    lost = {k: {r.n_removed for r in got if r.doc_id == k} for k in (1, 2, 3, 4, 5)}
+    assert lost == {1: {0}, 2: {60}, 3: {60}, 4: {60}, 5: {0}}
+    assert {r.kept_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256(tail[1].encode()).hexdigest()}
+    assert {r.kept_sha256 for r in got if r.doc_id == 3} == {hashlib.sha256(f"{k} {k}".encode()).hexdigest() for k in range(20_000)}
