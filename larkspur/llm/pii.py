@@ -9,10 +9,11 @@ path runs through it outside, so only what lies between such stretches is decode
 """
 
 from __future__ import annotations
-
 import hashlib
+import inspect
 import random
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -454,7 +455,7 @@ def trained() -> Tagger:
 
 def tagger_of(spark: SparkSession) -> Tagger:
     """The trained network; its weights are kept in the shared folder, so that they are learnt once."""
-    inputs = repr((HIDDEN, WIDTH, LINE, KINDS, labelled_lines(200)))
+    inputs = inspect.getsource(sys.modules[__name__])  # sizes, seeds, rates, rounds and lines are all in this module
     path = f"{shared_folder(spark)}/larkspur-tagger-{hashlib.sha256(inputs.encode()).hexdigest()[:16]}"
     try:
         rows = spark.read.schema("name string, shape array<int>, weights binary").parquet(path).collect()
