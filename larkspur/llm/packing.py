@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import word_ids
-from larkspur.llm.shared import documents, keep, runs, small_batches
+from larkspur.llm.shared import documents, forget, keep, runs, small_batches
 
 SHARD = 16_384
+#: Open bins are dealt anew so many times at most.
+ROUNDS = 60
 
 
 class Bins:
@@ -236,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     A null or empty text is its end id alone; extra columns are ignored, whatever their names; repeated rows and rows
     without a doc_id are packed each; which of several pieces of one length goes where is left open; an empty table gives
     no rows. Documents longer than capacity are cut into pieces of capacity, the last maybe shorter. Bins that stay open
-    are dealt anew, among other bins, until a round saves none.
+    are dealt anew, among other bins, until a round saves none, or ROUNDS times.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = keep(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
@@ -251,8 +253,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         count = packed.agg(F.count_if(F.col("open") & (F.col("offset") == 0)), F.count_if("open"), F.count_if(F.col("offset") == 0)).first()
         still, used = count[1], count[2]
         if kept is not None and used >= bins:  # no bin was saved: the pieces stay where they were
+            forget(packed)
             return done.unionByName(kept)
-        if shards == 1 or not still:
+        if shards == 1 or not still or level == ROUNDS:
             return done.unionByName(packed.drop("open"))
         done, kept = done.unionByName(packed.where("not open").drop("open")), packed.where("open").drop("open")
         left, n, bins, level = kept.drop("sequence_id", "offset"), still, count[0], level + 1
