@@ -131,13 +131,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Trees:
     """Fit on about rows labelled documents that aren't held out, drawn by a hash of doc_id; null labels and null ids don't count.
 
-    Repeated rows are drawn together and count each. Splits that gain the same go to the first statistic and the lowest cut.
+    Repeated rows are drawn together and count each, twice as many rows at most, by doc_id. Splits that gain the same go to the first statistic and the lowest cut.
     Without labels every score is one half.
     """
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(n, 1)))))
-    sample = stats.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "quality").collect()
+    sample = stats.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "quality").limit(2 * rows).collect()
     x = np.array([r.stats for r in sample], float).reshape(len(sample), len(STATISTICS))
     return fit(x, np.array([float(r.quality > 0) for r in sample]))
 
