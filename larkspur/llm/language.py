@@ -8,7 +8,6 @@ limit of its language, which comes from documents that did not make the centroid
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import documents, small_batches
+from larkspur.llm.shared import documents, forget, keep, small_batches
 
 WIDTH = 4096
 #: About so many labelled documents of each language train the model.
@@ -28,7 +27,6 @@ LANGUAGES, SAMPLE = 500, 12_000
 CENTROIDS = 4
 #: A document is rejected below this share of the cosine that all but so many of a language's documents reach.
 REJECT, LOW = 0.6, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters stands for a space.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -72,7 +70,7 @@ class Model:
             cosines = self.vectors(part) @ self.centroids.T
             best = cosines.argmax(1)
             for t, k, c in zip(part, best.tolist(), cosines.max(1).tolist()):
-                out.append((self.languages[self.of[k]], min(1.0, max(0.0, c)), c < self.limits[self.of[k]]) if _LETTER.search(t) else ("und", 0.0, True))
+                out.append((self.languages[self.of[k]], min(1.0, max(0.0, c)), c < self.limits[self.of[k]]) if any(map(str.isalpha, t)) else ("und", 0.0, True))
         return out
 
 
@@ -122,7 +120,8 @@ def fit(rows: list[tuple[np.ndarray, str]]) -> Model:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on about per_language documents of each language, drawn by a hash of their ids from the rows not held out.
 
-    The sample is bounded by LANGUAGES and SAMPLE too. Texts without a letter teach nothing about a language and are left
+    The sample is bounded by LANGUAGES and SAMPLE too, in rows: were more drawn because they share an id, the first to come
+    would count. Texts without a letter teach nothing about a language and are left
     out, as are rows without a lang; rows without a doc_id aren't drawn, repeated rows are drawn together. Very long texts
     are read whole. An empty table gives a model that rejects everything.
     """
@@ -140,7 +139,9 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                 rows = np.minimum(gram_counts(part.column("text").to_pylist()), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), part.column("lang")], ["counts", "lang"])
 
-    rows = small_batches(sample).mapInArrow(counted, "counts binary, lang string").collect()
+    kept = keep(small_batches(sample).mapInArrow(counted, "counts binary, lang string"), "sample")
+    rows = kept.limit(2 * SAMPLE).collect()
+    forget(kept)
     rows.sort(key=lambda r: (r.lang, bytes(r.counts)))
     return fit([(np.frombuffer(r.counts, "<u2"), r.lang) for r in rows])
 

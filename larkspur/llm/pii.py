@@ -9,6 +9,7 @@ path runs through it outside, so only what lies between such stretches is decode
 """
 
 from __future__ import annotations
+
 import hashlib
 import inspect
 import random

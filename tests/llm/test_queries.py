@@ -112,6 +112,13 @@ def test_op8_and_op9_columns(spark, texts):
     assert sum(r.lang_pred == lang[r.doc_id] for r in unseen) >= 0.95 * len(unseen)
 
 
+def test_signs_are_no_letters(spark):
+    model = language.fit([(language.gram_counts([t])[0], "en") for t in (prose(50), prose(50))])
+    assert [x[0] for x in model.predict(["½ ²", "③ Ⅷ 12 _", "", None, "½ a", "ª"])] == ["und"] * 4 + ["en"] * 2
+    shared = spark.createDataFrame([(5, prose(30), "en")] * 3000, "doc_id long, text string, lang string")
+    assert len(language.train(shared, per_language=10_000).languages) == 1
+
+
 def test_op10_is_brute_force(spark, texts):
     prints, forest = {k: simhash.fingerprint(t) & (2**64 - 1) for k, t in texts.items()}, Forest()
     for a in prints:
