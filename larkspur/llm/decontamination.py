@@ -11,8 +11,8 @@ steps are verified by the exact edit distance between the item and the best-fitt
 Where a tenth of the characters or more are edited, walks agree in so few steps (0.25 to 0.4 at a fifth, unlike texts
 0.1) that hundreds of repeats would be needed, so every byte of an item is also the start of a gram. Where a text shares
 enough grams with an item at about one distance between their places, that stretch is verified too. Items under LONG
-bytes need as many as their edits must leave, so no ASCII one is lost; longer items have longer grams and need a few of
-those that random edits leave.
+bytes need as many as their edits must leave, so no ASCII one is lost. Longer items have longer grams, a few of which random
+edits leave, and seeds beside them, which edits at even distances leave: see Seeds.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ _PRIME = np.uint64(0x100000001B3)
 #: Bytes of a gram for items of at least so many bytes; items of LONG bytes and more need a gram for each so many bytes.
 LONG, EACH = 64, 10
 GRAMS = ((LONG, 7), (20, 4), (8, 3), (4, 2), (1, 1))
+#: The share of a long item's seeds, those that fewest items hold, that is looked for; one of so many of these has to be found.
+RARE, SEED_EACH = 0.66, 14
 #: Distances between places that count as one are this many bits apart; cells of the count; bytes of text counted at once.
 _WIDE, _CELLS, _STRETCH = 4, 1 << 20, 1 << 18
 _SEEN = 22  # bits of the tables that tell most of what can't match
@@ -137,11 +139,34 @@ def edit_distances_within(items: list[str], pairs: list[tuple[int, str]]) -> lis
     return out
 
 
+class Lists:
+    """Where items hold codes: sorted codes, and the item and place of each."""
+
+    def __init__(self, codes: list[np.ndarray], numbers: list[np.ndarray], places: list[np.ndarray]) -> None:
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.numbers, self.places = np.concatenate(numbers)[order], np.concatenate(places)[order]
+        self.seen = np.zeros(1 << _SEEN, bool)
+        self.seen[_slot(self.codes)] = True
+
+    def found(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among code, item's number, place in the item) of each code that an item holds, each time it does."""
+        at = np.flatnonzero(self.seen[_slot(code)])
+        code = code[at]
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        on = self.codes[k] == code
+        at, k = at[on], k[on]
+        many = self.many[k]
+        which = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(at, many), self.numbers[which], self.places[which]
+
+
 class Grams:
-    """Places of the grams of items of one tier: sorted codes, and the item, place and least count of each."""
+    """Grams of items of one tier, and how many of each item's a text has to share with it."""
 
     def __init__(self, size: int, items: list[tuple[int, bytes]], similarity: float) -> None:
-        self.size, codes, numbers, places, self.least = size, [], [], [], {}
+        self.size, codes, numbers, places, least = size, [], [], [], {}
         for number, item in items:
             own = self.coded(np.frombuffer(item, np.uint8))
             codes.append(own)
@@ -149,45 +174,38 @@ class Grams:
             places.append(np.arange(len(own)))
             plain = item.decode()
             widest, most = max(len(c.encode()) for c in plain), int(len(plain) * (1 - similarity) + 1e-9)
-            self.least[number] = len(item) // EACH if len(item) >= LONG else max(1, len(own) - most * (size - 1 + widest))
-        code = np.concatenate(codes)
-        order = np.argsort(code, kind="stable")
-        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
-        self.numbers, self.places = np.concatenate(numbers)[order], np.concatenate(places)[order]
-        self.needs = np.array([self.least[n] for n in self.numbers.tolist()])
-        self.leasts = np.zeros(max(self.least) + 1, np.int64)
-        self.leasts[list(self.least)] = list(self.least.values())
-        self.seen = np.zeros(1 << _SEEN, bool)
-        self.seen[self.slot(self.codes)] = True
+            least[number] = len(item) // EACH if len(item) >= LONG else max(1, len(own) - most * (size - 1 + widest))
+        self.lists = Lists(codes, numbers, places)
+        self.needing(least, items)
+
+    def needing(self, least: dict[int, int], items: list[tuple[int, bytes]]) -> None:
+        self.least = least
+        self.leasts = np.zeros(max(least) + 1, np.int64)
+        self.leasts[list(least)] = list(least.values())
         self.reach = 2 * max(len(item) for _, item in items) + (1 << _WIDE)
 
     def coded(self, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(b) - self.size + 1), np.uint64)
-        for k in range(self.size):
-            out = out << np.uint64(8) | b[k : k + len(out)]
-        return out
+        """A code for each gram; those of more than four bytes may agree by chance."""
+        n = max(0, len(b) - self.size + 1)
+        if self.size <= 4:
+            return _stretches(b, self.size)[:n] * _MIX[0]
+        left, right = _halves(b)
+        return left[:n] + right[self.size - 4 :]
 
-    @staticmethod
-    def slot(codes: np.ndarray) -> np.ndarray:
-        return _slot(codes)
+    def found(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in b, item's number, place in the item) of each gram that they share."""
+        return self.lists.found(self.coded(b))
 
     def candidates(self, b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, likeliest, least and largest place where the item would start)."""
         for begin in range(0, len(b), _STRETCH):
-            code = self.coded(b[begin : begin + _STRETCH + self.reach])
-            at = np.flatnonzero(self.seen[self.slot(code)])
-            code = code[at]
-            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            on = self.codes[k] == code
-            at, k = at[on] + begin, k[on]
-            many = self.many[k]
-            which = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            at = np.repeat(at, many)
-            number, start = self.numbers[which], at - self.places[which]
+            at, number, place = self.found(b[begin : begin + _STRETCH + self.reach])
+            at = at + begin
+            start = at - place
             # Cells may be shared by chance; that only lets more through to the exact count.
             cell = (number * 40503 + (start >> _WIDE)) & (_CELLS - 1)
             count = np.bincount(cell, minlength=_CELLS)
-            on = np.flatnonzero(count[cell] + np.maximum(count[cell - 1], count[(cell + 1) & (_CELLS - 1)]) >= self.needs[which])
+            on = np.flatnonzero(count[cell] + np.maximum(count[cell - 1], count[(cell + 1) & (_CELLS - 1)]) >= self.leasts[number])
             if not len(on):
                 continue
             at, number, start = at[on], number[on], start[on]
@@ -216,7 +234,60 @@ class Grams:
                         open_ = -1
 
 
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+def _stretches(b: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes, four at most, at each place as a number."""
+    out = b[: max(0, len(b) - n + 1)].astype(np.uint32)
+    for k in range(1, n):
+        out <<= np.uint32(8)
+        out |= b[k : k + len(out)]
+    return out
+
+
+def _halves(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four bytes at each place, mixed one way for the left half of a code and another way for the right half."""
+    four = _stretches(b, 4)
+    return four * _MIX[0], four * _MIX[1]
+
+
+class Seeds(Grams):
+    """Two stretches of four bytes side by side or one byte apart, of long items.
+
+    Where one character between clean stretches was replaced, both have the byte between; where one was taken out, the item
+    alone has it, where one was put in, the text. So edits at even distances, which leave no long gram, each leave a seed.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+        every = [self.both(np.frombuffer(item, np.uint8)) for _, item in items]
+        known, times = np.unique(np.concatenate([own for own, _ in every]), return_counts=True)
+        apart, beside, numbers, places, least = [], [], [], [], {}
+        for (number, _), (own, next_to) in zip(items, every):
+            at = np.sort(np.argsort(times[np.searchsorted(known, own)], kind="stable")[: int(len(own) * RARE)])
+            apart.append(own[at])
+            beside.append(next_to[at])
+            numbers.append(np.full(len(at), number))
+            places.append(at)
+            least[number] = max(2, len(at) // SEED_EACH)
+        self.apart = Lists(apart + beside, numbers * 2, places * 2)
+        self.beside = Lists(apart, numbers, places)
+        self.needing(least, items)
+
+    @staticmethod
+    def both(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the stretches at each place and the one behind it, a byte apart and side by side. Codes of unlike stretches may agree by chance."""
+        left, right = _halves(b)
+        return left[: max(0, len(left) - 5)] ^ right[5:], left[: max(0, len(left) - 4)] ^ right[4:]
+
+    def found(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart, beside = self.both(b)
+        return tuple(np.concatenate(x) for x in zip(self.apart.found(apart), self.beside.found(beside)))
+
+
 def _slot(codes: np.ndarray) -> np.ndarray:
+    if codes.dtype == np.uint32:
+        return (codes >> np.uint32(32 - _SEEN)).astype(np.int64)
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN)).astype(np.int64)
 
 
@@ -324,6 +395,7 @@ class Index:
             tier = [next(size for least, size in GRAMS if len(item) >= least) for _, item in self.items]
             own = [(size, [(k, item) for k, (_, item) in enumerate(self.items) if tier[k] == size]) for _, size in GRAMS]
             self.grams[similarity] = [Grams(size, items, similarity) for size, items in own if items]
+            self.grams[similarity] += [Seeds(items) for _, items in own[:1] if items]
         return self.grams[similarity]
 
     def hits(self, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
@@ -395,7 +467,7 @@ def _matched(index: Broadcast, similarity: float):
 
 def _lots(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, in lots of at most about ITEMS rows and ITEM_BYTES bytes of text."""
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     lots = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
     for lot in range(lots):
@@ -407,7 +479,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """(doc_id, item_id, edit_distance, similarity, start) for each row of docs and each benchmark item it holds.
 
     similarity: 1 less the edit distance's share of the item's length. Null and empty texts hold nothing, null and empty
-    items are held by none; repeated items are each reported, repeated rows and rows without a doc_id too. Of the places
+    items are held by none; repeated items and items without an item_id are each reported, repeated rows and rows without a
+    doc_id too. Of the places
     where a row holds an item, the one with the smallest distance and then the smallest start is given. More columns are
     ignored, whatever their names; an empty table gives no rows. Items go to the executors in bounded lots, each with a
     pass of its own over docs.

@@ -27,6 +27,30 @@ def edited(text, n, letters):
     return "".join(t)
 
 
+def even(text, every, letters):
+    """Letters replaced at even distances, from some place on."""
+    t = list(text)
+    for k in range(R.randrange(every), len(t), every):
+        t[k] = R.choice([c for c in letters if c != t[k]])
+    return "".join(t)
+
+
+def even_recall(letters, length, every, n=60):
+    items = [prose(letters, length) for _ in range(n)]
+    index = decontamination.Index(list(enumerate(items)))
+    texts = [f"{prose(letters, 100)} {even(t, every, letters)} {prose(letters, 100)}" for t in items]
+    held = {k for k, t in enumerate(items) if decontamination.edit_distance_within(t, " ".join(texts[k].split())) <= int(len(t) * 0.2 + 1e-9)}
+    return len(held & {k for k, i, *_ in index.hits(texts) if k == i}) / max(1, len(held)), len(held)
+
+
+def test_recall_of_edits_at_even_distances():
+    for script, letters in LETTERS.items():
+        for length in (20, 40, 64, 80, 120, 200, 400):
+            for every in (5, 6, 7, 8, 10, 20):
+                found, held = even_recall(letters, length, every)
+                assert found >= 0.9, (script, length, every, found, held)
+
+
 def recall(letters, length, share, grams):
     items = [prose(letters, length) for _ in range(60)]
     index = decontamination.Index(list(enumerate(items)))
@@ -39,7 +63,7 @@ def recall(letters, length, share, grams):
 
 def test_recall_in_both_scripts():
     for letters in LETTERS.values():
-        for length in (80, 200, 400):
+        for length in (20, 40, 80, 200, 400):
             assert all(recall(letters, length, share, True) >= 0.9 for share in (0.02, 0.1, 0.2))
 
 
@@ -51,3 +75,4 @@ if __name__ == "__main__":
     for script, letters in LETTERS.items():
         for length in (80, 130, 200, 400):
             print(script, length, *[(share, round(recall(letters, length, share, False), 2), round(recall(letters, length, share, True), 2)) for share in (0.02, 0.05, 0.1, 0.15, 0.2)])
+            print("    even", *[(every, *even_recall(letters, length, every)) for every in (5, 6, 7, 8, 10)])
