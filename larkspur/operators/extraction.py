@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import pages
@@ -78,8 +78,8 @@ def ladder(by_posting: DataFrame, by_feed: DataFrame, by_page: DataFrame) -> Dat
 def thin(vacancies: DataFrame, most: int) -> DataFrame:
     """EXT-16 and ORD-08: of each institution the vacancies that a detail page would help most, at most so many; ties by URL."""
     short = vacancies.where((F.length(F.trim("description_text")) < THIN) | (F.col("category") == ""))
-    listed = F.array_sort(F.collect_list(F.struct(F.length("description_text").alias("n"), "source_url")))
-    return short.groupBy("institution_slug").agg(F.slice(listed, 1, most).alias("u")).select("institution_slug", F.explode("u.source_url").alias("source_url"))
+    first = Window.partitionBy("institution_slug").orderBy(F.length("description_text"), "source_url")
+    return short.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("institution_slug", "source_url")
 
 
 def enriched(vacancies: DataFrame, details: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from urllib.parse import parse_qs, urlencode
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import lexemes
@@ -156,7 +156,9 @@ def list_rows(jobs: DataFrame) -> DataFrame:
 def detail_rows(jobs: DataFrame, revisions: DataFrame, newest: int = 20) -> DataFrame:
     """PRJ-02: list rows with the advert, the owner's application and the last revisions (field, before, after, changed_at), newest first."""
     change = F.struct("changed_at", "revision_id", "field", F.col("value_before").alias("before"), F.col("value_after").alias("after"))
-    r = revisions.join(jobs.select("job_id"), "job_id", "left_semi").groupBy("job_id").agg(F.slice(F.sort_array(F.collect_list(change), False), 1, newest).alias("revisions"))
+    last = Window.partitionBy("job_id").orderBy(F.desc("changed_at"), F.desc("revision_id"))
+    few = revisions.join(jobs.select("job_id"), "job_id", "left_semi").withColumn("place", F.row_number().over(last)).where(F.col("place") <= newest)
+    r = few.groupBy("job_id").agg(F.sort_array(F.collect_list(change), False).alias("revisions"))
     more = jobs.select("job_id", "description_text", "reference", F.col("source_url").alias("apply_url"), "application_id", "application_status")
     return list_rows(jobs).join(more, "job_id").join(r, "job_id", "left").withColumn("revisions", F.coalesce("revisions", F.array().cast(r.schema["revisions"].dataType)))
 
