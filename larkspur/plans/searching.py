@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import insights, institutions, records, screening, search
+from larkspur.operators import insights, institutions, records, screening, search, text_index
 from larkspur.plans.registry import query
+from larkspur.sources.lineage import shared_folder
 
 _PARAMS = {"status": ["OPEN", "DISAPPEARED"], "category": ["1-URGENT", "2-HIGH", "3-MEDIUM"], "posted_after": "1996-01-01", "min_fitness": 20, "nation": ["ENGLAND", "WALES"]}
 _TESTS = {"status": "status IN ('OPEN', 'DISAPPEARED')", "category": "category IN ('1-URGENT', '2-HIGH', '3-MEDIUM')", "posted_after": "posted_date >= DATE '1996-01-01'", "min_fitness": "fitness_score >= 20", "nation": "nation IN ('ENGLAND', 'WALES')"}
@@ -85,6 +88,18 @@ query("str_16_phrase_or_without", "job", rf"""SELECT job_id, CASE WHEN regexp_ma
  OR regexp_matches(lower(title), 'physics')""", lambda j: search.searched(search.with_vectors(j), '"head of estate" or physics -django').select("job_id", "relevance"))
 query("ord_02_search_page", "job", f"SELECT job_id FROM (SELECT job_id, posted_date, {_RUNGS} AS relevance FROM job) WHERE relevance > 0 ORDER BY relevance DESC, posted_date DESC NULLS FIRST, job_id LIMIT 25", lambda j: search.page(search.ordered(search.searched(search.with_vectors(j), _TERM), None, _TERM), 1).select("job_id"))
 
+
+def _by_index(j: DataFrame, term: str) -> DataFrame:
+    """A search of an index that is built for it."""
+    index = text_index.build(j, f"{shared_folder(j.sparkSession)}/text_index-{uuid.uuid4().hex}", buckets=64)
+    return text_index.found(j.sparkSession, index, term)
+
+
+query("str_17_indexed_letters", "job", f"SELECT job_id, relevance FROM (SELECT job_id, {_RUNGS} AS relevance FROM job) WHERE relevance > 0", lambda j: _by_index(j, _TERM))
+_T, _ALL = "lower(title)", "lower(concat_ws(' ', title, department, name, description_text))"
+_EITHER = lambda t: rf"regexp_matches({t}, '\bhead\s+\w+\s+estates\b') OR regexp_matches({t}, '\bphysics\b') AND NOT regexp_matches({t}, '\bdjango\b')"
+query("str_16_indexed_phrases", "job", f"""SELECT job_id, CASE WHEN {_EITHER(_T)} THEN 5 ELSE 2 END AS relevance FROM job WHERE {_EITHER(_T)} OR {_EITHER(_ALL)}""", lambda j: _by_index(j, '"head of estate" or physics -django'))
+
 # Rows.
 query("prj_01_list_rows", "job saved scored application", """SELECT j.job_id, j.title, j.nation, j.sponsor_verdict AS verdict, j.salary_min, EXISTS (SELECT 1 FROM saved s WHERE s.job_id = j.job_id AND s.owner = 7) AS is_saved,
  coalesce((SELECT score FROM scored f WHERE f.job_id = j.job_id AND f.owner = 7), 0) AS fitness_score FROM job j WHERE sponsor_verdict IS NOT NULL""",
