@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import classify, labels, text
-from larkspur.operators import extraction, records, search, tracking
+from larkspur.operators import extraction, personal, records, search, tracking
 from larkspur.plans.registry import query
 from larkspur.plans.verdicts import _CASE, _DISCIPLINE
 from larkspur.sources import files
@@ -173,6 +173,36 @@ query("snk_05_personal_data", "saved application", """SELECT CAST(9 AS BIGINT) A
           F.col("owner").cast("long").alias("owner"), *[F.size(F.from_json(F.get_json_object("document", f"$.{k}"), "array<struct<job_id:long>>")).cast("long").alias(n) for k, n in (("saved_jobs", "saved"), ("applications", "applications"))],
           F.get_json_object("document", "$.saved_jobs[0].job_id").cast("long").alias("first_saved")))
 
+
+def _people(c, s, j, a, m, t, d, e):
+    """All that is kept about everyone: accounts of customers, searches of conversations, profiles and files of documents."""
+    day = lambda column: F.col(column).cast("timestamp").alias("at")
+    never = F.lit(None).cast("timestamp").alias("at")
+    sections = {
+        "account": c.select(F.col("c_custkey").alias("owner"), never, F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("role")),
+        "saved_jobs": personal.with_jobs(s, j).select("owner", never, F.col("job_id").alias("id"), "job", "note"),
+        "applications": personal.with_jobs(a, j).select("owner", day("applied_at"), F.col("application_id").alias("id"), "application_id", "job", "status", "applied_at", "response_at", "next_action", "next_action_due"),
+        "history": m.select("owner", day("occurred_at"), F.col("event_id").alias("id"), "application_id", "to_status", "occurred_at"),
+        "saved_searches": t.where("role = 'user'").select((F.col("conv_id") % 40).alias("owner"), never, (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query"), (F.col("conv_id") % 2 == 0).alias("digest_enabled")),
+        "candidate_profiles": d.select((F.col("doc_id") % 40).alias("owner"), never, F.col("doc_id").alias("id"), F.col("source").alias("name"), (F.col("doc_id") % 3 == 0).alias("is_active")),
+        "cvs": d.select((F.col("doc_id") % 40).alias("owner"), never, F.col("doc_id").alias("id"), F.col("n_chars").alias("byte_size"), F.col("text").alias("extracted_text")),
+        "activity": e.select(F.col("actor").alias("owner"), day("day"), F.col("event_id").alias("id"), "kind", F.col("day").alias("occurred_at"), "query", "category", "nation", "result_count"),
+    }
+    each = personal.parts(sections).select("owner", "section", "start", F.posexplode("items").alias("k", "item"))
+    told = F.concat_ws("|", *[F.get_json_object("item", f"$.{f}") for f in ("username", "job.title", "note", "status", "to_status", "digest_enabled", "is_active", "kind", "query", "extracted_text")])
+    return each.select("owner", "section", (F.col("start") + F.col("k")).cast("long").alias("place"), F.md5(told).alias("told"))
+
+
+query("snk_05_all_people", "customer saved job application application_event conversations documents event", """SELECT owner, section, row_number() OVER (PARTITION BY owner, section ORDER BY moment DESC NULLS LAST, id) - 1 AS place, md5(told) AS told FROM (
+ SELECT c_custkey AS owner, 'account' AS section, CAST(NULL AS DATE) AS moment, c_custkey AS id, c_name AS told FROM customer
+ UNION ALL SELECT s.owner, 'saved_jobs', NULL, s.job_id, concat_ws('|', j.title, s.note) FROM saved s LEFT JOIN job j USING (job_id)
+ UNION ALL SELECT a.owner, 'applications', a.applied_at, a.application_id, concat_ws('|', j.title, a.status) FROM application a LEFT JOIN job j USING (job_id)
+ UNION ALL SELECT owner, 'history', occurred_at, event_id, to_status FROM application_event
+ UNION ALL SELECT conv_id % 40, 'saved_searches', NULL, conv_id * 1000 + turn, concat_ws('|', CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END, text) FROM conversations WHERE role = 'user'
+ UNION ALL SELECT doc_id % 40, 'candidate_profiles', NULL, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END FROM documents
+ UNION ALL SELECT doc_id % 40, 'cvs', NULL, doc_id, coalesce(text, '') FROM documents
+ UNION ALL SELECT actor, 'activity', day, event_id, concat_ws('|', kind, query) FROM event WHERE actor IS NOT NULL)""", _people)
+
 # Exports.
 query("snk_03_export_rows", "job", """SELECT source_url, title, name AS institution, CASE WHEN location_raw <> '' THEN location_raw ELSE city END AS location, coalesce(CAST(salary_min AS VARCHAR), '') AS salary_min, coalesce(sponsor_verdict, '') AS sponsor_verdict, CASE WHEN advert_excludes_sponsorship THEN 'yes' ELSE 'no' END AS advert_excludes_sponsorship,
  CASE WHEN fitness_score = 0 THEN '' ELSE CAST(fitness_score AS VARCHAR) END AS fitness_score, coalesce(CAST(closing_date AS VARCHAR), '') AS closing_date FROM job""",
