@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text
 from larkspur.operators import insights
 from larkspur.plans.registry import query
+from larkspur.streaming import rollup
 
 _DAY = "2024-01-10"
 _OURS = "actor_role = 'CANDIDATE'"
@@ -51,6 +52,10 @@ _ROLLUP = "SELECT day, term, count(*) AS occurrences, count(DISTINCT coalesce(CA
 _CLOUD = f"SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(searchers) AS BIGINT) AS searchers FROM ({_ROLLUP}) GROUP BY term ORDER BY occurrences DESC, term LIMIT 80"
 query("agg_13_term_rollup", "search", _ROLLUP, insights.term_rollup, _TERMS.replace("{0}", "search"))
 query("agg_13_term_rollup_of_events", "event", _ROLLUP, insights.term_rollup, _TERMS.replace("{0}", "event"))
+query("agg_13_terms_as_streamed", "event", _ROLLUP, lambda e: rollup.daily_terms(e.withColumn("occurred_at", F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))), _TERMS.replace("{0}", "event"))
+query("stm_08_lost_runs", "events", """SELECT user_id AS run_id, ts AS last_heartbeat, ts + INTERVAL 30 MINUTE AS lost_at FROM (SELECT user_id, ts, ended, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (
+ SELECT user_id, ts, bool_or(event_type = 'purchase') AS ended FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts)) WHERE NOT ended AND (next IS NULL OR next - ts >= INTERVAL 30 MINUTE)""",
+      lambda e: rollup.lost_runs(e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", "COMPLETE").otherwise("RUNNING").alias("status"))))
 query("agg_07_word_cloud", "search", _CLOUD, lambda s: insights.word_cloud(insights.term_rollup(s)), _TERMS.replace("{0}", "search"))
 query("agg_21_cloud_maximum", "search", f"SELECT coalesce(max(occurrences), 0) AS max_occurrences FROM ({_CLOUD})", lambda s: insights.cloud_maximum(insights.word_cloud(insights.term_rollup(s))), _TERMS.replace("{0}", "search"))
 query("str_13_normalised_queries", "search", f"SELECT query, {_NORMAL} AS term FROM search", lambda s: s.select("query", text.normalise_query(F.col("query")).alias("term")))
