@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from larkspur.functions import classify, labels, text
 from larkspur.operators import extraction, personal, records, search, tracking
 from larkspur.plans.registry import query
 from larkspur.plans.verdicts import _CASE, _DISCIPLINE
-from larkspur.sources import files
+from larkspur.sources import files, keyed
+from larkspur.sources.lineage import shared_folder
 
 _FETCHED, _STORED = "job_id % 11 <> 0", "job_id % 13 <> 0"
 _NEW_TITLE = "CASE WHEN job_id % 7 = 0 THEN ' New title ' ELSE title END"
@@ -203,6 +205,19 @@ query("snk_05_all_people", "customer saved job application application_event con
  UNION ALL SELECT doc_id % 40, 'cvs', NULL, doc_id, coalesce(text, '') FROM documents
  UNION ALL SELECT actor, 'activity', day, event_id, concat_ws('|', kind, query) FROM event WHERE actor IS NOT NULL)""", _people)
 
+
+def _upserted(j):
+    """Jobs by key, with withdrawn and new ones written over the buckets that they touch."""
+    rows = j.select("job_id", "title", "status")
+    table = keyed.Keyed(f"{shared_folder(j.sparkSession)}/jobs-{uuid.uuid4().hex}", ("job_id",), 64)
+    keyed.create(rows, table)
+    new = rows.where("job_id % 100 = 0").select((-1 - F.col("job_id")).alias("job_id"), "title", F.lit("OPEN").alias("status"))
+    keyed.upsert(rows.where("job_id % 50 = 0").withColumn("status", F.lit("WITHDRAWN")).unionByName(new), table)
+    return keyed.current(j.sparkSession, table, rows.schema)
+
+
+query("dif_04_upserted", "job", """SELECT job_id, title, CASE WHEN job_id % 50 = 0 THEN 'WITHDRAWN' ELSE status END AS status FROM job UNION ALL SELECT -1 - job_id, title, 'OPEN' FROM job WHERE job_id % 100 = 0""", _upserted)
+
 # Exports.
 query("snk_03_export_rows", "job", """SELECT source_url, title, name AS institution, CASE WHEN location_raw <> '' THEN location_raw ELSE city END AS location, coalesce(CAST(salary_min AS VARCHAR), '') AS salary_min, coalesce(sponsor_verdict, '') AS sponsor_verdict, CASE WHEN advert_excludes_sponsorship THEN 'yes' ELSE 'no' END AS advert_excludes_sponsorship,
  CASE WHEN fitness_score = 0 THEN '' ELSE CAST(fitness_score AS VARCHAR) END AS fitness_score, coalesce(CAST(closing_date AS VARCHAR), '') AS closing_date FROM job""",
