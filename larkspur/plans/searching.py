@@ -51,7 +51,7 @@ query("flt_14_default_open", "job", "SELECT job_id FROM job WHERE status = 'OPEN
 query("flt_15_crawlable", "institution", "SELECT institution_id FROM institution WHERE crawl_enabled AND careers_url <> ''", lambda i: records.crawlable(i).select("institution_id"))
 query("flt_16_open_crawled_withdrawn", "job", "SELECT job_id, status = 'OPEN' AS open, source <> 'MANUAL' AS crawled, status = 'WITHDRAWN' AS withdrawn FROM job", lambda j: j.select("job_id", (F.col("status") == "OPEN").alias("open"), (F.col("source") != "MANUAL").alias("crawled"), (F.col("status") == "WITHDRAWN").alias("withdrawn")))
 query("flt_18_owned", "application", "SELECT application_id FROM application WHERE owner = 7", lambda a: search.owned(a, 7).select("application_id"))
-query("flt_21_equal_filters", "application", "SELECT application_id FROM application WHERE owner = 7 AND status = 'OFFER'", lambda a: search.owned(a, 7).where("status = 'OFFER'").select("application_id"))
+query("flt_21_equal_filters", "application", "SELECT application_id FROM application WHERE owner = 8 AND status = 'OFFER'", lambda a: search.owned(a, 8).where("status = 'OFFER'").select("application_id"))
 query("flt_22_log_after", "revision", "SELECT revision_id AS id FROM revision WHERE revision_id > 100 ORDER BY 1 LIMIT 500", lambda r: records.after_log(r.select(F.col("revision_id").alias("id")), 100))
 
 query("agg_01_facets", "job", " UNION ALL ".join(
