@@ -131,19 +131,28 @@ class _Reader:
 
     def one(self, node: Column, selector: str = "", name: str = "") -> Column:
         node = N.first(self.found(node, selector)) if selector else node
-        return N.attribute(node, name) if name else N.said(self.strings, node)
+        return N.attribute(node, name) if name else self.said(node)
+
+    def said(self, node: Column) -> Column:
+        """A node's text, the node found once."""
+        return N.bound(node, lambda n: N.said(self.strings, n))
 
     def cells(self, row: Column) -> Column:
         return self.found(row, self.listing.cells)
 
-    def place(self, group: Column, name: str) -> Column:
-        """The place of a table's first heading that has a word of the field's; -1 without one."""
-        headings = F.transform(self.found(N.first(self.found(group, "tr")), "th, td"), lambda c: F.lower(N.said(self.strings, c)))
-        has = lambda h: F.exists(F.array(*map(F.lit, COLUMNS[name])), lambda w: F.contains(h, w))
-        return (F.array_position(F.transform(headings, has), True) - 1).cast("int")
+    def places(self, group: Column) -> Column:
+        """For each field the place of a table's first heading that has a word of the field's; -1 without one."""
+
+        def place(headings: Column, name: str) -> Column:
+            has = lambda h: F.exists(F.array(*map(F.lit, COLUMNS[name])), lambda w: F.contains(h, w))
+            return (F.array_position(F.transform(headings, has), True) - 1).cast("int")
+
+        cells = N.bound(N.first(self.found(group, "tr")), lambda row: self.found(row, "th, td"))
+        headings = F.transform(cells, lambda c: F.lower(N.said(self.strings, c)))
+        return N.bound(headings, lambda h: F.struct(*[place(h, name).alias(name) for name in COLUMNS]))
 
     def cell(self, row: Column, place: Column, selector: str = "", name: str = "") -> Column:
-        return F.when(place >= 0, self.one(F.get(row["cells"], place), selector, name)).otherwise("")
+        return F.when(place >= 0, N.bound(F.get(row["cells"], place), lambda c: self.one(c, selector, name))).otherwise("")
 
     def bound(self, row: Column, use) -> Column:
         """use(row), with the row's cells and the nodes inside it found once."""
@@ -161,7 +170,7 @@ class _Reader:
             return self.one(row, *rest)
         if kind == "nth":
             found = self.found(row, rest[0])
-            return F.when(F.size(found) >= rest[2], N.said(s, F.try_element_at(found, F.lit(rest[1])))).otherwise("")
+            return N.bound(found, lambda f: F.when(F.size(f) >= rest[2], self.said(F.try_element_at(f, F.lit(rest[1])))).otherwise(""))
         if kind == "cell":
             return self.cell(row, F.lit(rest[0]), *rest[1:])
         if kind == "column":
@@ -169,30 +178,38 @@ class _Reader:
         if kind == "group":
             return N.said(s, group)
         if kind == "before":
-            return N.said(s, N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: n["at"] < group["at"])))
+            return self.said(N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: n["at"] < group["at"])))
         if kind == "line":
             pattern = rf"(?i)^{rest[1]}\s*:\s*(.*)"
-            each = F.transform(F.split(F.array_join(N.lines(s, N.first(self.found(row, rest[0]))), "\n"), "\n"), lambda x: F.trim(x))
+            lines = N.bound(N.first(self.found(row, rest[0])), lambda n: N.lines(s, n))
+            each = F.transform(F.split(F.array_join(lines, "\n"), "\n"), lambda x: F.trim(x))
             return F.trim(F.coalesce(F.regexp_extract(N.last(F.filter(each, lambda x: x.rlike(pattern))), pattern, 1), F.lit("")))
         if kind in ("labelled", "pair"):
             label = lambda n: F.lower(F.rtrim(self.one(n, rest[1]), F.lit(":")))
             node = N.last(F.filter(self.found(row, rest[0]), lambda n: label(n) == rest[-1]))
             if kind == "pair":
-                return F.when(node.isNull(), "").otherwise(self.one(node, rest[2]))
-            return F.trim(F.substring(self.one(node), F.length(self.one(node, rest[1])) + 1, F.lit(1 << 30)))
+                return N.bound(node, lambda n: F.when(n.isNull(), "").otherwise(self.one(n, rest[2])))
+            return N.bound(node, lambda n: F.trim(F.substring(self.one(n), F.length(self.one(n, rest[1])) + 1, F.lit(1 << 30))))
         if kind == "after":
             block = N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: (n["at"] < row["at"]) & (row["at"] < n["until"])))
-            later = F.filter(self.nodes, lambda n: (n["parent"] == F.coalesce(block["parent"], row["parent"])) & (n["at"] > F.coalesce(block["at"], row["at"])))
-            end = F.coalesce(N.first(N.selected(later, rest[3]))["at"], F.lit(1 << 30))
-            return N.said(s, N.first(F.filter(N.selected(later, rest[1]), lambda n: (n["at"] < end) & F.contains(F.lower(N.said(s, n)), F.lit(rest[2])))))
+            block = N.bound(block, lambda b: F.struct(F.coalesce(b["parent"], row["parent"]).alias("parent"), F.coalesce(b["at"], row["at"]).alias("at")))
+            later = N.bound(block, lambda b: F.filter(self.nodes, lambda n: (n["parent"] == b["parent"]) & (n["at"] > b["at"])))
+
+            def after(found: Column) -> Column:
+                end = F.coalesce(N.first(N.selected(found, rest[3]))["at"], F.lit(1 << 30))
+                said = lambda e: N.first(F.filter(N.selected(found, rest[1]), lambda n: (n["at"] < e) & F.contains(F.lower(N.said(s, n)), F.lit(rest[2]))))
+                return self.said(N.bound(end, said))
+
+            return N.bound(later, after)
         if kind == "closest":
-            return self.value(rest[1], N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: (n["at"] < row["at"]) & (row["at"] < n["until"]))), group)
+            around = N.last(F.filter(N.selected(self.nodes, rest[0]), lambda n: (n["at"] < row["at"]) & (row["at"] < n["until"])))
+            return N.bound(around, lambda a: self.value(rest[1], a, group))
         if kind == "match":
             return F.regexp_extract(self.value(rest[0], row, group), rest[1], 1)
         if kind == "without":
             return F.trim(F.regexp_replace(self.value(rest[0], row, group), rest[1], ""))
         if kind == "either":
-            return F.coalesce(F.nullif(self.value(rest[0], row, group), F.lit("")), self.value(rest[1], row, group))
+            return F.coalesce(N.bound(self.value(rest[0], row, group), lambda v: F.nullif(v, F.lit(""))), self.value(rest[1], row, group))
         if kind == "url":
             return F.col("url")
         raise ValueError(f"not a spec: {spec!r}")
@@ -209,12 +226,11 @@ class _Reader:
 
         def of_group(group: Column) -> Column:
             scope = N.first(F.filter(N.selected(self.nodes, x.sibling), lambda n: (n["parent"] == group["parent"]) & (n["at"] > group["at"]))) if x.sibling else group
-            rows = self.found(scope, x.rows)
+            rows = N.bound(scope, lambda g: self.found(g, x.rows))
             rows = F.filter(rows, lambda r: F.size(self.cells(r)) >= x.least) if x.least else rows
             if not any(spec[0] == "column" or spec[0] == "either" for spec in x.fields.values()):
                 return F.transform(rows, read(group))
-            places = F.struct(*[self.place(group, name).alias(name) for name in COLUMNS])
-            return N.bound(places, lambda p: F.transform(rows, read(F.struct(*[group[c].alias(c) for c in ("at", "until", "parent", "first", "last")], p.alias("places")))))
+            return N.bound(self.places(group), lambda p: F.transform(rows, read(F.struct(*[group[c].alias(c) for c in ("at", "until", "parent", "first", "last")], p.alias("places")))))
 
         return F.flatten(F.transform(groups, of_group))
 
@@ -247,7 +263,7 @@ def listed(noded: DataFrame, platform: str, today: date, *more: str) -> DataFram
     out = rows.select(
         "url", "place", *more, pages.absolute(F.col("url"), get("source_url")).alias("source_url"), F.col("slug").alias("institution_slug"), F.lit("HTML").alias("strategy"), get("closing_time").alias("closing_time"),
         *[get(c).alias(c) for c in FIELDS if c not in ("source_url", "institution_slug", "strategy", *pages.DATES)],
-        *[pages.uk_date(get(short), today).alias(c) for c, short in (("posted_date", "posted"), ("closing_date", "closing"))],
+        *[(pages.uk_date(get(short), today) if short in names else F.lit(None).cast("date")).alias(c) for c, short in (("posted_date", "posted"), ("closing_date", "closing"))],
     )
     if platform == "GENERIC_CARD_SCRAPE":  # several adverts of one page of prose share its address
         return out.select(*FIELDS, *EXTRA, *more)

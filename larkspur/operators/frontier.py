@@ -42,11 +42,13 @@ def reached(starts: DataFrame, edges: DataFrame, most: int | None = None) -> Dat
 def walked(noded: DataFrame, starts: DataFrame, platform: str, today: date) -> DataFrame:
     """ADP-18, 22 and 32: the vacancies of all captured pages (url, nodes, strings) that listings (slug, url) of a platform go on to.
 
-    Of one institution's vacancies with one address one stays, from the page that is fewest steps away.
+    Of one institution's vacancies with one address one stays, from the page that is fewest steps away. Every page is read where
+    it stands and its vacancies alone meet the listings that lead to it: nodes are many times as wide, and are never shuffled.
     """
     site = boards.SITES[platform][0][1]
     found = reached(starts, links(noded, site.onward, only_first=True), site.most)
-    listed = boards.listed(noded.join(found, "url"), platform, today, "depth")
+    own = boards.listed(noded.withColumn("slug", F.col("url")), platform, today).withColumnRenamed("institution_slug", "url")
+    listed = own.join(found.withColumnRenamed("slug", "institution_slug"), "url").drop("url")
     fields = [c for c in listed.columns if c not in ("institution_slug", "source_url", "depth")]
     first = listed.groupBy("institution_slug", "source_url").agg(F.min_by(F.struct(*fields), F.struct("depth", *fields)).alias("v"))
     return first.select("source_url", "institution_slug", "v.*").select(*boards.FIELDS)
