@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import fitness, phrases
+from larkspur.functions.nodes import bound
 
 # How much of a CV is read, the longest item and the most items of its own list, signs between items, most bytes of an opened file.
 MOST_TEXT, LONGEST_ITEM, MOST_ITEMS, SIGNS, MOST_BYTES = 400_000, 40, 150, "[,;•|]", 50 * 1024 * 1024
@@ -56,22 +57,23 @@ def declared_skills(text: Column) -> Column:
     """
     lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), F.trim)
     state = F.struct(F.lit(0).alias("open"), F.lit(0).alias("blank"), F.array().cast("array<string>").alias("items"))  # open: 0 not yet, 1 inside, 2 over
+    label = lambda x: F.get(F.regexp_extract_all(x, F.lit(LABELLED), F.lit(1)), F.lit(0))
+    read = lambda x: F.struct(x.rlike(HEADING).alias("heading"), (x == "").alias("blank"), F.coalesce(label(x), F.when(x.rlike(SIGNS), x)).alias("item"))
 
     def step(s: Column, line: Column) -> Column:
-        inside, heading, blank = s["open"] == 1, line.rlike(HEADING), line == ""
-        label = F.regexp_extract(line, LABELLED, 1)
-        item = F.when(label != "", label).when(line.rlike(SIGNS), line)
+        inside, heading, blank, item = s["open"] == 1, line["heading"], line["blank"], line["item"]
         over = F.when(blank, s["blank"] + 1 >= 2).otherwise(item.isNull())
         opened = F.when(s["open"] == 2, 2).when(heading, 1).when(inside & over, 2).otherwise(s["open"])
         blanks = F.when(blank & ~heading, s["blank"] + 1).otherwise(0)
         take = inside & ~heading & ~blank & item.isNotNull()
         return F.struct(opened.alias("open"), blanks.alias("blank"), F.when(take, F.array_append(s["items"], item)).otherwise(s["items"]).alias("items"))
 
-    found = F.aggregate(lines, state, step, lambda s: s["items"])
+    found = F.aggregate(F.transform(lines, read), state, step, lambda s: s["items"])
     parts = F.flatten(F.transform(found, lambda i: F.split(F.regexp_replace(i, "[()]", ","), SIGNS)))
     items = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^[ \t.]+|[ \t.]+$", "")), lambda p: (p != "") & (F.length(p) <= LONGEST_ITEM))
-    once = F.filter(items, lambda p, k: F.array_position(F.transform(items, F.lower), F.lower(p)) == k + 1)
-    return F.slice(once, 1, MOST_ITEMS)
+    # sections are read once and items lowered once, however many there are
+    once = lambda own, low: F.transform(F.slice(F.array_distinct(low), 1, MOST_ITEMS), lambda p: F.get(own, F.array_position(low, p).cast("int") - 1))
+    return bound(items, lambda own: bound(F.transform(own, F.lower), lambda low: once(own, low)))
 
 
 def vocabulary_hits(cvs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -103,8 +105,7 @@ def parsed(cvs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     text = F.substring("text", 1, MOST_TEXT)
     own = cvs.select("cv_id", declared_skills(text).alias("declared"), claimed_years(F.regexp_replace(text, r"(?U)\s+", " ")).alias("years_experience"))
     both = own.join(by_kind, "cv_id", "left").select("cv_id", "declared", "years_experience", *[F.coalesce(k, none).alias(name) for k, name in KINDS.items()])
-    lowered = F.transform("skills", F.lower)
-    more = F.filter("declared", lambda d: ~F.array_contains(lowered, F.lower(d)))
+    more = bound(F.transform("skills", F.lower), lambda lowered: F.filter("declared", lambda d: ~F.array_contains(lowered, F.lower(d))))
     return both.select("cv_id", F.concat("skills", more).alias("skills"), "domains", "seniority", "projects", "education", "years_experience")
 
 

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import digests, frontier
+from larkspur.operators import digests, frontier, profiles
 from larkspur.plans import boards, catalog, pages
 from larkspur.sources import tables
 
@@ -61,3 +61,10 @@ def test_an_export_of_many_workbooks_has_one_head(spark, monkeypatch):
     monkeypatch.setattr(boards.office, "export_xlsx", lambda rows, path, *order: export(rows, path, *order, most=200))
     kinds = {r.kind: r["count"] for r in catalog.QUERIES["snk_02_workbook"](spark, DIR).groupBy("kind").count().collect()}
     assert kinds == {"head": 1, "row": view(spark, "job").count()}
+
+
+def test_a_cv_is_read_once_however_many_items_it_declares(spark):
+    df = spark.createDataFrame([(1, "Skills\nA, b; a\nTools: B (C), d\n" + ", ".join(f"s{k % 300}" for k in range(1000)))], "cv_id int, text string")
+    got = df.select(profiles.declared_skills(F.col("text")).alias("s"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert got.first().s == ["A", "b", "C", "d", *[f"s{k}" for k in range(146)]]
