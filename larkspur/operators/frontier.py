@@ -63,20 +63,29 @@ def talentlink_details(noded: DataFrame, starts: DataFrame) -> DataFrame:
 
     A listing that goes on past MOST_PAGES is an error of that listing: it has no rows, see overlong().
     """
-    found = _numbered(noded, starts)
+    every = _links_of_lists(noded)
+    found = cut(_numbered(every, starts))
     short = found.groupBy("slug").count().where(F.col("count") <= MOST_PAGES)
-    details = links(noded.join(found.select("url").distinct(), "url", "left_semi"), DETAIL)
+    details = every.where("kind = 'detail'").drop("kind")
     return found.join(short, "slug", "left_semi").join(details, "url").select("slug", F.col("to").alias("url")).distinct()
 
 
 def overlong(noded: DataFrame, starts: DataFrame) -> DataFrame:
     """ADP-11: (slug, error) of the listings with too many pages."""
-    return _numbered(noded, starts).groupBy("slug").count().where(F.col("count") > MOST_PAGES).select("slug", F.lit("ParseError").alias("error"))
+    return _numbered(_links_of_lists(noded), starts).groupBy("slug").count().where(F.col("count") > MOST_PAGES).select("slug", F.lit("ParseError").alias("error"))
 
 
-def _numbered(noded: DataFrame, starts: DataFrame) -> DataFrame:
+def _links_of_lists(noded: DataFrame) -> DataFrame:
+    """(kind, url, to): all links to numbered pages and to details. A page is read once for both and its links are written: nodes are never shuffled."""
+    of_kind = lambda kind: lambda a: F.struct(F.lit(kind).alias("kind"), N.attribute(a, "href").alias("href"))
+    found = F.concat(*[F.transform(N.selected(F.col("nodes"), selector), of_kind(kind)) for kind, selector in (("numbered", NUMBERED), ("detail", DETAIL))])
+    each = noded.select("url", F.explode(found).alias("a")).select("url", "a.kind", "a.href")
+    return cut(each.select("kind", "url", pages.absolute(F.col("url"), F.col("href")).alias("to")).distinct())
+
+
+def _numbered(every: DataFrame, starts: DataFrame) -> DataFrame:
     """(slug, url): a listing's own page and, for each page number other than 1, the address seen first."""
-    edges = links(noded, NUMBERED).where(F.col("to").rlike(PAGE_NUMBER))
+    edges = every.where(F.col("kind") == "numbered").where(F.col("to").rlike(PAGE_NUMBER)).drop("kind")
     number = F.coalesce(F.nullif(F.regexp_extract("url", PAGE_NUMBER, 1), F.lit("")), F.lit("1"))
     found = reached(starts, edges).withColumn("number", F.when(F.col("depth") == 0, "1").otherwise(number))
     return found.groupBy("slug", "number").agg(F.min_by("url", F.struct("depth", "url")).alias("url")).select("slug", "url")
