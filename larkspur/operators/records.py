@@ -95,9 +95,11 @@ def run_view(run_id: int, started: Column, finished: Column, jobs: DataFrame, re
 
 
 def except_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """SET-01: keys of one side alone."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("dropped_off")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("newly_listed")))
+    """SET-01: keys of one side alone, by one aggregation of both. A null key is no other's equal, so it counts on each side that has it."""
+    of = lambda df, is_left: df.select(key, F.lit(is_left).alias("left"), F.lit(not is_left).alias("right"))
+    sides = of(left, True).unionByName(of(right, False)).groupBy(key).agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    alone = sides.where(~(F.col("left") & F.col("right")) | F.col(key).isNull())
+    return alone.select(key, F.explode(F.array_compact(F.array(F.when(F.col("left"), "dropped_off"), F.when(F.col("right"), "newly_listed")))).alias("side"))
 
 
 def latest_by(df: DataFrame, key: str, at: str) -> DataFrame:
