@@ -47,9 +47,9 @@ def _some(pairs: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(term)) for test, term in pairs])) if pairs else F.array().cast("array<string>")
 
 
-def term_result(name: str, terms: list[str], advert: Column) -> Column:
-    """FIT-01: the share of a list's terms that stand in the advert as whole words."""
-    there = [(classify.term_present(F.lit(t), advert), t) for t in terms]
+def term_result(name: str, terms: list[str], tests: list[Column]) -> Column:
+    """FIT-01: the share of a list's terms that stand in the advert as whole words, by a test of each."""
+    there = list(zip(tests, terms))
     matched = _some(there)
     fraction = F.size(matched) / len(terms) if terms else F.lit(0.0)
     return _result(name, fraction, matched, _some([(~test, t) for test, t in there]), F.lit("" if terms else "No terms configured on the candidate profile."))
@@ -57,7 +57,10 @@ def term_result(name: str, terms: list[str], advert: Column) -> Column:
 
 def years_result(held: int, advert: Column) -> Column:
     """FIT-03: all or nothing; all where the advert asks for none."""
-    asked = classify.required_years(advert)
+    return _asked_result(held, classify.required_years(advert))
+
+
+def _asked_result(held: int, asked: Column) -> Column:
     short, none = F.coalesce(asked > held, F.lit(False)), F.array().cast("array<string>")
     missing = F.when(short, F.array(F.concat(asked.cast("string"), F.lit(" years experience")))).otherwise(none)
     said = F.concat(F.lit("Advert asks for "), asked.cast("string"), F.lit(f" years; profile has {held}."))
@@ -71,7 +74,11 @@ def advert_text(title: Column, description: Column) -> Column:
 def score(jobs: DataFrame, criteria: Criteria) -> DataFrame:
     """FIT-04: (job_id, score, reasons) of jobs (job_id, title, description_text); the score is rounded half to even."""
     j = jobs.select("job_id", advert_text(F.col("title"), F.col("description_text")).alias("advert"))
-    results = [years_result(criteria.years_experience, F.col("advert")) if c == "years" else term_result(c, getattr(criteria, c), F.col("advert")) for c in WEIGHTS]
+    # a result names its tests several times: they are columns before, so that an advert is searched once for each term
+    tests = {c: [f"{c}_{k}" for k in range(len(getattr(criteria, c)))] for c in LISTS}
+    each = [classify.term_present(F.lit(t), F.col("advert")).alias(n) for c in LISTS for t, n in zip(getattr(criteria, c), tests[c])]
+    j = j.select("job_id", classify.required_years(F.col("advert")).alias("asked"), *each)
+    results = [_asked_result(criteria.years_experience, F.col("asked")) if c == "years" else term_result(c, getattr(criteria, c), [F.col(n) for n in tests[c]]) for c in WEIGHTS]
     earned = F.aggregate("reasons", F.lit(0.0), lambda total, r: total + r["weight"] * r["fraction"])
     return j.select("job_id", F.array(*results).alias("reasons")).select("job_id", F.bround(100 * earned / sum(WEIGHTS.values()), 0).cast("int").alias("score"), "reasons")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import classify, fitness, salary, text
 from larkspur.operators import screening
 from larkspur.plans.registry import query
+from larkspur.sources.lineage import spread
 
 #: Figures of a rule set; data, given to every function that needs them.
 RULES = {"personal_floor": 60000, "current_package": 120000, "going_rate": 200000, "standard_general": 90000}
@@ -82,8 +83,8 @@ _HAS = lambda *terms: " + ".join("CAST(regexp_matches(a, '(^|[^\\w]){}($|[^\\w])
 _ADVERT_SQL = "adverts AS (SELECT job_id, lower(concat_ws('. ', nullif(title, ''), nullif(description_text, ''))) AS a FROM job)"
 _ASKED = r"list_max(list_filter(list_transform(regexp_extract_all(a, '(\d{1,2})\s*\+?\s*(?:or\s+more\s+)?years?', 1), lambda x: CAST(x AS INTEGER)), lambda y: y BETWEEN 1 AND 30))"
 _SCORE = f"CAST(round_even(100 * (3 * ({_HAS(*ME.skills)}) / 4.0::DOUBLE + 2 * ({_HAS(*ME.domains)}) / 2.0::DOUBLE + 2 * CASE WHEN coalesce({_ASKED}, 0) > 10 THEN 0 ELSE 1 END + ({_HAS('tradition')}) + ({_HAS('phd')})) / 11, 0) AS INTEGER)"
-query("fit_04_scores", "job", f"SELECT job_id, {_SCORE} AS score, {_HAS(*ME.skills)} AS skills_found, {_ASKED} AS asked FROM adverts", lambda j: fitness.score(j, ME).select("job_id", "score", F.size(F.expr("reasons[0].matched")).alias("skills_found")).join(
-    j.select("job_id", classify.required_years(fitness.advert_text(F.col("title"), F.col("description_text"))).alias("asked")), "job_id"), _ADVERT_SQL)
+query("fit_04_scores", "job", f"SELECT job_id, {_SCORE} AS score, {_HAS(*ME.skills)} AS skills_found, {_ASKED} AS asked FROM adverts", lambda j: fitness.score(spread(j), ME).select("job_id", "score", F.size(F.expr("reasons[0].matched")).alias("skills_found")).join(
+    spread(j).select("job_id", classify.required_years(fitness.advert_text(F.col("title"), F.col("description_text"))).alias("asked")), "job_id"), _ADVERT_SQL)
 query("fit_01_missing_terms", "job", f"SELECT job_id, concat_ws(',', CASE WHEN ({_HAS('Python')}) = 0 THEN 'Python' END, CASE WHEN ({_HAS('django')}) = 0 THEN 'django' END, CASE WHEN ({_HAS('C++')}) = 0 THEN 'C++' END, CASE WHEN ({_HAS('go')}) = 0 THEN 'go' END) AS missing FROM adverts",
       lambda j: fitness.score(j, ME).select("job_id", F.array_join(F.expr("reasons[0].missing"), ",").alias("missing")), _ADVERT_SQL)
 query("fit_02_required_years", "documents", r"""SELECT doc_id, list_max(list_filter(list_transform(regexp_extract_all(lower(t), '(\d{1,2})\s*\+?\s*(?:or\s+more\s+)?years?', 1), lambda x: CAST(x AS INTEGER)), lambda y: y BETWEEN 1 AND 30)) AS years

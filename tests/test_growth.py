@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import digests, frontier, profiles
+from larkspur.operators import digests, frontier, profiles, records
 from larkspur.plans import boards, catalog, pages
 from larkspur.sources import tables
 
@@ -81,3 +81,16 @@ def test_a_cv_is_read_once_however_many_items_it_declares(spark):
     got = df.select(profiles.declared_skills(F.col("text")).alias("s"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert got.first().s == ["A", "b", "C", "d", *[f"s{k}" for k in range(146)]]
+
+
+def test_adverts_are_dealt_and_searched_once_for_each_term(spark):
+    plan = catalog.QUERIES["fit_04_scores"](spark, DIR)._jdf.queryExecution()
+    assert "RoundRobinPartitioning" in plan.executedPlan().toString() and plan.optimizedPlan().toString().count(r"\Qdjango\E") == 1
+
+
+def test_sides_are_told_apart_by_one_aggregation(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in (["x", "y", "y", None], ["y", "z", "z", None]))
+    got = records.except_both(a, b, "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k or "", r.side) for r in got.collect()) == [("", "dropped_off"), ("", "newly_listed"), ("x", "dropped_off"), ("z", "newly_listed")]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Sort" not in plan
