@@ -1,13 +1,14 @@
 """A stored positional index for the search ladder: searches read the postings of their own words and letters, and no text.
 
-A posting is (job_id, title_words, positions) of a key of a kind. Kind 0 are stems of all that full-text search reads, at
-their word numbers; the title's words come first, so a phrase stands in the title if it ends within title_words. Kinds 1 to 4
-are the three letters at each place of the lower-cased title, department, institution's name and description; a shorter text
-is a key itself. So phrases and substrings alike are keys at fixed distances. Letters take several times the texts' size.
-
-A row holds a key's postings of one lot of jobs, of about a million places. Rows lie by bucket of their key, sorted, a
-bucket's lots spread over several files, so that a word of most jobs makes no task that reads or writes them all. The index
-is built for a snapshot of jobs; job_id is unique in it.
+A posting is (jobs, title_words, positions) of a key of a kind: the jobs that have the key at just these places, each as its
+distance from the row's first in two bytes. Kind 0 are stems of all that full-text search reads, at their word numbers; the
+title's words come first, so a phrase stands in the title if it ends within title_words (0 in other kinds). Kinds 1 to 4 are
+the three letters at each place of the lower-cased title, department, institution's name and description; a shorter text is a
+key itself. So phrases and substrings alike are keys at fixed distances.
+
+A row holds a key's postings of one lot of jobs, of about a million places, and of one window of 32,768 job_ids. Rows lie by
+bucket of their key, sorted, a bucket's windows spread over several files, so that a word of most jobs makes no task that
+reads or writes them all. The index is built for a snapshot of jobs; job_id is unique in it. Job_ids far apart cost a row each.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import lexemes
+from larkspur.sources import lineage
 
 _FIELDS = ["title", "department", "name", "description_text"]
 _WORDS, _TITLE, _DEPARTMENT, _NAME, _DESCRIPTION = range(5)
-_SCHEMA = "kind tinyint, key string, postings array<struct<job_id:long,title_words:int,positions:array<int>>>"
+_SCHEMA = "kind tinyint, key string, first long, postings array<struct<jobs:array<smallint>,title_words:int,positions:array<int>>>"
 _PLACES = pa.list_(pa.int32())
-_POSTING = pa.struct([("job_id", pa.int64()), ("title_words", pa.int32()), ("positions", _PLACES)])
-_ARROW = pa.schema([("kind", pa.int8()), ("key", pa.string()), ("postings", pa.list_(_POSTING))])
+_JOBS = pa.list_(pa.int16())
+_POSTING = pa.struct([("jobs", _JOBS), ("title_words", pa.int32()), ("positions", _PLACES)])
+_ARROW = pa.schema([("kind", pa.int8()), ("key", pa.string()), ("first", pa.int64()), ("postings", pa.list_(_POSTING))])
+#: Bits of a job_id that a posting holds; the others are its row's.
+_WINDOW = 15
 #: Letters after which a task hands over what it has.
 _LOT = 1_000_000
 
@@ -71,19 +76,37 @@ def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(kind: int, jobs: np.ndarray, title_words: np.ndarray, found) -> pa.RecordBatch:
-    """A row for each key, with a posting for each job that has it."""
+    """A row for each key and each window of job_ids, with a posting for each of the ways in which jobs have the key."""
     code, owner, place, keys = found
     order = np.argsort(code, kind="stable")
     code, owner, place = code[order], owner[order], place[order]
-    key_starts = np.append(True, code[1:] != code[:-1])
-    posting_at = np.flatnonzero(key_starts | np.append(True, owner[1:] != owner[:-1]))
-    key_at = np.flatnonzero(key_starts)
+    at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))
+    size = np.diff(np.append(at, len(code)))
+    code, owner = code[at], owner[at]
+    inside = title_words[owner] if kind == _WORDS else np.zeros(len(owner), np.int32)
+    windows, window = np.unique(jobs[owner] >> _WINDOW, return_inverse=True)
+    row = code * len(windows) + window
+    # Jobs with the same places come to lie side by side; whether they are the same is then looked up.
+    mixed = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), at) + inside.astype(np.uint64)
+    order = np.lexsort((mixed, row))
+    at, size, code, owner, inside, row = (x[order] for x in (at, size, code, owner, inside, row))
+    holder, step = _places(size)
+    place = place[at[holder] + step]
+    starts = np.cumsum(size) - size
+    differs = np.logical_or.reduceat(place != place[np.maximum(np.arange(len(place)) - size[holder], 0)], starts)
+    changed = lambda x: np.append(True, x[1:] != x[:-1])
+    posting_at = np.flatnonzero(changed(row) | changed(size) | changed(inside) | differs)
+    key_at = np.flatnonzero(changed(row))
     offsets = lambda at, n: pa.array(np.append(at, n).astype(np.int32))
-    positions = pa.ListArray.from_arrays(offsets(posting_at, len(code)), pa.array(place.astype(np.int32)), type=_PLACES)
-    owners = owner[posting_at]
-    postings = pa.StructArray.from_arrays([pa.array(jobs[owners]), pa.array(title_words[owners]), positions], fields=list(_POSTING))
+    holder, step = _places(size[posting_at])
+    ends = np.cumsum(size[posting_at])
+    positions = pa.ListArray.from_arrays(offsets(ends - size[posting_at], ends[-1]), pa.array(place[starts[posting_at][holder] + step].astype(np.int32)), type=_PLACES)
+    who = pa.ListArray.from_arrays(offsets(posting_at, len(owner)), pa.array((jobs[owner] & (1 << _WINDOW) - 1).astype(np.int16)), type=_JOBS)
+    postings = pa.StructArray.from_arrays([who, pa.array(inside[posting_at]), positions], fields=list(_POSTING))
     lists = pa.ListArray.from_arrays(offsets(np.searchsorted(posting_at, key_at), len(posting_at)), postings, type=pa.list_(_POSTING))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key_at), kind, np.int8)), pa.array([keys[c] for c in code[key_at]], pa.string()), lists], schema=_ARROW)
+    first = jobs[owner[key_at]] >> _WINDOW << _WINDOW
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key_at), kind, np.int8)), pa.array([keys[c] for c in code[key_at]], pa.string()), pa.array(first), lists], schema=_ARROW)
 
 
 def _lot(rows: list[tuple]):
@@ -110,15 +133,16 @@ def _postings(batches):
 def build(jobs: DataFrame, path: str, buckets: int = 256, spread: int = 16) -> Index:
     """Writes the index of jobs (job_id, title, department, name, description_text) to path; nulls are read as empty texts.
 
-    A shuffle brings the postings of a bucket to at most spread tasks, each with its share of the lots.
+    A shuffle brings the postings of a bucket to at most spread tasks, each with its share of the windows.
     """
     title = lexemes.lexemes(F.col("title"))
     count = F.when(F.coalesce(title, F.lit("")) == "", 0).otherwise(F.size(F.split(title, " "))).cast("int")
-    read = jobs.select(F.col("job_id").cast("long"), count.alias("title_words"), lexemes.lexemes(F.concat_ws(" ", *_FIELDS)).alias("words"), *[F.lower(c).alias(c) for c in _FIELDS])
+    dealt = lineage.spread(jobs.select(F.col("job_id").cast("long"), *_FIELDS), "job_id")  # neighbours stay together, so that windows are few
+    read = dealt.select("job_id", count.alias("title_words"), lexemes.lexemes(F.concat_ws(" ", *_FIELDS)).alias("words"), *[F.lower(c).alias(c) for c in _FIELDS])
     jobs.select(F.col("job_id").cast("long")).write.parquet(f"{path}/jobs", mode="overwrite")
     rows = read.mapInArrow(_postings, _SCHEMA).withColumn("bucket", (F.crc32(F.col("key").cast("binary")) % buckets).cast("int"))
-    placed = rows.repartition("bucket", F.pmod(F.xxhash64(F.col("postings")[0]["job_id"]), F.lit(spread))).sortWithinPartitions("bucket", "key", "kind")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings", mode="overwrite")
+    placed = rows.repartition("bucket", F.pmod(F.xxhash64("first"), F.lit(spread))).sortWithinPartitions("bucket", "key", "kind")
+    placed.write.partitionBy("bucket").parquet(f"{path}/postings", mode="overwrite", compression="zstd")
     return Index(path, buckets)
 
 
@@ -154,7 +178,8 @@ def found(spark: SparkSession, index: Index, query: str) -> DataFrame:
     if letters:
         kept = in_buckets(stems + triples) & kept
     place = F.struct(F.concat_ws(":", F.col("kind").cast("string"), "key"), "positions")
-    seen = postings.where(kept).select("kind", "key", F.inline("postings")).groupBy("job_id").agg(
+    each = postings.where(kept).select("kind", "key", "first", F.inline("postings")).select("kind", "key", "title_words", "positions", "first", F.explode("jobs").alias("job"))
+    seen = each.withColumn("job_id", F.col("first") + F.col("job")).groupBy("job_id").agg(
         F.map_from_entries(F.collect_list(F.when(word | F.lit(bool(letters)), place))).alias("places"), F.max("title_words").alias("title_words"),
         *[F.bool_or(F.col("kind") == k).alias(f"short_{k}") for k in range(_TITLE, _DESCRIPTION + 1)],
     )

@@ -27,7 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in several tasks a core: a small file is one task, however much work its rows are. Rows should be dealt while they are narrow."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in several tasks a core, by ranges of by if given: a small file is one task, however much work its rows are. Rows should be dealt while they are narrow."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartitionByRange(n, *by) if by else df.repartition(n)

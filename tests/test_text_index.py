@@ -58,3 +58,18 @@ def test_plan_reads_buckets_of_the_terms(spark, index):
 def test_no_jobs(spark, tmp_path):
     empty = text_index.build(spark.createDataFrame([], JOB), str(tmp_path), buckets=4)
     assert text_index.found(spark, empty, "software").count() == 0 and text_index.found(spark, empty, "-software").count() == 0
+
+
+def test_jobs_that_have_a_key_at_the_same_places_share_a_posting(spark, tmp_path):
+    rows = [(k, "Head of Estates", "Estates", "University No 1", "Apply now.") for k in range(300)]
+    text_index.build(spark.createDataFrame(rows, JOB).coalesce(1), str(tmp_path), buckets=4)
+    stored = spark.read.parquet(f"{tmp_path}/postings")
+    assert stored.selectExpr("max(size(postings))").first()[0] == 1 and stored.where("key = 'hea'").selectExpr("sum(size(postings[0].jobs))").first()[0] == 300
+
+
+def test_job_ids_far_apart_and_below_zero(spark, tmp_path):
+    ids = [-(2**63), -32769, -32768, -1, 0, 32767, 32768, 2**40 + 1, 2**63 - 1]
+    jobs = spark.createDataFrame([(k, "Head of Estates" if k % 2 else "Dean", "", "", "physics " * (n + 1)) for n, k in enumerate(ids)], JOB)
+    built = text_index.build(jobs, str(tmp_path), buckets=4)
+    assert sorted(r.job_id for r in text_index.found(spark, built, "physics").collect()) == ids
+    assert sorted(r.job_id for r in text_index.found(spark, built, "estates").collect()) == [k for k in ids if k % 2]
