@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.pages import tree
+from larkspur.functions import pages
 
 _NODE = T.StructType([
     T.StructField("at", T.IntegerType()), T.StructField("until", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("tag", T.StringType()),
@@ -22,28 +25,87 @@ _NODE = T.StructType([
 ])
 _ARROW = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32()), ("parent", pa.int32()), ("place", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("first", pa.int32()), ("last", pa.int32())]))
 _SILENT = ("script", "style", "template")
-
-
-def flattened(html: str | None) -> tuple[list[dict], list[str]]:
-    """The elements of a page in document order, and its strings without white space around them; scripts and styles say nothing."""
-    nodes: list[dict] = []
-    strings: list[str] = []
-    places: dict[tuple[int, str], int] = {}
-    stack: list[tuple] = [(p, -1) for p in reversed(tree(html).parts)]
-    while stack:
-        part, parent = stack.pop()
-        if part is None:  # the element at parent ends
-            nodes[parent]["until"], nodes[parent]["last"] = len(nodes), len(strings)
-        elif isinstance(part, str):
-            if part.strip() and (parent < 0 or nodes[parent]["tag"] not in _SILENT):
-                strings.append(part.strip())
+#: Pages that are handed over at a time.
+_PAGES = 1_000
+
+
+class _Flat(HTMLParser):
+    """A page's elements in document order, a list for each of their columns, and its strings without white space around them; scripts and styles say nothing."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.until, self.parent, self.place, self.tag, self.first, self.last = [], [], [], [], [], []
+        self.names, self.values, self.attributes = [], [], []
+        self.strings: list[str] = []
+        self.open: list[int] = []
+        self.places: dict[tuple[int, str], int] = {}
+
+    def handle_starttag(self, tag, attrs):
+        open_ = self.open
+        if open_ and tag in pages.SELF_CLOSED and self.tag[open_[-1]] == tag:
+            self._end(open_.pop())
+        at, parent = len(self.tag), open_[-1] if open_ else -1
+        place = self.places[parent, tag] = self.places.get((parent, tag), 0) + 1
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.place.append(place)
+        self.first.append(len(self.strings))
+        self.last.append(len(self.strings))
+        self.until.append(at + 1)
+        if attrs:
+            each = {k: v or "" for k, v in attrs}
+            self.names += each
+            self.values += each.values()
+            self.attributes.append(len(each))
         else:
-            at = len(nodes)
-            place = places[parent, part.tag] = places.get((parent, part.tag), 0) + 1
-            nodes.append({"at": at, "until": 0, "parent": parent, "place": place, "tag": part.tag, "attributes": list(part.attributes.items()), "first": len(strings), "last": 0})
-            stack.append((None, at))
-            stack += [(p, at) for p in reversed(part.parts)]
-    return nodes, strings
+            self.attributes.append(0)
+        if tag not in pages.VOID:
+            open_.append(at)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.tag[self.open[k]] == tag:
+                for at in self.open[k:]:
+                    self._end(at)
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        said = data.strip()
+        if said and not (self.open and self.tag[self.open[-1]] in _SILENT):
+            self.strings.append(said)
+
+    def updatepos(self, i, j):  # nobody asks for lines and columns
+        return j
+
+    def _end(self, at: int) -> None:
+        self.until[at], self.last[at] = len(self.tag), len(self.strings)
+
+    def end(self) -> _Flat:
+        for at in self.open:
+            self._end(at)
+        return self
+
+
+def flattened(html: str | None) -> _Flat:
+    flat = _Flat()
+    if not pages.read_plain(html or "", flat):
+        flat = _Flat()
+        flat.feed(html or "")
+        flat.close()
+    return flat.end()
+
+
+def _columns(each: list[_Flat]) -> tuple[pa.Array, pa.Array]:
+    """nodes and strings of pages, without an object for each node."""
+    whole = lambda name, kind=None: pa.array(list(chain.from_iterable(getattr(f, name) for f in each)), kind or pa.int32())
+    offsets = lambda sizes: pa.array(np.append(0, np.cumsum(np.array(sizes, np.int64))).astype(np.int32))
+    sizes = np.array([len(f.tag) for f in each], np.int64)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    attributes = pa.MapArray.from_arrays(offsets(list(chain.from_iterable(f.attributes for f in each))), whole("names", pa.string()), whole("values", pa.string()))
+    columns = [pa.array(at.astype(np.int32)), whole("until"), whole("parent"), whole("place"), whole("tag", pa.string()), attributes, whole("first"), whole("last")]
+    nodes = pa.ListArray.from_arrays(offsets(sizes), pa.StructArray.from_arrays(columns, fields=list(_ARROW.value_type)), type=_ARROW)
+    return nodes, pa.ListArray.from_arrays(offsets([len(f.strings) for f in each]), whole("strings", pa.string()))
 
 
 def noded(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -52,8 +114,9 @@ def noded(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [flattened(t) for t in b.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([n for n, _ in each], _ARROW), pa.array([s for _, s in each], pa.list_(pa.string()))], [*rest, "nodes", "strings"])
+            for k in range(0, b.num_rows, _PAGES):
+                some = b.slice(k, _PAGES)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), *_columns([flattened(t) for t in some.column(html).to_pylist()])], [*rest, "nodes", "strings"])
 
     schema = T.StructType([pages.schema[c] for c in rest]).add("nodes", T.ArrayType(_NODE)).add("strings", T.ArrayType(T.StringType()))
     return pages.mapInArrow(rows, schema)
