@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import digests, frontier, profiles, records
+from larkspur.operators import digests, frontier, profiles, records, search
 from larkspur.plans import boards, catalog, pages
 from larkspur.sources import tables
 
@@ -94,3 +94,16 @@ def test_sides_are_told_apart_by_one_aggregation(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.k or "", r.side) for r in got.collect()) == [("", "dropped_off"), ("", "newly_listed"), ("x", "dropped_off"), ("z", "newly_listed")]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Sort" not in plan
+
+
+def test_last_revisions_are_not_gathered_by_an_aggregation(spark):
+    jobs = view(spark, "job").where("sponsor_verdict IS NOT NULL AND job_id < 40").withColumns({"fitness_reasons": F.array(F.lit("x")), "application_id": F.lit(1), "application_status": F.lit("FOUND")})
+    known = [r.job_id for r in jobs.select("job_id").collect()]
+    many, few, none = known[:3]
+    rows = [(k, many, "f", str(k), None, date(2024, 1, 1 + k // 10)) for k in range(50)] + [(100, few, "g", "a", "b", None), (101, few, "g", "b", "c", date(2024, 1, 1)), (102, -1, "g", "", "", None)]
+    revisions = spark.createDataFrame(rows, "revision_id long, job_id long, field string, value_before string, value_after string, changed_at date")
+    df = search.detail_rows(jobs, revisions)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    got = {r.job_id: [x.revision_id for x in r.revisions] for r in df.collect()}
+    assert sorted(got) == sorted(known) and got[many] == list(range(49, 29, -1)) and got[few] == [101, 100] and got[none] == []
+    assert "ObjectHashAggregate" not in plan and plan.count("Join") == 2 and f", {16 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
