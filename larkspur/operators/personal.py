@@ -50,8 +50,8 @@ def parts(sections: dict[str, DataFrame], size: int = 1000) -> DataFrame:
     a section of its own, by application_id, as nobody bounds how often an application moves.
     """
     rows = reduce(DataFrame.unionByName, [items(name, frame) for name, frame in sections.items()])
-    keys = ["owner", "number", F.desc_nulls_last("at"), F.asc_nulls_first("id"), "item"]
-    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at_row", F.monotonically_increasing_id())
+    keys = ["owner", "number", F.desc_nulls_last("at"), F.asc_nulls_first("id")]  # equal keys share a range, so items needn't be sampled
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "item").withColumn("at_row", F.monotonically_increasing_id())
     block = F.floor(F.col("at_row") / size).cast("long")
     grouped = sorted_rows.groupBy("owner", "number", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("at_row", "item"))).alias("found"))
     before = Window.partitionBy("owner", "number").orderBy("block")

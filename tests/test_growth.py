@@ -115,3 +115,9 @@ def test_last_revisions_are_not_gathered_by_an_aggregation(spark):
     got = {r.job_id: [x.revision_id for x in r.revisions] for r in df.collect()}
     assert sorted(got) == sorted(known) and got[many] == list(range(49, 29, -1)) and got[few] == [101, 100] and got[none] == []
     assert "ObjectHashAggregate" not in plan and plan.count("Join") == 2 and f", {16 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
+
+
+def test_items_are_read_once_and_not_sampled(spark):
+    plan = catalog.QUERIES["snk_05_all_people"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    ranges = re.search(r"Exchange rangepartitioning\((.*)\), REPARTITION", plan)[1]
+    assert "item" not in ranges and "get_json_object" not in plan and plan.count("from_json(") == 1
