@@ -1,5 +1,6 @@
 """What keeps work in proportion: rows are dealt to tasks, nodes stay where they are, like searches are asked once."""
 
+import hashlib
 import re
 from datetime import date
 
@@ -121,3 +122,35 @@ def test_items_are_read_once_and_not_sampled(spark):
     plan = catalog.QUERIES["snk_05_all_people"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     ranges = re.search(r"Exchange rangepartitioning\((.*)\), REPARTITION", plan)[1]
     assert "item" not in ranges and "get_json_object" not in plan and plan.count("from_json(") == 1
+
+
+def test_digests_are_not_gathered_and_searches_are_read_once_dealt(spark):
+    df = catalog.QUERIES["snk_08_digests"](spark, DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    gathered = re.findall(r"ObjectHashAggregate\(keys=\[([^\]]*)\]", plan)
+    assert gathered and not [k for k in gathered if "owner" in k]
+    assert not [line for line in plan.splitlines() if "Filter" in line and "sha2(" in line]  # what a search asks isn't worked out in the scan
+    assert len([x for x in exchanged(df) if "title_vector#" in x]) == 1  # adverts travel once
+
+
+def test_parameters_are_made_once_of_a_query(spark):
+    df = spark.createDataFrame([("a=1&b=%20x&a=2&=3&c=&d",), (None,), ("",)], "query string").select(search.saved_params(F.col("query")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.p for r in df.collect()] == [{"a": "1", "b": " x"}, {}, {}]
+
+
+def test_a_digest_is_its_pieces_in_order(spark):
+    jobs = spark.createDataFrame([(k, None if k == 9 else f"T{k}", "Ü", f"u/{k}", "OK" if k % 2 else None, "BAND") for k in range(300)], "job_id long, title string, name string, source_url string, sponsor_verdict string, threshold_verdict string")
+    searches = spark.createDataFrame([(1, 5, "x"), (2, 5, None), (11, 5, "y"), (3, 6, "z"), (4, None, "w")], "search_id long, owner long, name string")
+    asking = searches.select("search_id", "owner", F.when(F.col("search_id") == 3, "b").otherwise("a").alias("ask"), F.lit(date(2024, 1, 1)).alias("since"))
+    found = spark.createDataFrame([("a", date(2024, 1, 1), 2, 3), ("a", date(2024, 1, 1), 1, 8), ("a", date(2024, 1, 1), 3, 777)], "ask string, since date, place int, job_id long")
+    soon = spark.createDataFrame([(5, 12, date(2024, 3, 2)), (5, 9, date(2024, 3, 1)), (5, 10, date(2024, 3, 1)), (6, 9, date(2024, 3, 1))], "owner long, job_id long, closing_date date")
+    due = spark.createDataFrame([(8, 1000 - k, k, "" if k % 2 else "Call", date(2024, 3, 1 + k // 100)) for k in range(100, 300)], "owner long, application_id long, job_id long, next_action string, next_action_due date")
+    got = {r.owner: r for r in digests.digests(digests.pieces(asking, found, searches, soon, due, jobs)).collect()}
+    two = "(2)\n  · T8 — Ü [unscreened]\n    u/8\n  · T3 — Ü [OK · BAND]\n    u/3"
+    acts = sorted(((2024, 3, 1 + k // 100), 1000 - k, f"  · {1 + k // 100:02d} Mar — {'Follow up' if k % 2 else 'Call'} (T{k}, Ü)") for k in range(100, 300))
+    bodies = {
+        5: (f"New for “x” {two}\n\nNew for “y” {two}\n\nSaved jobs closing soon (3)\n  · 01 Mar — T10, Ü\n  · 02 Mar — T12, Ü", 6, 3), None: (f"New for “w” {two}", 2, 0),
+        6: ("Saved jobs closing soon (1)\n", 0, 1), 8: ("Actions due (200)\n" + "\n".join(x for *_, x in acts), 0, 0),
+    }
+    assert {k: (r.subject, r.body_md5) for k, r in got.items()} == {k: (f"HE jobs: {n} new, {s} closing soon", hashlib.md5(body.encode()).hexdigest()) for k, (body, n, s) in bodies.items()}
